@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from orebed.plans.gold import gold_matches as build_gold_matches
 from orebed.plans.gold import gold_standings as build_gold_standings
 from orebed.plans.gold import gold_teams as build_gold_teams
 from orebed.plans.medallion import run_medallion
-from orebed.session import materialize, new_workspace
+from orebed.session import materialize, new_workspace, side_by_side
 from orebed.sources.bronze import (
     keep_payloads,
     land_lines,
@@ -323,19 +324,28 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "matches_abandoned": contests.where(F.col("match_status") == "ABANDONED"),
         "standings_no_points": standings.drop("points"),
     }
-    layers = {}
-    for name, df in silver.items():
-        write_layer(df, f"{root}/{name}")
-        layers[name] = (f"{root}/{name}", ENTITIES[name.split("_")[0]].required)
+    side_by_side(
+        spark, {name: partial(write_layer, df, f"{root}/{name}") for name, df in silver.items()}
+    )
+    layers = {
+        name: (f"{root}/{name}", ENTITIES[name.split("_")[0]].required) for name in silver
+    }
     layers["matches_absent"] = (f"{root}/matches_absent", MATCHES.required)
     return build_quality_report(spark, layers)
 
 
 def _bronze_layout(spark: SparkSession, sf_dir: str) -> Layout:
     layout = Layout(new_workspace(spark, "medallion"))
-    _land(fixtures.profiles(spark, sf_dir), TEAMS, layout.bronze("teams"))
-    _land(fixtures.standings(spark, sf_dir), STANDINGS, layout.bronze("standings"))
-    _land(fixtures.contests(spark, sf_dir), MATCHES, layout.bronze("matches"))
+    sources = {
+        "teams": fixtures.profiles,
+        "standings": fixtures.standings,
+        "matches": fixtures.contests,
+    }
+
+    def land_one(name: str) -> None:
+        _land(sources[name](spark, sf_dir), ENTITIES[name], layout.bronze(name))
+
+    side_by_side(spark, {name: partial(land_one, name) for name in sources})
     return layout
 
 

@@ -2,9 +2,10 @@
 
 A plain window would put each group on one task, so one large group would decide the run
 time of the job. Here rows that tie on the order key are summed first (a frame by value
-gives all of them the same total anyway), the sums are cut into slices along the sort
-order, and each slice is totalled on its own; what remains per group is one number per
-slice. No task ever sees more than a slice, however large a group is.
+gives all of them the same total anyway). If few sums remain, a window over them is cheap.
+If not, they are cut into slices along the sort order and each slice is totalled on its
+own; what remains per group is one number per slice. No task ever sees more than a slice,
+however large a group is.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from orebed.session import materialize
 
+# Rows that one task windows without effort, however they are grouped.
+ONE_TASK_ROWS = 1_000_000
+
 
 def _same_keys(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str) -> Column:
     """Null-safe equality of ``left.name`` and ``right.<prefix>name`` for all names."""
@@ -43,7 +47,15 @@ def _totals_per_key(
     order = F.col(order_by).desc() if descending else F.col(order_by).asc()
     sort_key = [*(F.col(c).asc() for c in partition_by), order]
 
-    own = rows.groupBy(*keys).agg(F.sum(value).alias("_own"))
+    own = materialize(rows.groupBy(*keys).agg(F.sum(value).alias("_own")), "sums")
+    if slices is None and own.count() <= ONE_TASK_ROWS:
+        so_far = (
+            Window.partitionBy(*partition_by)
+            .orderBy(order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        return own.withColumn("_total", F.sum("_own").over(so_far))
+
     ranged = (
         own.repartitionByRange(slices, *sort_key)
         if slices

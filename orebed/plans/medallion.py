@@ -7,12 +7,14 @@ import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from orebed.operators.flatten import flatten, has_array, stamp
 from orebed.operators.quality import FILES, ROWS, observe_checks, require
 from orebed.plans.gold import gold_matches, gold_standings, gold_teams
+from orebed.session import side_by_side
 from orebed.sources.bronze import missing_inputs, read_bronze
 from orebed.sources.layers import cluster, publish, read_layer, write_layer
 from orebed.specs import COMPAT, ENTITIES, INGESTED_AT, EntitySpec, Layout, check_mode
@@ -52,7 +54,7 @@ def bronze_to_silver(
 def silver_to_gold(
     silver: Mapping[str, DataFrame], mode: str = COMPAT, batch_ts: datetime | None = None
 ) -> dict[str, Callable[[], DataFrame]]:
-    """How to build each gold table, in the order they are written."""
+    """How to build each gold table."""
     return {
         "teams": lambda: gold_teams(silver["teams"], batch_ts),
         "standings": lambda: cluster(
@@ -64,6 +66,22 @@ def silver_to_gold(
     }
 
 
+def _gate(
+    spark: SparkSession, name: str, checks: Mapping[str, int] | None, table: str
+) -> list[str]:
+    """What is wrong with an entity's silver: as just measured, or, if it was skipped, as
+    its table still stands."""
+    if checks is not None:
+        return [f"{name}: {check}" for check, seen in checks.items() if seen == 0]
+    if not spark.catalog.tableExists(table):
+        return [f"{name}: {FILES}"]
+    return [f"{name}: {ROWS}"] if spark.table(table).isEmpty() else []
+
+
+def _write_gold(build: Callable[[], DataFrame], path: str) -> None:
+    write_layer(build(), path)
+
+
 def run_medallion(
     spark: SparkSession,
     layout: Layout,
@@ -73,44 +91,54 @@ def run_medallion(
 ) -> Run:
     """Run all layers over the bronze folders of ``layout`` and publish their tables.
 
-    A failed check stops the run before any table changes. An entity whose payloads lack
-    its array is skipped and keeps the silver table of the last run; on a first run there
-    is none, which the gate reports.
+    The entities of a layer are built side by side. A failed check stops the run before any
+    table changes. An entity whose payloads lack its array is skipped and keeps the silver
+    table of the last run; on a first run there is none, which the gate reports.
     """
     check_mode(mode)
     run_id = uuid.uuid4().hex
     bronze = {name: layout.bronze(name) for name in ENTITIES}
     require([f"no input at {path}" for path in missing_inputs(spark, bronze.values())])
 
-    tables = {name: f"{database}.silver_{name}" for name in ENTITIES}
-    written: dict[str, str] = {}
-    failures: list[str] = []
+    silver_tables = {name: f"{database}.silver_{name}" for name in ENTITIES}
+    silver_paths = {name: layout.layer("silver", name, run_id) for name in ENTITIES}
+    checks = side_by_side(
+        spark,
+        {
+            name: partial(
+                bronze_to_silver, spark, spec, bronze[name], silver_paths[name], mode, batch_ts
+            )
+            for name, spec in ENTITIES.items()
+        },
+    )
+    written = [name for name in ENTITIES if checks[name] is not None]
+    require(
+        [
+            failure
+            for name in ENTITIES
+            for failure in _gate(spark, name, checks[name], silver_tables[name])
+        ]
+    )
+
+    silver = {}
     for name, spec in ENTITIES.items():
-        path = layout.layer("silver", name, run_id)
-        checks = bronze_to_silver(spark, spec, bronze[name], path, mode, batch_ts)
-        if checks is not None:
-            written[name] = path
-            failures += [f"{name}: {check}" for check, seen in checks.items() if seen == 0]
-        elif not spark.catalog.tableExists(tables[name]):
-            failures.append(f"{name}: {FILES}")
-        elif spark.table(tables[name]).isEmpty():
-            failures.append(f"{name}: {ROWS}")
-    require(failures)
-
-    for name, path in written.items():
-        publish(spark, tables[name], path, ENTITIES[name].silver_contract(mode))
-    silver = {
-        name: read_layer(spark, written[name], ENTITIES[name].silver_contract(mode))
-        if name in written
-        else spark.table(tables[name])
-        for name in ENTITIES
-    }
-
-    gold_tables = {}
-    for name, build in silver_to_gold(silver, mode, batch_ts).items():
-        path = layout.layer("gold", name, run_id)
-        write_layer(build(), path)
-        gold_tables[name] = f"{database}.gold_{name}"
-        publish(spark, gold_tables[name], path, ENTITIES[name].gold_contract(mode))
+        if name in written:
+            contract = spec.silver_contract(mode)
+            publish(spark, silver_tables[name], silver_paths[name], contract)
+            silver[name] = read_layer(spark, silver_paths[name], contract)
+        else:
+            silver[name] = spark.table(silver_tables[name])
+
+    gold_tables = {name: f"{database}.gold_{name}" for name in ENTITIES}
+    gold_paths = {name: layout.layer("gold", name, run_id) for name in ENTITIES}
+    side_by_side(
+        spark,
+        {
+            name: partial(_write_gold, build, gold_paths[name])
+            for name, build in silver_to_gold(silver, mode, batch_ts).items()
+        },
+    )
+    for name, spec in ENTITIES.items():
+        publish(spark, gold_tables[name], gold_paths[name], spec.gold_contract(mode))
     skipped = tuple(name for name in ENTITIES if name not in written)
-    return Run(run_id, tables, gold_tables, skipped)
+    return Run(run_id, silver_tables, gold_tables, skipped)

@@ -5,9 +5,15 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+Result = TypeVar("Result")
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
@@ -43,3 +49,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_workspace(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(
+    spark: SparkSession, tasks: Mapping[str, Callable[[], Result]]
+) -> dict[str, Result]:
+    """Submit independent jobs at the same time, so that cores one of them leaves idle work
+    on the others. Waits for all; the first failure is raised."""
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
+        running = {name: pool.submit(inherit(task)) for name, task in tasks.items()}
+    return {name: job.result() for name, job in running.items()}

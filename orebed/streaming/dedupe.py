@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.streaming import StreamingQuery
 
-SPREAD = 16
-
 
 def stream_layer(
     spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None
@@ -23,13 +21,17 @@ def stream_layer(
 
 
 def dedupe_stream(
-    stream: DataFrame, key: str, event_time: Column, delay: str, spread: int = SPREAD
+    stream: DataFrame, key: str, event_time: Column, delay: str, spread: int | None = None
 ) -> DataFrame:
     """One row per ``key`` among rows that arrive within ``delay`` of each other.
 
     A streaming shuffle cannot combine before it moves rows, so copies of a hot key are
-    first dropped on ``spread`` places at once; at most that many reach the second step.
+    first dropped on ``spread`` places at once (by default as many as there are shuffle
+    partitions); at most that many reach the second step. A key without copies costs one
+    entry of state in each step, whatever the spread.
     """
+    if spread is None:
+        spread = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.col("delivery"), F.lit(spread))
     return (
         stream.withColumn("_event_time", event_time)
