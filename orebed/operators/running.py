@@ -2,23 +2,24 @@
 
 A plain window would put each group on one task, so one large group would decide the run
 time of the job. Here rows that tie on the order key are summed first (a frame by value
-gives all of them the same total anyway). If few sums remain, a window over them is cheap.
-If not, they are cut into slices along the sort order and each slice is totalled on its
-own; what remains per group is one number per slice. No task ever sees more than a slice,
-however large a group is.
+gives all of them the same total anyway). If no group has many sums left, a window over
+them is cheap. Otherwise they are cut into slices along the sort order and each slice is
+totalled on its own; what remains per group is one number per slice. No task ever has to
+hold a whole large group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orebed.session import materialize
 
 # Rows that one task windows without effort, however they are grouped.
 ONE_TASK_ROWS = 1_000_000
+MOST_SLICES = 10_000
 
 
 def _same_keys(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str) -> Column:
@@ -33,6 +34,14 @@ def _renamed(df: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({name: prefix + name for name in names})
 
 
+def _slices_for(spark: SparkSession, count: int) -> int:
+    """Several slices per shuffle partition, so that hashing them spreads evenly, and more
+    where they would grow too long. The bound is on the driver's share of a range
+    exchange, a sample per slice; beyond it slices get longer."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(4 * partitions, count // ONE_TASK_ROWS), MOST_SLICES)
+
+
 def _totals_per_key(
     rows: DataFrame,
     value: Column,
@@ -48,47 +57,50 @@ def _totals_per_key(
     sort_key = [*(F.col(c).asc() for c in partition_by), order]
 
     own = materialize(rows.groupBy(*keys).agg(F.sum(value).alias("_own")), "sums")
-    if slices is None and own.count() <= ONE_TASK_ROWS:
-        so_far = (
-            Window.partitionBy(*partition_by)
-            .orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return own.withColumn("_total", F.sum("_own").over(so_far))
-
-    ranged = (
-        own.repartitionByRange(slices, *sort_key)
-        if slices
-        else own.repartitionByRange(*sort_key)
-    )
+    if slices is None:
+        sizes = own.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_sums"))
+        largest, count = sizes.agg(F.max("_sums"), F.sum("_sums")).first()
+        if (largest or 0) <= ONE_TASK_ROWS:
+            so_far = (
+                Window.partitionBy(*partition_by)
+                .orderBy(order)
+                .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            )
+            return own.withColumn("_total", F.sum("_own").over(so_far))
+        slices = _slices_for(rows.sparkSession, count)
+
+    ranged = own.repartitionByRange(slices, *sort_key)
     # A range exchange samples its input, so a second evaluation may cut elsewhere.
     # The cut is used twice below and therefore written down first.
     sliced = materialize(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
 
-    slice_keys = [*partition_by, "_slice"]
-    within = (
-        Window.partitionBy(*slice_keys)
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    # The slice comes first: its number sorts by radix, text would be compared.
+    slice_keys = ["_slice", *partition_by]
     earlier = (
         Window.partitionBy(*partition_by)
         .orderBy("_slice")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
+    # What all earlier slices add up to enters each slice as its first row, which spares
+    # a join of the slices with their offsets.
+    carried = (
         sliced.groupBy(*slice_keys)
         .agg(F.sum("_own").alias("_slice_sum"))
-        .withColumn("_offset", F.sum("_slice_sum").over(earlier))
+        .withColumn("_own", F.sum("_slice_sum").over(earlier))
         .drop("_slice_sum")
+        .withColumn("_is_key", F.lit(False))
     )
-    offsets = _renamed(offsets, slice_keys, "_o_")
-    running = sliced.withColumn("_running", F.sum("_own").over(within))
-    total = F.coalesce(
-        F.col("_offset") + F.col("_running"), F.col("_offset"), F.col("_running")
+    so_far = (
+        Window.partitionBy(*slice_keys)
+        .orderBy("_is_key", order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    totals = running.join(offsets, _same_keys(running, offsets, slice_keys, "_o_")).select(
-        *keys, "_own", total.alias("_total")
+    totals = (
+        sliced.withColumn("_is_key", F.lit(True))
+        .unionByName(carried, allowMissingColumns=True)
+        .withColumn("_total", F.sum("_own").over(so_far))
+        .where("_is_key")
+        .select(*keys, "_own", "_total")
     )
     # Written down so that the join back to the rows is planned on its true size: a
     # broadcast when it is small, a sort-merge join that splits hot keys when it is not.
@@ -117,7 +129,7 @@ def running_total(
     key, ties included. NULL keys form one group and sort first (last when descending).
 
     ``rows`` is evaluated twice, so it should be a table rather than a long plan.
-    ``slices`` fixes the number of slices; by default the session's shuffle settings do.
+    ``slices`` forces that many slices; by default they follow from the number of sums.
     """
     totals = _totals_per_key(rows, value, partition_by, order_by, descending, slices)
     return _attach(rows, totals, [*partition_by, order_by], F.col("_total"), out)
