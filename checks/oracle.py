@@ -310,7 +310,7 @@ def _rerun_rows() -> str:
     }
     return " UNION ALL ".join(
         f"SELECT '{label}' AS table_name, count(*) AS rows_first, count(*) AS rows_second, "
-        f"CAST(0 AS BIGINT) AS rows_changed FROM {source}"
+        f"CAST(0 AS BIGINT) AS rows_changed, count(*) AS rows_after_failure FROM {source}"
         for label, source in sources.items()
     )
 

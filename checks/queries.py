@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from orebed import fixtures
 from orebed.fixtures import table
 from orebed.functions.metrics import goal_metrics, num, outcome, ratio
 from orebed.operators.flatten import flatten, has_array
 from orebed.operators.merge import consolidate, latest_per_key, merge_latest
+from orebed.operators.quality import QualityError
 from orebed.operators.quality import quality_report as build_quality_report
 from orebed.operators.running import running_total
 from orebed.plans import reports
@@ -44,6 +47,8 @@ from orebed.specs import (
     TEAMS,
     EntitySpec,
     Layout,
+    contract_from_dict,
+    contract_to_dict,
 )
 from orebed.streaming.dedupe import append_available, dedupe_stream, stream_layer
 
@@ -361,25 +366,43 @@ def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = run_medallion(spark, layout, _database(spark, layout), batch_ts=BATCH_TS)
     tables = {}
     for name, spec in ENTITIES.items():
-        tables[f"silver_{name}"] = (run.silver[name], spec.silver_contract())
-        tables[f"gold_{name}"] = (run.gold[name], spec.gold_contract())
+        tables[f"silver_{name}"] = (run.silver[name], _stored(spec.silver_contract()))
+        tables[f"gold_{name}"] = (run.gold[name], _stored(spec.gold_contract()))
     return build_contract_report(spark, tables)
 
 
+def _stored(contract: StructType) -> StructType:
+    """A contract as it comes back from JSON text."""
+    return contract_from_dict(json.loads(json.dumps(contract_to_dict(contract))))
+
+
 def medallion_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole run twice over the same payloads; per table: rows after each run, and rows
-    that only one of the two states has."""
+    """The whole run twice over the same payloads, then once over payloads the gate must
+    refuse. Per table: its rows after each of the three, and the rows that only one of the
+    first two states has."""
     layout = _bronze_layout(spark, sf_dir)
     database = _database(spark, layout)
 
-    def published() -> dict[str, DataFrame]:
+    def published() -> dict[str, str]:
         run = run_medallion(spark, layout, database, batch_ts=BATCH_TS)
         tables = {f"silver_{name}": t for name, t in run.silver.items()}
-        tables |= {f"gold_{name}": t for name, t in run.gold.items()}
-        # The files of this state, which stay when the table moves on to the next.
+        return tables | {f"gold_{name}": t for name, t in run.gold.items()}
+
+    def files(tables: dict[str, str]) -> dict[str, DataFrame]:
+        """The files of this state, which stay when the table moves on to the next."""
         return {label: spark.read.parquet(_location(spark, t)) for label, t in tables.items()}
 
-    first, second = published(), published()
+    first = files(published())
+    tables = published()
+    second = files(tables)
+    _land_without_points(spark, sf_dir, layout.bronze("standings"))
+    try:
+        published()
+    except QualityError:
+        pass
+    else:
+        raise AssertionError("the gate let standings without points pass")
+
     parts = []
     for label, before in first.items():
         both = consolidate({"first": before, "second": second[label]}, "state")
@@ -387,17 +410,23 @@ def medallion_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
         columns = [c for c in both.columns if c != "state"]
         in_first, in_second = (F.count_if(F.col("state") == s) for s in ("first", "second"))
         groups = both.groupBy(*columns).agg(in_first.alias("a"), in_second.alias("b"))
+        after_failure = spark.table(tables[label]).agg(F.count(F.lit(1))).scalar()
         parts.append(
             groups.agg(
                 F.sum("a").alias("rows_first"),
                 F.sum("b").alias("rows_second"),
                 F.sum(F.abs(F.col("a") - F.col("b"))).alias("rows_changed"),
-            ).select(F.lit(label).alias("table_name"), "rows_first", "rows_second", "rows_changed")
+            ).select(
+                F.lit(label).alias("table_name"), "rows_first", "rows_second", "rows_changed",
+                after_failure.alias("rows_after_failure"),
+            )
         )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _land_without_points(spark: SparkSession, sf_dir: str, path: str) -> None:
+    rows = fixtures.standings(spark, sf_dir)
+    _land(rows.withColumn("points", F.lit(None).cast("string")), STANDINGS, path)
 
 
 def _location(spark: SparkSession, table_name: str) -> str:

@@ -233,6 +233,11 @@ class Layout:
 
     root: str
 
+    def competition(self, league: str, season: str) -> Layout:
+        """The layout of one league and season below this one; runs over several are put
+        together from their gold tables."""
+        return Layout(f"{self.root}/league={league}/season={season}")
+
     def bronze(self, entity_name: str) -> str:
         return f"{self.root}/bronze/{entity_name}"
 

@@ -170,3 +170,26 @@ def test_performance_with_many_standings_per_team(spark):
         .selectExpr("team_id", "team_name", "played_games", "won", "win_percentage", "position")
     )
     assert [tuple(r) for r in result.collect()] == [tuple(r) for r in full.collect()]
+
+
+def test_seasons_consolidate_at_gold(spark):
+    """Gold of each season put together equals gold of all seasons grouped by season."""
+    from orebed.operators.merge import consolidate
+    from orebed.plans.gold import gold_standings
+    from orebed.session import materialize
+
+    rows = materialize(fixtures.standings_by_season(spark, "/root/testdata/sf0.001"), "test")
+    years = [r.season for r in rows.select("season").distinct().collect()]
+    per_season = {
+        year: gold_standings(rows.where(f"season = {year}").drop("season"), TS) for year in years
+    }
+    apart = consolidate(per_season, "season")
+    together = gold_standings(rows, TS, group_by=("season", "group_name")).select(*apart.columns)
+    assert len(years) == 7
+    assert apart.exceptAll(together).isEmpty() and together.exceptAll(apart).isEmpty()
+
+
+def test_layout_per_league_and_season():
+    layout = Layout("/data").competition("7", "2026")
+    assert layout.bronze("teams") == "/data/league=7/season=2026/bronze/teams"
+    assert layout.layer("gold", "teams", "r1") == "/data/league=7/season=2026/gold/teams/run=r1"
