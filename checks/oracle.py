@@ -400,4 +400,5 @@ ORACLE = {
     "stream_dedup": f"""
         SELECT event_id, strftime(ts, {MICROS}) AS ts, user_id, event_type, value, props
         FROM events""",
+    "stream_silver_matches": _with(CONTESTS) + "SELECT * FROM contests",
 }

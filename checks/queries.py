@@ -33,10 +33,8 @@ from orebed.sources.bronze import (
     read_bronze,
     to_lines,
 )
-from orebed.sources.layers import (
-    contract_report as build_contract_report,
-)
-from orebed.sources.layers import overwrite_partitions, read_layer, write_layer
+from orebed.sources.layers import cluster, overwrite_partitions, read_layer, write_layer
+from orebed.sources.layers import contract_report as build_contract_report
 from orebed.specs import (
     ENTITIES,
     LOADED_AT,
@@ -50,7 +48,12 @@ from orebed.specs import (
     contract_from_dict,
     contract_to_dict,
 )
-from orebed.streaming.dedupe import append_available, dedupe_stream, stream_layer
+from orebed.streaming.dedupe import (
+    append_available,
+    dedupe_stream,
+    stream_bronze,
+    stream_layer,
+)
 
 BATCH_TS = datetime(2026, 1, 1)
 EARLY = "1995-07-01"
@@ -468,7 +471,7 @@ def consolidate_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One silver folder per season, consolidated and totalled per season and group."""
     path = new_workspace(spark, "seasons")
     rows = fixtures.standings_by_season(spark, sf_dir)
-    write_layer(rows, path, partition_by=["season"])
+    write_layer(cluster(rows, ["season"]), path, partition_by=["season"])
     schema = rows.drop("season").schema
     years = F.year("o_orderdate")
     span = table(spark, sf_dir, "orders").agg(F.min(years), F.max(years)).first()
@@ -492,6 +495,19 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.date_format("ts", MICROS))
 
 
+def stream_silver_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match payloads landed twice, streamed into flat rows, each match kept once."""
+    root = new_workspace(spark, "stream-matches")
+    payloads = payload_rows(fixtures.contests(spark, sf_dir), MATCHES)
+    land_payloads(payloads.unionAll(payloads), f"{root}/in")
+    stream = stream_bronze(spark, MATCHES, f"{root}/in")
+    played_on = F.col("match_date").try_cast("timestamp")
+    unique = dedupe_stream(stream, "match_id", played_on, "3000 days")
+    append_available(unique, f"{root}/out", f"{root}/progress").awaitTermination()
+    contract = StructType(MATCHES.silver_contract().fields[: len(MATCHES.fields)])
+    return read_layer(spark, f"{root}/out", contract)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -523,5 +539,6 @@ QUERIES = {
         partition_overwrite,
         consolidate_seasons,
         stream_dedup,
+        stream_silver_matches,
     )
 }

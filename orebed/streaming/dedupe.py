@@ -7,17 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from orebed.specs import EntitySpec
 
-def stream_layer(
-    spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None
-) -> DataFrame:
+
+def stream_layer(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """New Parquet files of a folder, with ``delivery``: a number fixed by where a row is
     stored, hence different for copies of a row and equal when a task runs again."""
-    reader = spark.readStream.schema(schema)
-    if files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
-    return reader.parquet(path).withColumn("delivery", place)
+    return spark.readStream.schema(schema).parquet(path).withColumn("delivery", place)
+
+
+def stream_bronze(spark: SparkSession, spec: EntitySpec, path: str) -> DataFrame:
+    """New payload files of a bronze folder as flat rows. JSON numbers no rows, so
+    ``delivery`` follows from the part of a file that was read together."""
+    place = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
+    payloads = spark.readStream.schema(spec.raw_schema()).json(path)
+    return (
+        payloads.select(place.alias("delivery"), F.explode(spec.array).alias("element"))
+        .select("delivery", *[F.col(f"element.{f.raw}").alias(f.column) for f in spec.fields])
+    )
 
 
 def dedupe_stream(
@@ -28,7 +36,8 @@ def dedupe_stream(
     A streaming shuffle cannot combine before it moves rows, so copies of a hot key are
     first dropped on ``spread`` places at once (by default as many as there are shuffle
     partitions); at most that many reach the second step. A key without copies costs one
-    entry of state in each step, whatever the spread.
+    entry of state in each step, whatever the spread. Rows without an event time are
+    compared with the rows of their own batch only.
     """
     if spread is None:
         spread = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from orebed.session import new_workspace
-from orebed.streaming.dedupe import append_available, dedupe_stream, stream_layer
+from orebed.specs import TEAMS
+from orebed.streaming.dedupe import append_available, dedupe_stream, stream_bronze, stream_layer
 
 SCHEMA = "event_id bigint, ts timestamp, v string"
 
@@ -52,6 +53,27 @@ def test_watermark_drops_late_rows(spark):
     assert [r.event_id for r in feed.run()] == [1, 2, 4]
 
 
+def test_bronze_stream(spark):
+    root = new_workspace(spark, "stream")
+
+    def arrive(*lines):
+        df = spark.createDataFrame([(line,) for line in lines], "value string")
+        df.write.mode("append").text(f"{root}/in")
+
+    def run():
+        stream = stream_bronze(spark, TEAMS, f"{root}/in").withColumn("at", F.lit("2024-01-01"))
+        unique = dedupe_stream(stream, "team_id", F.col("at").cast("timestamp"), "1 day").drop("at")
+        append_available(unique, f"{root}/out", f"{root}/progress").awaitTermination()
+        stored = spark.read.parquet(f"{root}/out")
+        assert stored.columns == TEAMS.columns
+        return sorted((r.team_id, r.team_name) for r in stored.collect())
+
+    arrive('{"teams":[{"idTeam":"1","strTeam":"a"},{"idTeam":"1","strTeam":"a"}]}', "broken{")
+    assert run() == [("1", "a")]
+    arrive('{"teams":[{"idTeam":"1","strTeam":"a"},{"idTeam":"2"}]}', '{"message":"x"}')
+    assert run() == [("1", "a"), ("2", None)]
+
+
 def test_delivery_separates_copies(spark):
     path = new_workspace(spark, "stream")
     rows(spark, *[(1, "2024-01-01 00:00:00", "a")] * 64).coalesce(1).write.parquet(path)
