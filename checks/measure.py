@@ -18,7 +18,7 @@ from orebed import fixtures
 from orebed.operators.flatten import flatten
 from orebed.operators.running import running_total
 from orebed.session import new_workspace
-from orebed.sources.bronze import land_payloads, payload_rows, read_bronze
+from orebed.sources.bronze import land_rows, read_bronze
 from orebed.specs import MATCHES
 
 
@@ -33,7 +33,7 @@ def best_of(runs: int, build: Callable[[], DataFrame]) -> float:
 
 def measure(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     path = new_workspace(spark, "measure")
-    land_payloads(payload_rows(fixtures.contests(spark, sf_dir), MATCHES), path)
+    land_rows(fixtures.contests(spark, sf_dir), MATCHES, path)
     lines = fixtures.table(spark, sf_dir, "lineitem")
 
     def plain() -> DataFrame:

@@ -28,8 +28,8 @@ from orebed.sources.bronze import (
     keep_payloads,
     land_lines,
     land_payloads,
+    land_rows,
     payload_batches,
-    payload_rows,
     read_bronze,
     to_lines,
 )
@@ -60,14 +60,10 @@ EARLY = "1995-07-01"
 MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def _land(rows: DataFrame, spec: EntitySpec, path: str) -> None:
-    land_payloads(payload_rows(rows, spec), path)
-
-
 def _through_bronze(spark: SparkSession, rows: DataFrame, spec: EntitySpec) -> DataFrame:
     """Land rows as payloads and open the bronze folder."""
     path = new_workspace(spark, f"bronze-{spec.name}")
-    _land(rows, spec, path)
+    land_rows(rows, spec, path)
     return read_bronze(spark, spec, path)
 
 
@@ -181,7 +177,7 @@ def silver_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def silver_matches_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed columns, and whether each row names the bronze file it came from."""
     path = new_workspace(spark, "bronze-matches")
-    _land(fixtures.contests(spark, sf_dir), MATCHES, path)
+    land_rows(fixtures.contests(spark, sf_dir), MATCHES, path)
     flat = flatten(read_bronze(spark, MATCHES, path), MATCHES, STRICT)
     return flat.select(
         "match_id", F.col("match_date").cast("string").alias("match_date"), "match_status",
@@ -351,7 +347,7 @@ def _bronze_layout(spark: SparkSession, sf_dir: str) -> Layout:
     }
 
     def land_one(name: str) -> None:
-        _land(sources[name](spark, sf_dir), ENTITIES[name], layout.bronze(name))
+        land_rows(sources[name](spark, sf_dir), ENTITIES[name], layout.bronze(name))
 
     side_by_side(spark, {name: partial(land_one, name) for name in sources})
     return layout
@@ -429,7 +425,7 @@ def medallion_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _land_without_points(spark: SparkSession, sf_dir: str, path: str) -> None:
     rows = fixtures.standings(spark, sf_dir)
-    _land(rows.withColumn("points", F.lit(None).cast("string")), STANDINGS, path)
+    land_rows(rows.withColumn("points", F.lit(None).cast("string")), STANDINGS, path)
 
 
 def _location(spark: SparkSession, table_name: str) -> str:
@@ -498,8 +494,8 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_silver_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match payloads landed twice, streamed into flat rows, each match kept once."""
     root = new_workspace(spark, "stream-matches")
-    payloads = payload_rows(fixtures.contests(spark, sf_dir), MATCHES)
-    land_payloads(payloads.unionAll(payloads), f"{root}/in")
+    matches = fixtures.contests(spark, sf_dir)
+    land_rows(matches.unionAll(matches), MATCHES, f"{root}/in")
     stream = stream_bronze(spark, MATCHES, f"{root}/in")
     played_on = F.col("match_date").try_cast("timestamp")
     unique = dedupe_stream(stream, "match_id", played_on, "3000 days")

@@ -84,6 +84,11 @@ def land_lines(lines: DataFrame, path: str) -> None:
     keep_payloads(lines).select("value").write.mode("overwrite").text(path)
 
 
+def land_rows(rows: DataFrame, spec: EntitySpec, path: str) -> None:
+    """Write rows in silver shape as a bronze folder, one payload each; none is empty."""
+    to_lines(payload_rows(rows, spec)).write.mode("overwrite").text(path)
+
+
 def land_payloads(payloads: DataFrame, path: str) -> None:
     """Write payloads worth keeping as a bronze folder. The choice is made before the JSON
     text exists, which is cheaper than to parse that text again."""

@@ -11,6 +11,7 @@ from orebed.sources.bronze import (
     keep_payloads,
     land_lines,
     land_payloads,
+    land_rows,
     missing_inputs,
     payload_batches,
     payload_rows,
@@ -88,7 +89,7 @@ def teams(spark, rows):
 def test_round_trip_keeps_text_and_nulls(spark):
     names = ["Côte d'Ivoire", "日本", 'quo"te', "line\nbreak", "back\\slash", "", None]
     path = new_workspace(spark, "test")
-    land_payloads(payload_rows(teams(spark, [(str(i), n) for i, n in enumerate(names)]), TEAMS), path)
+    land_rows(teams(spark, [(str(i), n) for i, n in enumerate(names)]), TEAMS, path)
     flat = flatten(read_bronze(spark, TEAMS, path), TEAMS)
     assert flat.columns == TEAMS.columns
     assert {r.team_id: r.team_name for r in flat.collect()} == {
@@ -128,10 +129,19 @@ def test_land_lines_filters(spark):
     assert sorted(r.value for r in spark.read.text(path).collect()) == sorted(KEPT)
 
 
+def test_land_payloads_filters(spark):
+    path = new_workspace(spark, "test")
+    rows = teams(spark, [("1", "a"), ("2", "b")])
+    one = payload_rows(rows, TEAMS)
+    empty = one.select(F.when(F.lit(False), F.col("teams")).alias("teams"))
+    land_payloads(one.unionAll(empty).unionAll(one.select(F.slice("teams", 1, 0).alias("teams"))), path)
+    assert spark.read.text(path).count() == 2
+
+
 def test_landing_replaces(spark):
     path = new_workspace(spark, "test")
     for name in ("first", "second"):
-        land_payloads(payload_rows(teams(spark, [("1", name)]), TEAMS), path)
+        land_rows(teams(spark, [("1", name)]), TEAMS, path)
     assert [r.team_name for r in flatten(read_bronze(spark, TEAMS, path), TEAMS).collect()] == ["second"]
 
 

@@ -7,7 +7,7 @@ from orebed.operators.quality import QualityError
 from orebed.plans import reports
 from orebed.plans.medallion import run_medallion
 from orebed.session import new_workspace
-from orebed.sources.bronze import land_payloads, payload_rows
+from orebed.sources.bronze import land_rows
 from orebed.specs import ENTITIES, MATCHES, SOURCE_FILE, STANDINGS, STRICT, Layout
 
 TS = datetime(2026, 1, 1)
@@ -24,7 +24,7 @@ def sources(spark):
 def layout(spark, sources):
     layout = Layout(new_workspace(spark, "medallion"))
     for name, rows in sources.items():
-        land_payloads(payload_rows(rows, ENTITIES[name]), layout.bronze(name))
+        land_rows(rows, ENTITIES[name], layout.bronze(name))
     return layout
 
 
@@ -96,7 +96,7 @@ def test_bad_silver_changes_no_table(spark, layout, database, sources):
     first = run_medallion(spark, layout, database, batch_ts=TS)
     before = state(spark, first)
     no_points = sources["standings"].drop("points").selectExpr("*", "cast(NULL AS STRING) AS points")
-    land_payloads(payload_rows(no_points, STANDINGS), layout.bronze("standings"))
+    land_rows(no_points, STANDINGS, layout.bronze("standings"))
     empty = spark.createDataFrame([('{"teams":[]}',)], "value string")
     empty.write.mode("overwrite").text(layout.bronze("teams"))
     with pytest.raises(QualityError) as error:
