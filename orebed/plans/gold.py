@@ -49,7 +49,8 @@ def gold_standings(
     batch_ts: datetime | None = None,
     group_by: Sequence[str] = ("group_name",),
 ) -> DataFrame:
-    """Standings with per-game ratios and the group's running total of points.
+    """Standings with per-game ratios and the group's running total of points. The totals
+    are computed when this is called; ``silver`` should be a stored table.
 
     Position sorts by its type, so text and typed silver give text and numeric order.
     ``group_by`` names what a group is; columns beyond the contract come first.

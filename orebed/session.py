@@ -35,8 +35,10 @@ def _local_folder(application_id: str) -> str:
 
 
 def new_workspace(spark: SparkSession, label: str) -> str:
-    """A fresh folder path under the shared root; nothing is ever written twice to one."""
-    return f"{shared_root(spark)}/orebed/{label}-{uuid.uuid4().hex}"
+    """A fresh folder path under the shared root; nothing is ever written twice to one.
+    All of an application's folders lie in one, which may go when the application is gone."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_root(spark)}/orebed/{application}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

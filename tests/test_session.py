@@ -8,14 +8,14 @@ from orebed.session import new_workspace, shared_root
 def session(master, folder=None):
     """As much of a session as choosing a folder looks at."""
     conf = SimpleNamespace(get=lambda key, default=None: folder or default)
-    context = SimpleNamespace(master=master, applicationId="app-" + master)
+    context = SimpleNamespace(master=master, applicationId="app-" + master[:5])
     return SimpleNamespace(conf=conf, sparkContext=context)
 
 
 def test_the_cluster_names_the_folder():
     spark = session("spark://host:7077", "s3a://bucket/scratch/")
     assert shared_root(spark) == "s3a://bucket/scratch"
-    assert new_workspace(spark, "sums").startswith("s3a://bucket/scratch/orebed/sums-")
+    assert new_workspace(spark, "sums").startswith("s3a://bucket/scratch/orebed/app-spark/sums-")
 
 
 def test_no_local_folder_on_a_cluster():
