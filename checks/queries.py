@@ -319,21 +319,26 @@ def team_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three good layers, one without rows, one without a required column, one absent."""
     root = new_workspace(spark, "quality")
-    standings = fixtures.standings(spark, sf_dir)
-    contests = fixtures.contests(spark, sf_dir)
-    silver = {
-        "teams": fixtures.profiles(spark, sf_dir),
-        "standings": standings,
-        "matches": contests,
-        "matches_abandoned": contests.where(F.col("match_status") == "ABANDONED"),
-        "standings_no_points": standings.drop("points"),
-    }
-    side_by_side(
-        spark, {name: partial(write_layer, df, f"{root}/{name}") for name, df in silver.items()}
-    )
-    layers = {
-        name: (f"{root}/{name}", ENTITIES[name.split("_")[0]].required) for name in silver
-    }
+
+    def write_teams() -> None:
+        write_layer(fixtures.profiles(spark, sf_dir), f"{root}/teams")
+
+    def write_standings() -> None:
+        rows = fixtures.standings(spark, sf_dir)
+        write_layer(rows, f"{root}/standings")
+        write_layer(rows.drop("points"), f"{root}/standings_no_points")
+
+    def write_matches() -> None:
+        rows = fixtures.contests(spark, sf_dir)
+        write_layer(rows, f"{root}/matches")
+        stored = read_layer(spark, f"{root}/matches", rows.schema)
+        abandoned = stored.where(F.col("match_status") == "ABANDONED")
+        write_layer(abandoned, f"{root}/matches_abandoned")
+
+    writes = {"teams": write_teams, "standings": write_standings, "matches": write_matches}
+    side_by_side(spark, writes)
+    names = ["teams", "standings", "standings_no_points", "matches", "matches_abandoned"]
+    layers = {name: (f"{root}/{name}", ENTITIES[name.split("_")[0]].required) for name in names}
     layers["matches_absent"] = (f"{root}/matches_absent", MATCHES.required)
     return build_quality_report(spark, layers)
 

@@ -34,13 +34,13 @@ def dedupe_stream(
     """One row per ``key`` among rows that arrive within ``delay`` of each other.
 
     A streaming shuffle cannot combine before it moves rows, so copies of a hot key are
-    first dropped on ``spread`` places at once (by default as many as there are shuffle
-    partitions); at most that many reach the second step. A key without copies costs one
-    entry of state in each step, whatever the spread. Rows without an event time are
-    compared with the rows of their own batch only.
+    first dropped on ``spread`` places at once (by default four per shuffle partition, which
+    evens out how they hash); at most that many reach the second step. A key without copies
+    costs one entry of state in each step, whatever the spread. Rows without an event time
+    are compared with the rows of their own batch only.
     """
     if spread is None:
-        spread = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = 4 * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.col("delivery"), F.lit(spread))
     return (
         stream.withColumn("_event_time", event_time)

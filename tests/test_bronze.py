@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from orebed.sources.bronze import (
     read_bronze,
     to_lines,
 )
-from orebed.specs import SOURCE_FILE, STRICT, TEAMS
+from orebed.specs import SOURCE_FILE, STRICT, TEAMS, entity
 
 KEPT = [
     '{"teams":[{"idTeam":"1"}]}',
@@ -186,3 +187,42 @@ def test_missing_inputs(spark):
     to_lines(payload_rows(teams(spark, [("1", "a")]), TEAMS)).write.text(there)
     assert missing_inputs(spark, [there, absent]) == [absent]
     assert not has_files(spark, there, "*.parquet")
+
+
+def test_random_payloads_against_python(spark):
+    pick = random.Random(11)
+
+    def value(depth=0):
+        kinds = ["", "0", "x", "null", "é\"\\", 0, 0.0, -0.0, 7, -1.5, True, False, None, [], {}]
+        if depth < 2 and pick.random() < 0.3:
+            return pick.choice([[value(depth + 1)], {"k": value(depth + 1)}])
+        return pick.choice(kinds)
+
+    def document():
+        if pick.random() < 0.1:
+            return value()
+        empty = ["", 0, 0.0, False, None, [], {}]
+        some = [pick.choice(empty) if pick.random() < 0.7 else value() for _ in range(3)]
+        return {name: v for name, v in zip("abc", some) if pick.random() < 0.8}
+
+    documents = [document() for _ in range(600)]
+    lines = [(i, json.dumps(d, ensure_ascii=pick.random() < 0.5)) for i, d in enumerate(documents)]
+    kept = keep_payloads(spark.createDataFrame(lines, "id int, value string"))
+    expected = [i for i, d in enumerate(documents) if isinstance(d, dict) and any(d.values())]
+    assert sorted(r.id for r in kept.select("id").collect()) == expected
+    assert 100 < len(expected) < 500
+
+
+def test_an_entity_of_ones_own(spark):
+    players = entity(
+        "players", "player", "idPlayer player_id string\nintNumber shirt bigint",
+        "player_id shirt", "", "player_id",
+    )
+    path = new_workspace(spark, "test")
+    rows = spark.createDataFrame([("p1", "9"), ("p2", "x")], "player_id string, shirt string")
+    land_rows(rows, players, path)
+    flat = flatten(read_bronze(spark, players, path), players, STRICT).drop(SOURCE_FILE)
+    assert sorted(map(tuple, flat.collect())) == [("p1", 9), ("p2", None)]
+    assert players.gold_contract(STRICT).simpleString() == (
+        "struct<player_id:string,shirt:bigint,gold_loaded_at:timestamp>"
+    )
