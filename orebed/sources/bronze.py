@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from orebed.specs import EntitySpec
 
-
 # JSON text of the values that count as empty; zero has many spellings.
 EMPTY_JSON = ["null", "false", '""', "[]", "{}"]
 ZERO_JSON = r"^-?0(\.0*)?([eE][+-]?[0-9]+)?$"
@@ -57,15 +56,17 @@ def payload_batches(rows: DataFrame, array: str, per_line: int = 500) -> DataFra
     """Rows as payloads of about ``per_line`` elements each.
 
     Rows are spread over lines by a hash of their content. Equal rows, which a hash cannot
-    tell apart, are counted first and dealt out in pieces of at most ``per_line``, so no
-    line grows with the number of copies of a row.
+    tell apart, are counted per input task and dealt out in pieces of at most ``per_line``,
+    so that neither a line nor a task grows with the number of copies of a row.
     """
     lines = max(1, -(-rows.count() // per_line))
-    copies = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    same = [*rows.columns, "_task"]
+    counted = rows.withColumn("_task", F.spark_partition_id()).groupBy(*same)
+    copies = counted.agg(F.count(F.lit(1)).alias("_copies"))
     last_piece = F.floor((F.col("_copies") - 1) / per_line)
     pieces = copies.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last_piece)))
     held = F.least(F.lit(per_line), F.col("_copies") - F.col("_piece") * per_line).cast("int")
-    line = F.pmod(F.xxhash64(*rows.columns, "_piece"), F.lit(lines))
+    line = F.pmod(F.xxhash64(*same, "_piece"), F.lit(lines))
     elements = F.array_repeat(F.struct(*rows.columns), held)
     return (
         pieces.groupBy(line.alias("_line"))
