@@ -24,8 +24,11 @@ def latest_finished(matches: DataFrame, limit: int = 20) -> DataFrame:
 
 def group_report(standings: DataFrame) -> DataFrame:
     """All standings by group and position. The key makes the order total and lets the
-    sort divide rows that share a position."""
-    return standings.orderBy("group_name", "position", "standing_id").select(
+    sort divide rows that share a position; copies of a row are divided by their number.
+    ``standings`` should be a stored table, where a task that runs again finds its rows in
+    the same order and so numbers them alike."""
+    numbered = standings.withColumn("copy", F.monotonically_increasing_id())
+    return numbered.orderBy("group_name", "position", "standing_id", "copy").select(
         "group_name", "position", "team_name", "points",
         "running_total_points", "points_per_game",
     )
@@ -58,5 +61,7 @@ def team_performance(teams: DataFrame, standings: DataFrame, limit: int = 10) ->
         .join(leading, "team_id", "left")
         .orderBy(*result_order)
         .limit(limit)
-        .select("team_id", "team_name", "total_matches", "total_wins", "win_percentage", "final_rank")
+        .select(
+            "team_id", "team_name", "total_matches", "total_wins", "win_percentage", "final_rank"
+        )
     )

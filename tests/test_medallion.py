@@ -193,3 +193,33 @@ def test_layout_per_league_and_season():
     layout = Layout("/data").competition("7", "2026")
     assert layout.bronze("teams") == "/data/league=7/season=2026/bronze/teams"
     assert layout.layer("gold", "teams", "r1") == "/data/league=7/season=2026/gold/teams/run=r1"
+
+
+def test_group_report_divides_copies(spark):
+    """One row copied many times is sorted by several tasks; the order still holds."""
+    from pyspark.sql import functions as F
+
+    from orebed.session import materialize
+
+    rows = spark.range(0, 6000, 1, 4).select(
+        F.when(F.col("id") % 3 > 0, "g").otherwise("h").alias("group_name"),
+        F.when(F.col("id") % 3 > 0, "1").otherwise((F.col("id") % 50).cast("string")).alias("position"),
+        F.when(F.col("id") % 3 > 0, "same").otherwise(F.col("id").cast("string")).alias("standing_id"),
+        F.lit("t").alias("team_name"), F.lit("3").alias("points"),
+        F.lit(1.0).alias("running_total_points"), F.lit(1.0).alias("points_per_game"),
+    )
+    changed = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key) for key in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        report = reports.group_report(materialize(rows, "test"))
+        with_task = report.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    keys = [(r.group_name, r.position) for r in with_task]
+    assert len(keys) == 6000 and keys == sorted(keys)
+    assert len({r.task for r in with_task if r.group_name == "g"}) >= 4
