@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from orebed.specs import EntitySpec
 
@@ -53,26 +55,20 @@ def payload_rows(rows: DataFrame, spec: EntitySpec) -> DataFrame:
 
 
 def payload_batches(rows: DataFrame, array: str, per_line: int = 500) -> DataFrame:
-    """Rows as payloads of about ``per_line`` elements each.
+    """Rows as payloads of at most ``per_line`` elements each.
 
-    Rows are spread over lines by a hash of their content. Equal rows, which a hash cannot
-    tell apart, are counted per input task and dealt out in pieces of at most ``per_line``,
-    so that neither a line nor a task grows with the number of copies of a row.
+    Grouping rows in SQL would shuffle all of them, to no end: which rows share a line does
+    not matter. So each task cuts its own rows into lines, a column batch at a time.
     """
-    lines = max(1, -(-rows.count() // per_line))
-    same = [*rows.columns, "_task"]
-    counted = rows.withColumn("_task", F.spark_partition_id()).groupBy(*same)
-    copies = counted.agg(F.count(F.lit(1)).alias("_copies"))
-    last_piece = F.floor((F.col("_copies") - 1) / per_line)
-    pieces = copies.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last_piece)))
-    held = F.least(F.lit(per_line), F.col("_copies") - F.col("_piece") * per_line).cast("int")
-    line = F.pmod(F.xxhash64(*same, "_piece"), F.lit(lines))
-    elements = F.array_repeat(F.struct(*rows.columns), held)
-    return (
-        pieces.groupBy(line.alias("_line"))
-        .agg(F.flatten(F.collect_list(elements)).alias(array))
-        .drop("_line")
-    )
+    schema = StructType([StructField(array, ArrayType(rows.schema))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = [*range(0, batch.num_rows, per_line), batch.num_rows]
+            lines = pa.ListArray.from_arrays(starts, batch.to_struct_array())
+            yield pa.RecordBatch.from_arrays([lines], [array])
+
+    return rows.mapInArrow(cut, schema)
 
 
 def to_lines(payloads: DataFrame) -> DataFrame:

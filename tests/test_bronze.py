@@ -169,16 +169,18 @@ def test_strict_types_and_lineage(spark):
 
 
 def test_batches_are_whole_and_bounded(spark):
-    """A third of the rows are copies of one row; no line grows with them."""
-    rows = spark.range(2000).select(
-        F.when(F.col("id") < 700, 0).otherwise(F.col("id")).alias("k"), F.lit("x").alias("v")
+    """No row is lost, no line is longer than asked for, copies or not, and none is moved."""
+    rows = spark.range(0, 2000, 1, 3).select(
+        F.when(F.col("id") < 700, 0).otherwise(F.col("id")).alias("k"),
+        F.when(F.col("id") % 7 > 0, "x").alias("v"),
+        F.lit(0.5).alias("d"),
     )
     batches = payload_batches(rows, "items", per_line=50)
     sizes = [r[0] for r in batches.select(F.size("items")).collect()]
-    assert sum(sizes) == 2000
-    assert len(sizes) >= 20 and max(sizes) <= 250
+    assert sum(sizes) == 2000 and max(sizes) == 50 and len(sizes) <= 40 + 3
     back = batches.select(F.explode("items").alias("i")).select("i.*")
     assert back.exceptAll(rows).isEmpty() and rows.exceptAll(back).isEmpty()
+    assert "Exchange" not in batches._jdf.queryExecution().executedPlan().toString()
     assert payload_batches(rows.limit(0), "items").count() == 0
 
 
