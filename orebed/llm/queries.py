@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orebed.llm.line_dedup import remove_shared_passages
 from orebed.llm.packing import pack
 from orebed.llm.sharding import interleave
 from orebed.llm.tokens import pieces
@@ -44,8 +45,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_shared_passages(docs)
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op9_sharding": op9_sharding,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE: dict[str, str] = {}
