@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebed.llm.line_dedup import remove_shared_passages
+from orebed.llm.near_duplicates import near_duplicates
 from orebed.llm.packing import pack
 from orebed.llm.sharding import interleave
 from orebed.llm.tokens import pieces
@@ -28,6 +29,10 @@ def packed(docs: DataFrame) -> DataFrame:
     return pack(digests, CAPACITY)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
