@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orebed.llm.decontamination import find_overlaps
+from orebed.llm.language_id import LanguageModel, predict, train
 from orebed.llm.line_dedup import remove_shared_passages
 from orebed.llm.near_duplicates import near_duplicates
 from orebed.llm.packing import pack
 from orebed.llm.sharding import interleave
 from orebed.llm.tokens import pieces
+from orebed.session import ship_package
 
 CAPACITY = 2048
 SHARDS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +41,29 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, item and shift with an overlap."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_overlaps(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("overlaps").alias("o")).select("doc_id", "o.*")
+
+
+def id_remainder(divisor: int) -> Column:
+    """CRC-32 of the doc_id as text, modulo ``divisor``; a NULL counts as empty text."""
+    text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.crc32(text.cast("binary")) % divisor
+
+
+def language_model(docs: DataFrame) -> LanguageModel:
+    return train(docs.where(id_remainder(4) != 2))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", (id_remainder(4) == 2).alias("held_out"))
+    return predict(rows, language_model(docs)).drop("text")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_or_empty()
     rows = table(spark, sf_dir, "documents").select(
@@ -58,6 +85,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_decontamination": op4_decontamination,
+    "op5_language_id": op5_language_id,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
 }
