@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
@@ -53,6 +55,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver has it from: Spark's own
+    file server hands it to every executor, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="orebed-")) / "orebed.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def side_by_side(
     spark: SparkSession, tasks: Mapping[str, Callable[[], Result]]
 ) -> dict[str, Result]:
