@@ -440,21 +440,11 @@ def _links(docs: DataFrame, signatures: DataFrame, coarse: DataFrame, block: int
     )
 
 
-def near_duplicates(
-    docs: DataFrame, *, recall: float = RECALL, depth: int = DEPTH, bucket: int = BUCKET,
-    block: int = BLOCK,
+def _classify(
+    docs: DataFrame, recall: float, depth: int, bucket: int, block: int
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, n_links.
-
-    Two documents are linked if the Jaccard similarity of their sets of five-word shingles
-    is 0.8 or more. Words are runs of ASCII letters, digits and characters beyond ASCII,
-    lower-cased; a text of one to four words has one shingle. n_links is the number of other
-    rows a row is linked to, and class_id the lowest doc_id that links lead to, its own if
-    there are none. A text without words, NULL among them, is linked to nothing. Rows with
-    equal sets, repeated rows too, are links of each other. doc_id may be NULL or repeated;
-    a class in which all are NULL has a NULL id. Columns other than doc_id and text are not
-    read.
-    """
+    """One row per row of ``docs``, with ``root``, the same for all of a class and NULL for
+    rows without links."""
     docs = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     signatures = materialize(_signatures(docs, runs_for(recall, depth), depth), "signatures")
     coarse = components(_candidates(signatures, depth, bucket))
@@ -474,11 +464,55 @@ def near_duplicates(
     )
     classes = nodes.groupBy("root").agg(F.min("_first").alias("_class"))
     known = nodes.join(classes, "root").select(
-        "node", "_class", (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("_n")
+        "node", F.col("root").alias("_root"), "_class",
+        (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("_n"),
     )
     linked = (F.col("size") > 0) & F.col("_n").isNotNull()
-    return signatures.select("doc_id", "size", "node").join(known, "node", "left").select(
-        "doc_id",
+    rows = signatures.select("doc_id", "text_hash", "size", "node").join(known, "node", "left")
+    return rows.select(
+        "doc_id", "text_hash", F.when(linked, F.col("_root")).alias("root"),
         F.when(linked, F.col("_class")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(linked, F.col("_n")).otherwise(0).cast("bigint").alias("n_links"),
     )
+
+
+def near_duplicates(
+    docs: DataFrame, *, recall: float = RECALL, depth: int = DEPTH, bucket: int = BUCKET,
+    block: int = BLOCK,
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, n_links.
+
+    Two documents are linked if the Jaccard similarity of their sets of five-word shingles
+    is 0.8 or more. Words are runs of ASCII letters, digits and characters beyond ASCII,
+    lower-cased; a text of one to four words has one shingle. n_links is the number of other
+    rows a row is linked to, and class_id the lowest doc_id that links lead to, its own if
+    there are none. A text without words, NULL among them, is linked to nothing. Rows with
+    equal sets, repeated rows too, are links of each other. doc_id may be NULL or repeated;
+    a class in which all are NULL has a NULL id. Columns other than doc_id and text are not
+    read.
+    """
+    rows = _classify(docs, recall, depth, bucket, block)
+    return rows.select("doc_id", "class_id", "n_links")
+
+
+def keep_one_of_each(docs: DataFrame, *, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one row of every class of near duplicates, the one with the lowest
+    doc_id, and all rows without links. Columns stay; names that start with an underscore
+    are used inside."""
+    key = F.coalesce("doc_id", F.lit(2**63 - 1))
+    rows = _classify(docs, recall, DEPTH, BUCKET, BLOCK).where("root IS NOT NULL").select(
+        "root", key.alias("_key"), F.col("text_hash").alias("_text")
+    )
+    rows = materialize(rows, "classes")
+    first = rows.groupBy("root").agg(
+        F.min("_key").alias("_key"), F.min_by("_text", "_key").alias("_text")
+    )
+    same = ["_key", "_text"]
+    marked = docs.withColumns({"_key": key, "_text": F.xxhash64("text")})
+    gone = rows.select(*same).distinct().join(first, same, "left_anti")
+    kept = marked.join(gone, same, "left_anti")
+    repeated = materialize(rows.groupBy(*same).count().where("count > 1").drop("count"), "again")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, same, "left_semi").dropDuplicates(same)
+        kept = kept.join(repeated, same, "left_anti").unionByName(once)
+    return kept.drop(*same)
