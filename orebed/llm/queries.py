@@ -12,6 +12,8 @@ from orebed.llm.near_duplicates import near_duplicates
 from orebed.llm.packing import pack
 from orebed.llm.sharding import interleave
 from orebed.llm.tokens import pieces
+from orebed.llm.url_filter import judge_urls
+from orebed.llm.url_filter import train as train_urls
 from orebed.session import ship_package
 
 CAPACITY = 2048
@@ -64,6 +66,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(rows, language_model(docs)).drop("text")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, train_urls()).select(
+        "page_id", "host", "path", "rule", "verdict", "p_unwanted"
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_or_empty()
     rows = table(spark, sf_dir, "documents").select(
@@ -87,6 +96,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
+    "op6_url_filter": op6_url_filter,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
 }
