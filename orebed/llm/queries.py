@@ -10,6 +10,8 @@ from orebed.llm.language_id import LanguageModel, predict, train
 from orebed.llm.line_dedup import remove_shared_passages
 from orebed.llm.near_duplicates import near_duplicates
 from orebed.llm.packing import pack
+from orebed.llm.pii import KINDS, find_pii
+from orebed.llm.pii import train as train_pii
 from orebed.llm.sharding import interleave
 from orebed.llm.tokens import pieces
 from orebed.llm.url_filter import judge_urls
@@ -73,6 +75,30 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _span_text(column: str) -> Column:
+    parts = F.transform(
+        column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    )
+    return F.array_join(parts, ",")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts are those of the fixed patterns, ``n_added`` that of further spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_pii(docs, train_pii(docs))
+
+    def count(kind: str) -> Column:
+        own = F.filter("base_spans", lambda s: s["kind"] == kind)
+        return F.size(own).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *(count(kind) for kind in KINDS),
+        F.sha2(_span_text("base_spans").cast("binary"), 256).alias("base_sha256"),
+        _span_text("spans").alias("spans"),
+        (F.size("spans") - F.size("base_spans")).cast("bigint").alias("n_added"),
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_or_empty()
     rows = table(spark, sf_dir, "documents").select(
@@ -97,6 +123,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
+    "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
 }

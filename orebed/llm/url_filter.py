@@ -29,7 +29,8 @@ GRAMS = (3, 4, 5)
 UNWANTED = (
     "spam-farm", "free-bets", "adult-x", "casino", "poker", "cheap-pills", "xxx-cams",
     "win-prizes", "clickbait", "malware", "warez", "payday-loans", "betting", "porn", "escort",
-    "torrent", "phishing", "viagra", "jackpot", "hot-singles",
+    "torrent", "phishing", "viagra", "jackpot", "hot-singles", "ads-server", "ad-tracker",
+    "casino-bonus", "win-money", "track-pixel",
 )
 ORDINARY = (
     "news", "blog", "docs", "wiki", "library", "museum", "school", "weather", "recipes",
@@ -96,12 +97,13 @@ def _features(host: str, path: str) -> np.ndarray:
 class UrlModel:
     weights: np.ndarray
     bias: float
+    share: float  # of unwanted URLs in the table, for a URL without any n-gram
 
     def probability(self, host: str, path: str) -> float:
         """That the page is unwanted."""
         indices = _features(host, path)
         if not len(indices):
-            return 1 / (1 + float(np.exp(-self.bias)))
+            return self.share
         value = self.weights[indices].sum() / np.sqrt(len(indices)) + self.bias
         return 1 / (1 + float(np.exp(-value)))
 
@@ -122,7 +124,7 @@ def train(
         error = 1 / (1 + np.exp(-(matrix @ weights + bias))) - labels
         weights -= rate * (matrix.T @ error / len(rows) * 10 + penalty * weights)
         bias -= rate * float(error.mean())
-    return UrlModel(weights.astype(np.float64), bias)
+    return UrlModel(weights.astype(np.float64), bias, float(labels.mean()))
 
 
 def _rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
