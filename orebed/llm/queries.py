@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebed.llm.decontamination import find_overlaps
+from orebed.llm.fingerprints import versions
 from orebed.llm.language_id import LanguageModel, predict, train
 from orebed.llm.line_dedup import remove_shared_passages
 from orebed.llm.near_duplicates import near_duplicates
@@ -75,6 +76,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.char_length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint",
+        F.col("from_edited_near").alias("near_edited"), F.col("from_next_near").alias("near_next"),
+        F.size("from_edited").alias("n_edited"),
+    )
+
+
 def _span_text(column: str) -> Column:
     parts = F.transform(
         column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
@@ -123,6 +134,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
+    "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
