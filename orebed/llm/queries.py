@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orebed.llm.class_lm import score_texts
+from orebed.llm.class_lm import train as train_lm
 from orebed.llm.decontamination import find_overlaps
 from orebed.llm.fingerprints import versions
 from orebed.llm.language_id import LanguageModel, predict, train
@@ -46,6 +48,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = train_lm(docs.where(id_remainder(10) != 0))
+    return score_texts(docs, model, counts).withColumn("held_out", id_remainder(10) == 0)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document, item and shift with an overlap."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -131,6 +139,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
