@@ -26,9 +26,10 @@ from orebed.session import materialize
 BUCKET_ROWS = 20_000
 ROUNDS = 1_500
 STEP = 0.34
-ETA = 0.5
-EXPONENT = 1.05
-#: Ways to round that are tried; the plan with the fewest sequences is taken.
+#: (how fast prices follow coverage, power of the length that they begin with). The second
+#: suits lengths few of which fit together. All are tried, as are the ways to round.
+PRICES = ((0.5, 1.05), (0.1, 1.3))
+#: A fraction of 1 less this is rounded up; the plan with the fewest sequences is taken.
 ROUND_UP = (1e-9, 0.25, 0.5)
 
 
@@ -59,11 +60,11 @@ def _best_configuration(price: np.ndarray) -> dict[int, int]:
 
 
 def _fractional(
-    counts: np.ndarray, rounds: int, step: float, eta: float
+    counts: np.ndarray, rounds: int, step: float, eta: float, exponent: float
 ) -> dict[tuple[tuple[int, int], ...], float]:
     """Configurations and how many sequences of each; no length is covered beyond its count."""
     # Longer pieces are worth more than their length: short ones fit anywhere later.
-    size = np.arange(len(counts), dtype=float) ** EXPONENT
+    size = np.arange(len(counts), dtype=float) ** exponent
     demand = np.maximum(counts, 1).astype(float)
     left = counts.astype(float)
     found: dict[tuple[tuple[int, int], ...], float] = {}
@@ -138,8 +139,7 @@ def _rounded(
 
 
 def plan_sequences(
-    histogram: Mapping[int, int], capacity: int, *, rounds: int = ROUNDS, step: float = STEP,
-    eta: float = ETA,
+    histogram: Mapping[int, int], capacity: int, *, rounds: int = ROUNDS, step: float = STEP
 ) -> list[tuple[dict[int, int], int]]:
     """Groups of equal sequences: how many pieces of each length, and how many sequences."""
     counts = np.zeros(capacity + 1, dtype=np.int64)
@@ -152,10 +152,13 @@ def plan_sequences(
         groups.append(({capacity: 1}, int(counts[capacity])))
     left = counts.copy()
     left[capacity] = 0
-    fractions = sorted(
-        _fractional(left, rounds, step, eta).items(), key=lambda item: (-item[1], item[0])
-    )
-    plans = [_rounded(groups, fractions, left, capacity, up) for up in ROUND_UP]
+    plans = []
+    for eta, exponent in PRICES:
+        fractions = sorted(
+            _fractional(left, rounds, step, eta, exponent).items(),
+            key=lambda item: (-item[1], item[0]),
+        )
+        plans += [_rounded(groups, fractions, left, capacity, up) for up in ROUND_UP]
     return min(plans, key=lambda plan: sum(copies for _, copies in plan))
 
 

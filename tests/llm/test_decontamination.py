@@ -1,0 +1,97 @@
+import random
+import re
+from collections import defaultdict
+
+import pytest
+from cases import documents, empty, odd, prose, texts
+
+from orebed.llm import decontamination
+from orebed.llm.decontamination import decontaminate, find_overlaps
+
+WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
+
+
+def items(spark, rows):
+    return spark.createDataFrame(rows, "item_id bigint, text string")
+
+
+def hits(docs, benchmark):
+    return {
+        r["doc_id"]: {o["item_id"] for o in r["overlaps"]}
+        for r in find_overlaps(docs, benchmark).collect() if r["overlaps"]
+    }
+
+
+def test_documents_against_common_runs_of_words(spark, small):
+    docs, by_id = documents(spark, small)
+    benchmark = spark.read.parquet(f"{small}/benchmark.parquet")
+    runs = defaultdict(set)
+    for r in benchmark.collect():
+        w = WORD.findall(r["text"].lower())
+        for i in range(len(w) - 12):
+            runs[tuple(w[i : i + 13])].add(r["item_id"])
+    expected = {}
+    for doc, text in by_id.items():
+        w = WORD.findall(text.lower())
+        found = {i for k in range(len(w) - 12) for i in runs.get(tuple(w[k : k + 13]), ())}
+        if found:
+            expected[doc] = found
+    actual = hits(docs, benchmark)
+    assert expected and all(found <= actual.get(doc, set()) for doc, found in expected.items())
+    assert set(actual) == set(expected)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_substituted_words_are_tolerated(spark, seed):
+    rng = random.Random(seed)
+    passage = prose(seed, 40, "item").split()
+    rows = []
+    for k in range(20):
+        own = list(passage)
+        for at in rng.sample(range(40), 4):
+            own[at] = f"other{at}"
+        rows.append((k, f"{prose(k, 30)} {' '.join(own)} {prose(k + 50, 30)}"))
+    rows += [(100 + k, prose(300 + k, 100)) for k in range(20)]
+    found = hits(texts(spark, rows), items(spark, [(5, " ".join(passage))]))
+    assert set(found) <= set(range(20)) and len(found) >= 19
+
+
+def test_where_and_how_much(spark):
+    passage = prose(1, 20, "item")
+    docs = texts(spark, [(1, f"one two {passage.upper()}! three")])
+    (row,) = find_overlaps(docs, items(spark, [(9, passage)])).collect()
+    assert [o.asDict() for o in row["overlaps"]] == [
+        {"item_id": 9, "item_start": 0, "start": 2, "words": 20, "matched": 20}
+    ]
+
+
+@pytest.mark.parametrize("words", [1, 3, 5, 8, 12])
+def test_short_items(spark, words):
+    item = prose(words, words, "item")
+    docs = texts(spark, [(1, f"a b {item} c d"), (2, prose(2, 50)), (3, item.replace("item", "no"))])
+    assert set(hits(docs, items(spark, [(1, item)]))) == {1}
+
+
+def test_blocks_of_the_benchmark_give_the_same(spark, small, monkeypatch):
+    docs, _ = documents(spark, small)
+    benchmark = spark.read.parquet(f"{small}/benchmark.parquet")
+    whole = hits(docs, benchmark)
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 1500)
+    assert hits(docs, benchmark) == whole
+
+
+def test_odd_rows(spark):
+    docs = odd(spark)
+    passage = prose(99, 70, "shared")
+    benchmark = items(spark, [(1, passage), (2, None), (3, ""), (4, "...!"), (None, prose(5, 20))])
+    found = find_overlaps(docs, benchmark)
+    assert found.count() == docs.count()
+    assert {r["doc_id"] for r in found.collect() if r["overlaps"]} == {8, 9}
+    clean = decontaminate(docs, benchmark)
+    assert clean.columns == [*docs.columns]
+    assert clean.count() == docs.count() - 2
+
+
+def test_empty_tables(spark):
+    assert find_overlaps(empty(spark), items(spark, [(1, "a b c d e")])).collect() == []
+    assert decontaminate(odd(spark), items(spark, [])).count() == odd(spark).count()
