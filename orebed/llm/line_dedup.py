@@ -1,10 +1,12 @@
 """Removal of passages that documents share, by content-defined chunks of lines.
 
 A line of ``LONG_LINE`` words or more is a chunk. The lines between such lines are cut
-where a rolling hash over line hashes says so, at two scales; that depends on content only,
-so a passage is cut alike wherever it stands. Chunks are counted over all documents by a
+after every line whose rolling hash is lower than those of both its neighbours, so that a
+chunk has two lines at least; several hashes give several ways to cut. That depends on
+content only, so a passage is cut alike wherever it stands. Chunks are counted over all documents by a
 128-bit hash. One that occurs in several documents stays in the first, by doc_id, and goes
-from the others, together with lines next to it that also occur elsewhere. At the end all
+from the others, together with lines next to it that also occur earlier; so do lines in a
+row that have one first document in common and ``LONG_LINE`` words. At the end all
 occurrences are compared byte by byte; what merely shared a hash is put back.
 """
 
@@ -24,8 +26,8 @@ from orebed.session import materialize
 LONG_LINE = 50
 #: A chunk of shorter lines has two of them and this many words at least.
 CHUNK_WORDS = 20
-#: (lines in the rolling window, one boundary in so many lines)
-SCALES = ((1, 2), (2, 4))
+#: Lines in the rolling window of each hash.
+WINDOWS = (1, 1, 2)
 NO_ID = 2**63 - 1
 
 _ROLL = 0x9E3779B97F4A7C15
@@ -38,12 +40,16 @@ def digest(data: bytes) -> bytes:
     return xxhash.xxh3_128_digest(data)
 
 
-def _roll(hashes: Sequence[int], index: int, low: int, window: int) -> int:
-    value = 0
-    for k in range(max(low, index - window + 1), index + 1):
-        value = (value * _ROLL + hashes[k]) & _MASK
-    value ^= value >> 32
-    return (value * _ROLL & _MASK) >> 33
+def _rolled(hashes: Sequence[int], window: int, salt: int) -> list[int]:
+    """The rolling hash that ends at each line; lines before the first do not count."""
+    rolled = []
+    for i in range(len(hashes)):
+        value = salt
+        for line in hashes[max(0, i + 1 - window) : i + 1]:
+            value = ((value ^ line) * _ROLL) & _MASK
+            value ^= value >> 29
+        rolled.append(value * _ROLL & _MASK)
+    return rolled
 
 
 def parts_of(lines: Sequence[bytes]) -> list[Part]:
@@ -56,34 +62,43 @@ def parts_of(lines: Sequence[bytes]) -> list[Part]:
     for high in range(len(lines) + 1):
         if high < len(lines) and words[high] < LONG_LINE:
             continue
-        for window, one_in in SCALES:
-            start = low
-            for i in range(low, high):
-                if i + 1 == high or _roll(hashes, i, low, window) % one_in == 0:
-                    total = sum(words[start : i + 1])
-                    if i > start and total >= CHUNK_WORDS:
-                        key = digest(b"\n".join(lines[start : i + 1]))
-                        found.append((start, i + 1 - start, total, key))
-                    start = i + 1
+        for salt, window in enumerate(WINDOWS):
+            rolled, start = _rolled(hashes[low:high], window, salt), 0
+            for i in range(high - low):
+                last = i + 1 == high - low
+                if not last and not (i > 0 and rolled[i - 1] > rolled[i] < rolled[i + 1]):
+                    continue
+                total = sum(words[low + start : low + i + 1])
+                if i > start and total >= CHUNK_WORDS:
+                    key = digest(b"\n".join(lines[low + start : low + i + 1]))
+                    found.append((low + start, i + 1 - start, total, key))
+                start = i + 1
         low = high + 1
     return list(dict.fromkeys(found))
 
 
-def _removed(count: int, parts: Sequence[Part], first: Sequence[bool]) -> list[bool]:
-    """Which of ``count`` lines go: chunks that stand elsewhere first, then single lines
-    that do and touch what goes."""
-    gone, single = [False] * count, [False] * count
-    for (start, lines, words, _), here in zip(parts, first):
-        if here:
+def _removed(count: int, parts: Sequence[Part], first: Sequence[int], doc: int) -> list[bool]:
+    """Which of ``count`` lines go: chunks that stand in an earlier document; lines in a row
+    that all have the same first document, if they make up a passage; and then single lines
+    that stand earlier and touch what goes. ``first`` is the first document of each part."""
+    gone, origin, words_in = [False] * count, [doc] * count, [0] * count
+    for (start, lines, words, _), where in zip(parts, first):
+        if where == doc:
             continue
+        if lines == 1:
+            origin[start], words_in[start] = where, words
         if lines > 1 or words >= LONG_LINE:
             gone[start : start + lines] = [True] * lines
-        elif lines == 1:
-            single[start] = True
+    start = 0
+    for i in range(1, count + 1):
+        if i == count or origin[i] != origin[start]:
+            if origin[start] != doc and sum(words_in[start:i]) >= LONG_LINE:
+                gone[start:i] = [True] * (i - start)
+            start = i
     for order in (range(1, count), range(count - 2, -1, -1)):
         step = 1 if order.step == 1 else -1
         for i in order:
-            if single[i] and gone[i - step]:
+            if origin[i] != doc and gone[i - step]:
                 gone[i] = True
     return gone
 
@@ -126,9 +141,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value, found = text.as_py(), parts.as_py() or []
             lines = (value or "").encode().split(b"\n")
             n_lines.append(len(lines) if value is not None else 0)
-            here = [part["first"] == doc.as_py() for part in found]
             gone = _removed(
-                len(lines), [(p["start"], p["lines"], p["words"], p["hash"]) for p in found], here
+                len(lines), [(p["start"], p["lines"], p["words"], p["hash"]) for p in found],
+                [p["first"] for p in found], doc.as_py(),
             )
             kept = b"\n".join(line for line, out in zip(lines, gone) if not out)
             texts.append(value if not any(gone) else kept.decode())
