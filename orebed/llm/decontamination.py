@@ -68,10 +68,10 @@ class Index:
     at: np.ndarray
     first: np.ndarray  # of each item's words in ``words``, one more at the end
     words: np.ndarray
-    ids: np.ndarray
+    ids: list[int | None]
 
 
-def build_index(ids: list[int], texts: list[str]) -> Index:
+def build_index(ids: list[int | None], texts: list[str]) -> Index:
     found = find_words(pa.array(texts, pa.string()), LETTERS)
     masks = sorted({m for n in found.counts() if n for m in _masks(int(n))})
     hashes, item, at = [], [], []
@@ -84,12 +84,11 @@ def build_index(ids: list[int], texts: list[str]) -> Index:
             at.append(np.arange(len(window)))
     if not hashes:
         empty = np.zeros(0, np.int64)
-        return Index([], empty.astype(np.uint64), empty, empty, found.first, found.hash, empty)
+        return Index([], empty.astype(np.uint64), empty, empty, found.first, found.hash, [])
     joined, items, starts = map(np.concatenate, (hashes, item, at))
     order = np.argsort(joined, kind="stable")
     return Index(
-        masks, joined[order], items[order], starts[order], found.first, found.hash,
-        np.array(ids, dtype=np.int64),
+        masks, joined[order], items[order], starts[order], found.first, found.hash, ids
     )
 
 
@@ -179,7 +178,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     words = found.hash[found.first[row] : found.first[row + 1]]
                     before[row] = (before[row] or []) + [
                         {
-                            "item_id": int(index.ids[i]), "item_start": a, "start": b,
+                            "item_id": index.ids[i], "item_start": a, "start": b,
                             "words": n, "matched": m,
                         }
                         for i, a, b, n, m in overlaps_of(index, words)

@@ -4,7 +4,8 @@ Every set of shingles chooses on average ``1 / threshold`` of its members, by a
 the same for all sets; sets that chose the same shingle share a bucket. A bucket that is too
 large is split in the same way by a further shingle of its sets, up to ``DEPTH`` times. Two
 sets above the threshold meet in one run with a probability that has a known lower bound,
-and runs are repeated until the recall aimed at is reached (``runs_for``).
+and runs are repeated until the recall aimed at is reached (``runs_for``). What the first
+runs have connected needs no further comparison in the others.
 
 Within buckets sets are compared by a sketch of ``BINS`` bytes, and what may be similar is
 connected. The components of that graph are small supersets of the true groups. Inside them
@@ -15,11 +16,12 @@ links leave a block, never the pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,9 @@ RECALL = 0.999
 DEPTH = 3
 BUCKET = 128
 BLOCK = 128
+REST_BLOCK = 512
+#: Runs after which what is connected already is left out of the others.
+FIRST_RUNS = 3
 BINS = 128
 #: Sketches are compared at four standard deviations below the threshold.
 SKETCH_SLACK = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / BINS)
@@ -86,25 +91,21 @@ def _sketches(doc: np.ndarray, shingle: np.ndarray, rows: int) -> np.ndarray:
 
 def _paths(
     doc: np.ndarray, shingle: np.ndarray, size: np.ndarray, runs: int, depth: int
-) -> tuple[np.ndarray, ...]:
-    """(row, level, parent, path) of all paths that the sets choose."""
+) -> list[tuple[np.ndarray, ...]]:
+    """For each level (row, run, parent, path) of all paths that the sets choose."""
     limit = np.minimum(2.0**64 - 2048, 2.0**64 / (THRESHOLD * np.maximum(size, 1)))
     limit = limit.astype(np.uint64)
     first = np.concatenate([[0], np.cumsum(size)])
-    at_doc, at_path = [], []
-    for seed in seeds(runs, 23):
+    level = []
+    for run, seed in enumerate(seeds(runs, 23)):
         path = mix(shingle ^ seed)
         chosen = path <= limit[doc]
-        at_doc.append(doc[chosen])
-        at_path.append(path[chosen])
-    rows, paths = np.concatenate(at_doc), np.concatenate(at_path)
-    parents = np.zeros(len(rows), dtype=np.uint64)
-    found = []
-    for level in range(1, depth + 1):
-        found.append((rows, np.full(len(rows), level), parents, paths))
-        if level == depth:
-            break
-        next_rows, next_parents, next_paths = [], [], []
+        count = int(chosen.sum())
+        level.append((doc[chosen], np.full(count, run), np.zeros(count, np.uint64), path[chosen]))
+    found = [tuple(map(np.concatenate, zip(*level)))]
+    while len(found) < depth:
+        rows, run, _, paths = found[-1]
+        level = [tuple(column[:0] for column in found[-1])]
         for low in range(0, len(rows), 4096):
             part_rows, part_paths = rows[low : low + 4096], paths[low : low + 4096]
             many = size[part_rows]
@@ -112,15 +113,10 @@ def _paths(
             within = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
             members = shingle[first[part_rows][owner] + within]
             path = mix(mix(members) ^ part_paths[owner])
-            chosen = path <= limit[part_rows][owner]
-            next_rows.append(part_rows[owner[chosen]])
-            next_parents.append(part_paths[owner[chosen]])
-            next_paths.append(path[chosen])
-        if not next_rows:
-            break
-        rows = np.concatenate(next_rows)
-        parents, paths = np.concatenate(next_parents), np.concatenate(next_paths)
-    return tuple(np.concatenate(column) for column in zip(*found))
+            owner, path = (x[path <= limit[part_rows][owner]] for x in (owner, path))
+            level.append((part_rows[owner], run[low + owner], part_paths[owner], path))
+        found.append(tuple(map(np.concatenate, zip(*level))))
+    return found
 
 
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -141,37 +137,39 @@ def _lists(rows: np.ndarray, count: int, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
-_SIGNATURE = (
-    "doc_id bigint, text_hash bigint, size int, node bigint, sketch binary, "
-    "paths array<struct<level: int, parent: bigint, path: bigint>>"
-)
+_STEPS = "array<struct<run: int, parent: bigint, path: bigint>>"
 
 
 def _signatures(docs: DataFrame, runs: int, depth: int) -> DataFrame:
+    """Per row its set's size, hash (``node``), sketch and, by level, paths."""
+    levels = [f"paths_{level}" for level in range(1, depth + 1)]
+    schema = "doc_id bigint, text_hash bigint, size int, node bigint, sketch binary"
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):
             n = batch.num_rows
             doc, shingle = _sets(batch)
             size, node = _set_hash(doc, shingle, n)
-            row, level, parent, path = _paths(doc, shingle, size, runs, depth)
-            order = np.argsort(row, kind="stable")
-            steps = pa.StructArray.from_arrays(
-                [
-                    pa.array(level[order], pa.int32()), pa.array(signed(parent[order])),
-                    pa.array(signed(path[order])),
-                ],
-                ["level", "parent", "path"],
-            )
+            columns = []
+            for row, run, parent, path in _paths(doc, shingle, size, runs, depth):
+                order = np.argsort(row, kind="stable")
+                steps = pa.StructArray.from_arrays(
+                    [
+                        pa.array(run[order], pa.int32()), pa.array(signed(parent[order])),
+                        pa.array(signed(path[order])),
+                    ],
+                    ["run", "parent", "path"],
+                )
+                columns.append(_lists(row[order], n, steps))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("text_hash"),
-                    pa.array(size, pa.int32()), pa.array(signed(node)),
-                    _fixed(_sketches(doc, shingle, n)), _lists(row[order], n, steps),
+                    batch.column("doc_id"), batch.column("text_hash"), pa.array(size, pa.int32()),
+                    pa.array(signed(node)), _fixed(_sketches(doc, shingle, n)), *columns,
                 ],
-                ["doc_id", "text_hash", "size", "node", "sketch", "paths"],
+                ["doc_id", "text_hash", "size", "node", "sketch", *levels],
             )
 
-    return docs.mapInArrow(sign, _SIGNATURE)
+    return docs.mapInArrow(sign, ", ".join([schema, *(f"{name} {_STEPS}" for name in levels)]))
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -233,99 +231,138 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _leader_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whether a node is like the leader of its bucket."""
+    """Whether a node is like the leader of its bucket, or connected to it by now."""
     for batch in batches:
         if batch.num_rows:
             like = _alike(
                 _matrix(_bytes(batch.column("sketch"))), _matrix(_bytes(batch.column("_lead")))
             )
+            same = pc.equal(batch.column("root"), batch.column("_common"))
+            attached = pc.or_(pa.array(like), same)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("path"), batch.column("node"), batch.column("leader"), pa.array(like)],
+                [batch.column("path"), batch.column("node"), batch.column("leader"), attached],
                 ["path", "node", "leader", "attached"],
             )
 
 
 def _rest_edges(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between the unattached nodes of a block and all nodes of another."""
+    """A spanning forest of the edges between a block of the rest and a block of all nodes."""
     table = pa.Table.from_batches(list(batches))
     rest = np.array(table["rest"].to_pylist(), dtype=bool)
     nodes = table["node"].to_numpy()
     sketch = _matrix(table["sketch"].to_pylist())
-    edges = []
+    others = np.flatnonzero(~rest)
+    linked = np.zeros((len(nodes), len(nodes)), dtype=bool)
     for i in np.flatnonzero(rest):
-        like = _alike(sketch[i], sketch[~rest])
-        edges += [(int(nodes[i]), int(other)) for other in nodes[~rest][like] if other != nodes[i]]
-    yield _edge_batch(edges)
+        linked[i, others] = linked[others, i] = _alike(sketch[i], sketch[others])
+    yield _edge_batch([(int(nodes[i]), int(nodes[j])) for i, j in _stars(linked)])
 
 
 def _block_of(column: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(column), blocks)
 
 
-def _oversize_edges(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Edges of buckets that no further path may split. Nodes like the first node of the
-    bucket are connected to it and so to each other; the rest is compared with all, block by
-    block. In a bucket of near copies hardly anything is left for that."""
-    rows = rows.select("path", "node", "count", "leader")
+def _numbers(below: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(below) - 1))
+
+
+def _oversize_edges(rows: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
+    """Edges of buckets (path, node, root, count) that no further path may split.
+
+    The leader of a bucket is one of the nodes with the commonest root. Nodes like it are
+    connected to it, and those that share its root are already. Only the rest is compared
+    with all, block by block; of near copies that is little once a run has connected them.
+    """
+    roots = rows.groupBy("path", "root").agg(
+        F.count(F.lit(1)).alias("_nodes"), F.min("node").alias("leader")
+    )
+    common = roots.groupBy("path").agg(
+        F.max_by(F.struct("root", "leader"), F.struct("_nodes", "root")).alias("_most")
+    ).select("path", F.col("_most.root").alias("_common"), "_most.leader")
     lead = sketches.select(F.col("node").alias("leader"), F.col("sketch").alias("_lead"))
-    leaders = rows.select("path", "leader").distinct().join(lead, "leader").drop("leader")
     told = materialize(
-        rows.join(sketches, "node").join(leaders, "path").mapInArrow(
-            _leader_edges, "path bigint, node bigint, leader bigint, attached boolean"
-        ),
+        rows.select("path", "node", "root").join(sketches, "node")
+        .join(common.join(lead, "leader"), "path")
+        .mapInArrow(_leader_edges, "path bigint, node bigint, leader bigint, attached boolean"),
         "leaders",
     )
     rest = told.where("not attached").select("path", "node")
     blocks = rest.groupBy("path").agg(F.count(F.lit(1)).alias("_rest"))
-    sized = rows.join(blocks, "path").withColumns({
-        "_rest_blocks": F.ceil(F.col("_rest") / BLOCK), "_all_blocks": F.ceil(F.col("count") / BLOCK),
-    })
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_rest_blocks") - 1))
-    others = sized.select(
-        "path", "node", every.alias("_i"), _block_of("node", F.col("_all_blocks")).alias("_j")
-    ).withColumn("rest", F.lit(False))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_all_blocks") - 1))
+    sized = materialize(
+        rows.select("path", "node", "count").join(blocks, "path").select(
+            "path", "node", F.ceil(F.col("_rest") / block).alias("_rest_blocks"),
+            F.ceil(F.col("count") / block).alias("_all_blocks"),
+        ),
+        "rest",
+    )
+    every = sized.select(
+        "path", "node", _numbers("_rest_blocks").alias("_i"),
+        _block_of("node", F.col("_all_blocks")).alias("_j"), F.lit(False).alias("rest"),
+    )
     alone = sized.join(rest, ["path", "node"], "left_semi").select(
-        "path", "node", _block_of("node", F.col("_rest_blocks")).alias("_i"), every.alias("_j")
-    ).withColumn("rest", F.lit(True))
-    pairs = others.unionByName(alone).join(sketches, "node")
+        "path", "node", _block_of("node", F.col("_rest_blocks")).alias("_i"),
+        _numbers("_all_blocks").alias("_j"), F.lit(True).alias("rest"),
+    )
+    pairs = every.unionByName(alone).join(sketches, "node")
     direct = told.where("attached and node <> leader").select(
         F.col("leader").alias("a"), F.col("node").alias("b")
     )
     return direct.union(pairs.groupBy("path", "_i", "_j").applyInArrow(_rest_edges, _EDGES))
 
 
-def _candidates(signatures: DataFrame, depth: int, bucket: int) -> DataFrame:
-    """Edges whose components contain all links, with the recall of the paths."""
-    sets = signatures.where("size > 0")
-    sketches = sets.select("node", "sketch")
-    steps = sets.select("node", F.explode("paths").alias("s")).select("node", "s.*")
-    small, hot = [], None
-    oversize = None
+def _buckets(
+    sets: DataFrame, roots: DataFrame | None, runs: range, depth: int, bucket: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (path, node, root, count) of the buckets of some runs: those of bounded
+    size, and those that are still larger at the last level. Buckets all of whose nodes have
+    one root by now are left out, as no new link between components can come of them."""
+    small: list[DataFrame] = []
+    large = None
     for level in range(1, depth + 1):
-        rows = steps.where(F.col("level") == level)
-        if hot is not None:
+        steps = F.filter(
+            f"paths_{level}", lambda s: (s["run"] >= runs.start) & (s["run"] < runs.stop)
+        )
+        rows = sets.select("node", F.explode(steps).alias("s")).select("node", "s.parent", "s.path")
+        if large is not None:
+            hot = large.select(F.col("path").alias("_hot")).distinct()
             rows = rows.join(hot, rows["parent"] == hot["_hot"], "left_semi")
-        rows = materialize(rows.select("path", "node").distinct(), f"paths-{level}")
+        rows = rows.select("path", "node").distinct()
+        if roots is None:
+            rows = rows.withColumn("root", F.col("node"))
+        else:
+            rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = materialize(rows.select("path", "node", "root"), f"paths-{level}")
         sizes = rows.groupBy("path").agg(
-            F.count(F.lit(1)).alias("count"), F.min("node").alias("leader")
-        ).where("count > 1")
+            F.count(F.lit(1)).alias("count"),
+            F.min("root").alias("_low"), F.max("root").alias("_high"),
+        ).where("_low < _high").drop("_low", "_high")
         sized = materialize(rows.join(sizes, "path"), f"buckets-{level}")
         small.append(sized.where(F.col("count") <= bucket))
         large = sized.where(F.col("count") > bucket)
-        if level == depth:
-            oversize = large
-        else:
-            hot = large.select(F.col("path").alias("_hot")).distinct()
-    shared = reduce(DataFrame.union, [*small, oversize])
-    needed = shared.select("node").distinct()
-    known = materialize(sketches.join(needed, "node", "left_semi").distinct(), "sketches")
-    whole = (
-        reduce(DataFrame.union, small).join(known, "node")
-        .groupBy("path").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
-        .select("members").mapInArrow(_bucket_edges, _EDGES)
-    )
-    return whole.union(_oversize_edges(oversize, known))
+    return reduce(DataFrame.union, small), large
+
+
+def _candidates(signatures: DataFrame, runs: int, depth: int, bucket: int) -> DataFrame:
+    """Edges whose components contain all links, with the recall of the paths."""
+    sets = signatures.where("size > 0")
+    edges, roots = None, None
+    for part in (range(min(FIRST_RUNS, runs)), range(min(FIRST_RUNS, runs), runs)):
+        if not len(part):
+            continue
+        small, large = _buckets(sets, roots, part, depth, bucket)
+        needed = small.select("node").union(large.select("node")).distinct()
+        sketches = sets.select("node", "sketch").join(needed, "node", "left_semi").distinct()
+        sketches = materialize(sketches, "sketches")
+        whole = (
+            small.join(sketches, "node")
+            .groupBy("path").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
+            .select("members").mapInArrow(_bucket_edges, _EDGES)
+        )
+        new = whole.union(_oversize_edges(large, sketches, REST_BLOCK))
+        edges = new if edges is None else edges.union(new)
+        edges = materialize(edges.distinct(), "candidates")
+        roots = materialize(components(edges), "coarse")
+    return roots
 
 
 def _exact(
@@ -418,8 +455,9 @@ def _links(docs: DataFrame, signatures: DataFrame, coarse: DataFrame, block: int
         F.count(F.lit(1)).alias("copies"),
     )
     chosen = materialize(chosen, "members")
+    # Texts are met by a sort-merge join, whatever the sizes, so that growth holds no surprise.
     texts = docs.withColumn("_key", key).join(
-        chosen.select("text_hash", "_key"), ["text_hash", "_key"], "left_semi"
+        chosen.select("text_hash", "_key").hint("merge"), ["text_hash", "_key"], "left_semi"
     )
     sets = texts.select("text").mapInArrow(_members, "node bigint, members binary").distinct()
     sizes = chosen.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
@@ -446,9 +484,9 @@ def _classify(
     """One row per row of ``docs``, with ``root``, the same for all of a class and NULL for
     rows without links."""
     docs = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    signatures = materialize(_signatures(docs, runs_for(recall, depth), depth), "signatures")
-    coarse = components(_candidates(signatures, depth, bucket))
-    links = _links(docs, signatures, materialize(coarse, "coarse"), block)
+    runs = runs_for(recall, depth)
+    signatures = materialize(_signatures(docs, runs, depth), "signatures")
+    links = _links(docs, signatures, _candidates(signatures, runs, depth, bucket), block)
     roots = components(links.where("b IS NOT NULL").select("a", "b"))
     counts = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(
         F.sum("links").alias("_links")
