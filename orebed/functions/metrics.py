@@ -20,6 +20,13 @@ def num(value: Column) -> Column:
     return value.try_cast("double")
 
 
+def whole(value: Column) -> Column:
+    """Text as an integer: also one with a fraction of zero, such as "4.0". Anything else,
+    text that is no number or has another fraction, is NULL."""
+    exact = value.try_cast("decimal(38,18)")
+    return F.when(exact == F.floor(exact), F.floor(exact).try_cast("bigint"))
+
+
 def ratio(part: Column, whole: Column, digits: int, scale: int = 1) -> Column:
     """``part / whole * scale`` rounded half up; NULL when ``whole`` is zero."""
     quotient = F.try_divide(num(part), num(whole))

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orebed.functions.metrics import whole
 from orebed.specs import COMPAT, SOURCE_FILE, STRICT, EntitySpec, Field, check_mode
 
 
@@ -24,7 +25,8 @@ def has_array(bronze: DataFrame, spec: EntitySpec) -> bool:
 def _column(field: Field, mode: str) -> Column:
     value = F.col(f"element.{field.raw}")
     if mode == STRICT and field.strict_type != "string":
-        value = value.try_cast(field.strict_type)
+        whole_number = field.strict_type == "bigint"
+        value = whole(value) if whole_number else value.try_cast(field.strict_type)
     return value.alias(field.column)
 
 

@@ -2,24 +2,29 @@
 
 A plain window would put each group on one task, so one large group would decide the run
 time of the job. Here rows that tie on the order key are summed first (a frame by value
-gives all of them the same total anyway). If no group has many sums left, a window over
-them is cheap. Otherwise they are cut into slices along the sort order and each slice is
-totalled on its own; what remains per group is one number per slice. No task ever has to
-hold a whole large group.
+gives all of them the same total anyway). The sums are cut into slices along the sort order,
+each totalled by its own task, with what earlier slices add up to entering as a first row.
+Those carried sums are running totals themselves, of the few groups that several slices
+share, and are found in the same way. No task ever has to hold a whole large group.
+
+Fractional values are added as decimals, so that totals do not depend on the order of
+addition, hence not on how many slices there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from orebed.session import materialize
 
-# Rows that one task windows without effort, however they are grouped.
-ONE_TASK_ROWS = 1_000_000
-MOST_SLICES = 10_000
+#: Sums in a slice, on average.
+SLICE_KEYS = 100_000
+#: What fractional values are added as; sums have ten more digits before the point.
+EXACT = "decimal(28,10)"
 
 
 def _same_keys(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str) -> Column:
@@ -34,12 +39,47 @@ def _renamed(df: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({name: prefix + name for name in names})
 
 
-def _slices_for(spark: SparkSession, count: int) -> int:
-    """Several slices per shuffle partition, so that hashing them spreads evenly, and more
-    where they would grow too long. The bound is on the driver's share of a range
-    exchange, a sample per slice; beyond it slices get longer."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(4 * partitions, count // ONE_TASK_ROWS), MOST_SLICES)
+def _accumulated(
+    sums: DataFrame, partition_by: Sequence[str], order: Column, slices: int | None = None,
+    last: int = Window.currentRow,
+) -> DataFrame:
+    """``sums``, one row per (group, order key) with ``_own``, and ``_total``: the sum of
+    ``_own`` over the group up to and including the row, or the one before if ``last`` is -1."""
+    slices = slices or max(1, -(-sums.count() // SLICE_KEYS))
+    ranged = sums.repartitionByRange(slices, *(F.col(c).asc() for c in partition_by), order)
+    # A range exchange samples its input, so a second evaluation may cut elsewhere.
+    # The cut is used twice below and therefore written down first.
+    sliced = ranged.withColumn("_slice", F.spark_partition_id())
+    keyed = sliced.withColumn("_is_key", F.lit(True))
+    if slices > 1:
+        sliced = materialize(sliced, "slices")
+        carried = _carried(sliced, partition_by).withColumn("_is_key", F.lit(False))
+        keyed = sliced.withColumn("_is_key", F.lit(True))
+        keyed = keyed.unionByName(carried, allowMissingColumns=True)
+    # The slice comes first: its number sorts by radix, text would be compared.
+    so_far = (
+        Window.partitionBy("_slice", *partition_by)
+        .orderBy("_is_key", order)
+        .rowsBetween(Window.unboundedPreceding, last)
+    )
+    totalled = keyed.withColumn("_total", F.sum("_own").over(so_far))
+    return totalled.where("_is_key").drop("_slice", "_is_key")
+
+
+def _carried(sliced: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """(group, slice, ``_own``): the sum of the group's earlier slices, for groups in several
+    slices. Those are at most one less than there are slices."""
+    parts = sliced.groupBy(*partition_by, "_slice").agg(F.sum("_own").alias("_own"))
+    spans = _renamed(
+        parts.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_parts")), partition_by, "_g_"
+    )
+    shared = parts.join(spans, _same_keys(parts, spans, partition_by, "_g_")).where("_parts > 1")
+    shared = shared.select(*partition_by, F.col("_slice").alias("_at"), "_own")
+    shared = materialize(shared, "carried")
+    totals = _accumulated(shared, partition_by, F.col("_at").asc(), last=-1)
+    return totals.select(
+        *partition_by, F.col("_at").alias("_slice"), F.col("_total").alias("_own")
+    )
 
 
 def _totals_per_key(
@@ -52,56 +92,9 @@ def _totals_per_key(
 ) -> DataFrame:
     """One row per (group, order key): ``_own``, the sum of its rows, and ``_total``, the
     sum of all rows of the group up to and including it."""
-    keys = [*partition_by, order_by]
     order = F.col(order_by).desc() if descending else F.col(order_by).asc()
-    sort_key = [*(F.col(c).asc() for c in partition_by), order]
-
-    own = materialize(rows.groupBy(*keys).agg(F.sum(value).alias("_own")), "sums")
-    if slices is None:
-        sizes = own.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_sums"))
-        largest, count = sizes.agg(F.max("_sums"), F.sum("_sums")).first()
-        if (largest or 0) <= ONE_TASK_ROWS:
-            so_far = (
-                Window.partitionBy(*partition_by)
-                .orderBy(order)
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            )
-            return own.withColumn("_total", F.sum("_own").over(so_far))
-        slices = _slices_for(rows.sparkSession, count)
-
-    ranged = own.repartitionByRange(slices, *sort_key)
-    # A range exchange samples its input, so a second evaluation may cut elsewhere.
-    # The cut is used twice below and therefore written down first.
-    sliced = materialize(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
-
-    # The slice comes first: its number sorts by radix, text would be compared.
-    slice_keys = ["_slice", *partition_by]
-    earlier = (
-        Window.partitionBy(*partition_by)
-        .orderBy("_slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # What all earlier slices add up to enters each slice as its first row, which spares
-    # a join of the slices with their offsets.
-    carried = (
-        sliced.groupBy(*slice_keys)
-        .agg(F.sum("_own").alias("_slice_sum"))
-        .withColumn("_own", F.sum("_slice_sum").over(earlier))
-        .drop("_slice_sum")
-        .withColumn("_is_key", F.lit(False))
-    )
-    so_far = (
-        Window.partitionBy(*slice_keys)
-        .orderBy("_is_key", order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    totals = (
-        sliced.withColumn("_is_key", F.lit(True))
-        .unionByName(carried, allowMissingColumns=True)
-        .withColumn("_total", F.sum("_own").over(so_far))
-        .where("_is_key")
-        .select(*keys, "_own", "_total")
-    )
+    own = rows.groupBy(*partition_by, order_by).agg(F.sum(value).alias("_own"))
+    totals = _accumulated(materialize(own, "sums"), partition_by, order, slices)
     # Written down so that the join back to the rows is planned on its true size: a
     # broadcast when it is small, a sort-merge join that splits hot keys when it is not.
     return materialize(totals, "totals")
@@ -110,8 +103,9 @@ def _totals_per_key(
 def _attach(
     rows: DataFrame, totals: DataFrame, keys: Sequence[str], result: Column, out: str
 ) -> DataFrame:
+    """All rows, with their key's result."""
     totals = _renamed(totals.select(*keys, result.alias(out)), keys, "_t_")
-    joined = rows.join(totals, _same_keys(rows, totals, keys, "_t_"))
+    joined = rows.join(totals, _same_keys(rows, totals, keys, "_t_"), "left")
     return joined.drop(*(f"_t_{name}" for name in keys))
 
 
@@ -128,11 +122,16 @@ def running_total(
     """Add ``out``: the sum of ``value`` over the group, from its start to this row's order
     key, ties included. NULL keys form one group and sort first (last when descending).
 
-    ``rows`` is evaluated twice, so it should be a table rather than a long plan.
-    ``slices`` forces that many slices; by default they follow from the number of sums.
+    Fractional values count to ten decimal places; one that is no number, or too large for
+    ``EXACT``, is an error. ``rows`` is evaluated twice, so it should be a table rather than
+    a long plan. ``slices`` forces that many slices, which does not change the result.
     """
-    totals = _totals_per_key(rows, value, partition_by, order_by, descending, slices)
-    return _attach(rows, totals, [*partition_by, order_by], F.col("_total"), out)
+    kind = rows.select(value).schema.fields[0].dataType
+    fractional = isinstance(kind, DoubleType | FloatType)
+    exact = value.cast(EXACT) if fractional else value
+    totals = _totals_per_key(rows, exact, partition_by, order_by, descending, slices)
+    total = F.col("_total").cast("double") if fractional else F.col("_total")
+    return _attach(rows, totals, [*partition_by, order_by], total, out)
 
 
 def rank_within(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: status of a finished fixture.
@@ -35,11 +35,10 @@ def group_report(standings: DataFrame) -> DataFrame:
 
 
 def team_performance(teams: DataFrame, standings: DataFrame, limit: int = 10) -> DataFrame:
-    """The best placed teams: profiles left joined to their standings.
-
-    Only a team's own first ``limit`` standings can be in the result, so no more of them
-    enter the join. Spark applies that limit before the shuffle too, which keeps a team
-    with very many standings from filling one task.
+    """The best placed teams: profiles left joined to their standings. Every task of the
+    join keeps its own best rows, and adaptive execution divides a team with very many
+    standings. ``standings`` should be a stored gold table: of that, only the columns of the
+    report are read, and no running total is computed again.
     """
     result_order = ["final_rank", "team_id", "standing_id"]
     measures = standings.select(
@@ -50,15 +49,9 @@ def team_performance(teams: DataFrame, standings: DataFrame, limit: int = 10) ->
         "win_percentage",
         F.col("position").alias("final_rank"),
     )
-    first = Window.partitionBy("team_id").orderBy("final_rank", "standing_id")
-    leading = (
-        measures.withColumn("nth", F.row_number().over(first))
-        .where(F.col("nth") <= limit)
-        .drop("nth")
-    )
     return (
         teams.select("team_id", "team_name")
-        .join(leading, "team_id", "left")
+        .join(measures, "team_id", "left")
         .orderBy(*result_order)
         .limit(limit)
         .select(

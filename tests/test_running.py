@@ -51,12 +51,21 @@ def test_equals_plain_window(rows, slices, numeric, descending):
     assert by_id(ranks, "rk") == by_id(expected, "rk")
 
 
-def test_slices_where_sums_are_many(rows, monkeypatch):
-    monkeypatch.setattr(running, "ONE_TASK_ROWS", 10)
+def test_slices_follow_the_number_of_sums(rows, monkeypatch):
+    """Few sums in a slice, so that the carried sums are cut into slices again."""
+    monkeypatch.setattr(running, "SLICE_KEYS", 4)
     totals = running_total(rows, F.col("pts"), ["grp"], "pos", "total")
     assert by_id(totals, "total") == by_id(plain(rows, "pos"), "total")
 
 
+@pytest.mark.parametrize("slices", [1, 5, 40])
+def test_fractions_do_not_depend_on_slices(rows, slices):
+    tenths = rows.withColumn("pts", F.col("id") * 0.1 + F.when(F.col("id") % 5 == 0, 1e7).otherwise(0.3))
+    totals = by_id(running_total(tenths, F.col("pts"), ["grp"], "pos", "total", slices=slices), "total")
+    exact = tenths.withColumn("pts", F.col("pts").cast("decimal(28,10)"))
+    assert totals == {i: float(v) for i, v in by_id(plain(exact, "pos"), "total").items()}
+
+
 def test_whole_table_as_one_group(rows):
     totals = running_total(rows, F.col("pts"), [], "pos", "total", slices=6)
     frame = Window.orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
