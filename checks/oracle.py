@@ -8,7 +8,7 @@ its binary value and so differs on decimal ties.
 from __future__ import annotations
 
 from checks.queries import EARLY
-from orebed.specs import ENTITIES, INGESTED_AT, LOADED_AT, MATCHES, STANDINGS, TEAMS
+from orebed.specs import INGESTED_AT, LOADED_AT, MATCHES, STANDINGS, TEAMS
 
 MICROS = "'%Y-%m-%d %H:%M:%S.%f'"
 
@@ -152,6 +152,9 @@ STANDING_BASE_TYPED = ", ".join(
     for f in STANDINGS.fields
 )
 GOLD_STANDINGS = _gold_standings(STANDING_BASE)
+GOLD_STANDINGS_TYPED = _gold_standings(
+    STANDING_BASE_TYPED, order="CAST(standings.position AS BIGINT)"
+)
 
 MATCH_METRICS = f"""
     {_number("home_score")} + {_number("away_score")} AS total_goals,
@@ -183,6 +186,7 @@ GOLD_MATCHES_STRICT = f"""
            {MATCH_METRICS}
     FROM contests"""
 
+GOLD_TEAMS_TYPED = "SELECT DISTINCT team_id, team_name FROM profiles"
 GOLD_TEAMS = f"SELECT DISTINCT {', '.join(TEAMS.gold_columns)} FROM profiles"
 
 TEXT_METRICS = f"""
@@ -240,27 +244,71 @@ landed AS (
               NOT IN ('null', 'false', '""', '[]', '{}', '0'))) > 0
 )"""
 
+# Columns and types that the published tables are to have.
+CONTRACTS = {
+    "silver_teams": """
+        team_id string, team_name string, team_short_name string, team_founded string,
+        team_colour_1 string, team_colour_2 string, team_stadium string, team_location string,
+        team_website string, team_logo string, team_badge string, team_country string,
+        ingested_at timestamp
+    """,
+    "gold_teams": """
+        team_id string, team_name string, team_short_name string, team_founded string,
+        team_country string, team_stadium string, team_location string, team_badge string,
+        team_logo string, gold_loaded_at timestamp
+    """,
+    "silver_standings": """
+        standing_id string, position string, team_id string, team_name string, team_badge
+        string, played_games string, won string, drawn string, lost string, goals_for string,
+        goals_against string, goal_difference string, points string, recent_form string,
+        group_name string, ingested_at timestamp
+    """,
+    "gold_standings": """
+        standing_id string, position string, team_id string, team_name string, team_badge
+        string, group_name string, played_games string, won string, drawn string, lost string,
+        goals_for string, goals_against string, goal_difference string, points string,
+        recent_form string, points_per_game double, win_percentage double, goals_scored_per_game
+        double, goals_conceded_per_game double, running_total_points double, gold_loaded_at
+        timestamp
+    """,
+    "silver_matches": """
+        match_id string, match_name string, match_date string, match_utc_timestamp string,
+        match_time_utc string, match_status string, venue_name string, venue_country string,
+        match_round string, home_team_id string, home_team_name string, home_score string,
+        away_team_id string, away_team_name string, away_score string, home_team_badge string,
+        away_team_badge string, match_thumbnail string, match_poster string, match_video_url
+        string, ingested_at timestamp
+    """,
+    "gold_matches": """
+        match_id string, match_date string, match_time_utc string, match_status string,
+        venue_name string, venue_country string, match_round string, home_team_id string,
+        home_team_name string, home_score string, away_team_id string, away_team_name string,
+        away_score string, home_team_badge string, away_team_badge string, result string,
+        total_goals double, home_goal_diff double, away_goal_diff double, gold_loaded_at
+        timestamp
+    """,
+}
+
 # Values per column of the published tables: all columns of a table in one pass.
 _STAMPED = {
-    "silver_teams": ("SELECT *, 1 AS {} FROM profiles", INGESTED_AT, "teams"),
-    "silver_standings": ("SELECT *, 1 AS {} FROM standings", INGESTED_AT, "standings"),
-    "silver_matches": ("SELECT *, 1 AS {} FROM contests", INGESTED_AT, "matches"),
-    "gold_teams": (f"SELECT *, 1 AS {{}} FROM ({GOLD_TEAMS})", LOADED_AT, "teams"),
-    "gold_standings": (f"SELECT *, 1 AS {{}} FROM ({GOLD_STANDINGS})", LOADED_AT, "standings"),
-    "gold_matches": (f"SELECT *, 1 AS {{}} FROM ({GOLD_MATCHES})", LOADED_AT, "matches"),
+    "silver_teams": ("SELECT *, 1 AS {} FROM profiles", INGESTED_AT),
+    "silver_standings": ("SELECT *, 1 AS {} FROM standings", INGESTED_AT),
+    "silver_matches": ("SELECT *, 1 AS {} FROM contests", INGESTED_AT),
+    "gold_teams": (f"SELECT *, 1 AS {{}} FROM ({GOLD_TEAMS})", LOADED_AT),
+    "gold_standings": (f"SELECT *, 1 AS {{}} FROM ({GOLD_STANDINGS})", LOADED_AT),
+    "gold_matches": (f"SELECT *, 1 AS {{}} FROM ({GOLD_MATCHES})", LOADED_AT),
 }
 
 
 def _contract_rows() -> str:
     parts = []
-    for label, (source, stamp_column, name) in _STAMPED.items():
-        spec = ENTITIES[name]
-        contract = spec.silver_contract() if label.startswith("silver") else spec.gold_contract()
+    for label, (source, stamp_column) in _STAMPED.items():
+        fields = [field.split() for field in CONTRACTS[label].split(",")]
         counted = source.format(stamp_column)
-        columns = ", ".join(f"count({f.name}) AS {f.name}" for f in contract.fields)
+        columns = ", ".join(f"count({name}) AS {name}" for name, _ in fields)
         declared = ", ".join(
-            f"({position}, '{f.name}', '{f.dataType.simpleString()}')"
-            for position, f in enumerate(contract.fields, start=1)
+            f"({position}, '{name}', '{kind}')"
+            for position, (name, kind) in enumerate(fields, start=1)
         )
         parts.append(f"""
     SELECT '{label}' AS table_name, CAST(position AS INTEGER) AS position, column_name,
@@ -268,7 +316,18 @@ def _contract_rows() -> str:
     FROM (UNPIVOT (SELECT {columns} FROM ({counted})) ON COLUMNS(*)
           INTO NAME column_name VALUE non_null)
     JOIN (VALUES {declared}) AS v(position, column_name, declared) USING (column_name)""")
-    return "\nUNION ALL\n".join(parts)
+    odd = (
+        (1, "standing_id", "'string'", "NULL", "missing", "NULL"),
+        (2, "position", "'string'", "'bigint'", "wrong type", "count(position)"),
+        (3, "team_id", "'string'", "'string'", "wrong order", "count(team_id)"),
+        (4, "team_name", "'string'", "'string'", "wrong order", "count(team_name)"),
+        (5, "points", "NULL", "'string'", "extra", "count(points)"),
+    )
+    for position, column, declared, actual, status, count in odd:
+        parts.append(f"""
+    SELECT 'odd', {position}, '{column}', {declared}, {actual}, '{status}', {count} FROM standings
+    {"LIMIT 1" if count == "NULL" else ""}""")
+    return "\nUNION ALL\n".join(f"({part})" for part in parts)
 
 
 def _quality_rows() -> str:
@@ -282,7 +341,8 @@ def _quality_rows() -> str:
     ]
     parts = [
         "SELECT 'matches_absent' AS entity, 'files' AS check_name, 0 AS observed, "
-        "'no files' AS problem"
+        "'no files' AS problem",
+        "SELECT 'standings_torn', 'files', 1, 'files of different types'",
     ]
     for name, source, required, absent in layers:
         parts.append(f"SELECT '{name}', 'files', 1, NULL")
@@ -310,15 +370,16 @@ def _rerun_rows() -> str:
     }
     return " UNION ALL ".join(
         f"SELECT '{label}' AS table_name, count(*) AS rows_first, count(*) AS rows_second, "
-        f"CAST(0 AS BIGINT) AS rows_changed, count(*) AS rows_after_failure FROM {source}"
+        "CAST(0 AS BIGINT) AS rows_changed, count(*) AS rows_after_failure, FALSE AS moved "
+        f"FROM {source}"
         for label, source in sources.items()
     )
 
 
 ORACLE = {
     "bronze_roundtrip": f"""
-        SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_returnflag,
-               l_linestatus, strftime(l_shipdate, {MICROS}) AS l_shipdate
+        SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+               l_discount, l_tax, l_returnflag, l_linestatus, strftime(l_shipdate, {MICROS}) AS l_shipdate
         FROM lineitem""",
     "explode_drops_empty": """
         SELECT CAST(o_orderkey AS VARCHAR) AS order_key, 'placed' AS step
@@ -382,7 +443,7 @@ ORACLE = {
         LIMIT 10""",
     "quality_report": _with(PROFILES, STANDING_ROWS, CONTESTS) + f"""
         SELECT entity, check_name, CAST(observed AS BIGINT) AS observed,
-               observed > 0 AS passed, problem
+               problem IS NULL AS passed, problem
         FROM ({_quality_rows()})""",
     "contract_report": _with(PROFILES, STANDING_ROWS, CONTESTS) + _contract_rows(),
     "medallion_rerun": _with(PROFILES, STANDING_ROWS, CONTESTS) + _rerun_rows(),
@@ -400,5 +461,36 @@ ORACLE = {
     "stream_dedup": f"""
         SELECT event_id, strftime(ts, {MICROS}) AS ts, user_id, event_type, value, props
         FROM events""",
-    "stream_silver_matches": _with(CONTESTS) + "SELECT * FROM contests",
+    "stream_silver_matches": _with(CONTESTS) + """
+        SELECT * FROM contests WHERE match_status <> 'LIVE'
+        UNION ALL BY NAME
+        SELECT DISTINCT * REPLACE (CAST(NULL AS VARCHAR) AS match_id)
+        FROM contests WHERE match_status = 'LIVE'""",
+    "team_performance_strict": _with(PROFILES, STANDING_ROWS) + f"""
+        SELECT t.team_id, t.team_name, s.played_games AS total_matches, s.won AS total_wins,
+               s.win_percentage, s.position AS final_rank
+        FROM ({GOLD_TEAMS_TYPED}) t LEFT JOIN ({GOLD_STANDINGS_TYPED}) s USING (team_id)
+        ORDER BY s.position NULLS FIRST, t.team_id NULLS FIRST, s.standing_id NULLS FIRST
+        LIMIT 10""",
+    "group_report_strict": _with(STANDING_ROWS) + f"""
+        SELECT group_name, position, team_name, points, running_total_points, points_per_game
+        FROM ({GOLD_STANDINGS_TYPED}) ORDER BY group_name, position, standing_id""",
+    "bronze_counts": """
+        WITH customers AS (SELECT c_mktsegment AS segment FROM customer),
+        counts AS (
+            SELECT count(*) AS lines,
+                   count(*) FILTER (segment = 'MACHINERY') AS broken,
+                   count(*) FILTER (segment = 'BUILDING') AS without_array,
+                   count(*) FILTER (segment = 'FURNITURE') AS lost,
+                   count(*) FILTER (segment IN ('AUTOMOBILE', 'FURNITURE', 'HOUSEHOLD')) AS kept
+            FROM customers
+        )
+        SELECT 'lines' AS check_name, lines AS observed FROM counts
+        UNION ALL SELECT 'broken lines', broken FROM counts
+        UNION ALL SELECT 'lines without array', without_array FROM counts
+        UNION ALL SELECT 'lost values', lost FROM counts
+        UNION ALL SELECT 'rows', kept FROM counts
+        UNION ALL SELECT 'column team_id', kept FROM counts
+        UNION ALL SELECT 'column team_name', 0 FROM counts
+        UNION ALL SELECT 'years', kept - lost FROM counts""",
 }

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from orebed import fixtures
-from orebed.fixtures import table
-from orebed.functions.metrics import goal_metrics, num, outcome, ratio
+from orebed.fixtures import payload_batches, table
+from orebed.functions.metrics import goal_metrics, num, outcome, ratio, whole
 from orebed.operators.flatten import flatten, has_array
 from orebed.operators.merge import consolidate, latest_per_key, merge_latest
 from orebed.operators.quality import QualityError
@@ -22,18 +22,24 @@ from orebed.plans import reports
 from orebed.plans.gold import gold_matches as build_gold_matches
 from orebed.plans.gold import gold_standings as build_gold_standings
 from orebed.plans.gold import gold_teams as build_gold_teams
-from orebed.plans.medallion import run_medallion
+from orebed.plans.medallion import bronze_to_silver, run_medallion
 from orebed.session import materialize, new_workspace, side_by_side
 from orebed.sources.bronze import (
     keep_payloads,
     land_lines,
     land_payloads,
     land_rows,
-    payload_batches,
     read_bronze,
     to_lines,
 )
-from orebed.sources.layers import cluster, overwrite_partitions, read_layer, write_layer
+from orebed.sources.layers import (
+    cluster,
+    location_of,
+    overwrite_partitions,
+    point,
+    read_layer,
+    write_layer,
+)
 from orebed.sources.layers import contract_report as build_contract_report
 from orebed.specs import (
     ENTITIES,
@@ -63,7 +69,7 @@ MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 def _through_bronze(spark: SparkSession, rows: DataFrame, spec: EntitySpec) -> DataFrame:
     """Land rows as payloads and open the bronze folder."""
     path = new_workspace(spark, f"bronze-{spec.name}")
-    land_rows(rows, spec, path)
+    land_payloads(fixtures.payloads(rows, spec), path)
     return read_bronze(spark, spec, path)
 
 
@@ -74,7 +80,7 @@ def bronze_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items into payload arrays, to JSON lines, back, exploded and cast."""
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_returnflag", "l_linestatus", F.date_format("l_shipdate", MICROS).alias("l_shipdate"),
+        "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", F.date_format("l_shipdate", MICROS).alias("l_shipdate"),
     )
     path = new_workspace(spark, "bronze-lines")
     land_payloads(payload_batches(lines, "lines"), path)
@@ -201,7 +207,11 @@ def _typed(df: DataFrame, spec: EntitySpec) -> DataFrame:
     """Silver text columns as strict silver has them."""
     return df.select(
         *[c for c in df.columns if c not in spec.columns],
-        *[F.col(f.column).try_cast(f.strict_type).alias(f.column) for f in spec.fields],
+        *[
+            (whole(F.col(f.column)) if f.strict_type == "bigint" else F.col(f.column).try_cast(f.strict_type))
+            .alias(f.column)
+            for f in spec.fields
+        ],
     )
 
 
@@ -279,15 +289,13 @@ def running_total_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_total_skewsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three groups hold all line items; as many slices as the session has shuffle
-    partitions share the work, also where adaptive execution would take fewer."""
+    """Three groups hold all line items."""
     rows = table(spark, sf_dir, "lineitem").select(
         "l_returnflag", F.to_date("l_shipdate").alias("shipped"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
     )
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     totalled = running_total(
-        rows, F.col("l_quantity"), ["l_returnflag"], "shipped", "running_quantity", slices=slices
+        rows, F.col("l_quantity"), ["l_returnflag"], "shipped", "running_quantity"
     )
     return totalled.withColumn("shipped", F.col("shipped").cast("string"))
 
@@ -307,12 +315,55 @@ def group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def team_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    standings = build_gold_standings(_silver_standings_table(spark, sf_dir))
+    gold = build_gold_standings(_silver_standings_table(spark, sf_dir))
     return reports.team_performance(
-        build_gold_teams(fixtures.profiles(spark, sf_dir)), standings
+        build_gold_teams(fixtures.profiles(spark, sf_dir)), materialize(gold, "gold-standings")
     )
 
 
+def _strict_gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Gold teams and standings from payloads, all typed."""
+    rows = {TEAMS: fixtures.profiles(spark, sf_dir), STANDINGS: fixtures.standings(spark, sf_dir)}
+    teams, standings = (
+        materialize(flatten(_through_bronze(spark, df, spec), spec, STRICT), f"strict-{spec.name}")
+        for spec, df in rows.items()
+    )
+    return build_gold_teams(teams), materialize(build_gold_standings(standings), "gold-standings")
+
+
+def team_performance_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks sort as numbers: 2 before 10."""
+    return reports.team_performance(*_strict_gold(spark, sf_dir))
+
+
+def group_report_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.group_report(_strict_gold(spark, sf_dir)[1])
+
+
+def bronze_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run counts while it reads: lines, broken ones, ones without the array, and
+    values that no number holds. Of the customers' team payloads one segment is cut short,
+    one lacks the array, one has years that are none, and one years such as "1950.0"."""
+    segment, key = F.col("c_mktsegment"), F.col("c_custkey").cast("string")
+    year = F.when(segment == "FURNITURE", F.lit("long ago")).when(
+        segment == "HOUSEHOLD", F.lit("1950.0")
+    ).otherwise(F.lit("1950"))
+    whole_line = F.format_string('{"teams":[{"idTeam":"%s","intFormedYear":"%s"}]}', key, year)
+    line = (
+        F.when(segment == "MACHINERY", F.substring(whole_line, 1, 20))
+        .when(segment == "BUILDING", F.format_string('{"message":"%s"}', key))
+        .otherwise(whole_line)
+    )
+    path = new_workspace(spark, "bronze-counted")
+    table(spark, sf_dir, "customer").select(line.alias("value")).write.text(f"{path}/bronze")
+    counts = bronze_to_silver(spark, TEAMS, f"{path}/bronze", f"{path}/silver", STRICT)
+    names = [*counts]
+    read = read_layer(spark, f"{path}/silver", TEAMS.silver_contract(STRICT))
+    years = read.agg(F.count("team_founded")).first()[0]
+    rows = [(name, counts[name]) for name in names] + [("years", years)]
+    return spark.createDataFrame(rows, "check_name string, observed bigint")
+
+
 # Gate, contracts, whole run
 
 
@@ -327,6 +378,9 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = fixtures.standings(spark, sf_dir)
         write_layer(rows, f"{root}/standings")
         write_layer(rows.drop("points"), f"{root}/standings_no_points")
+        for kind in ("string", "bigint"):
+            part = rows.withColumn("points", F.col("points").cast(kind))
+            write_layer(part, f"{root}/standings_torn/{kind}")
 
     def write_matches() -> None:
         rows = fixtures.contests(spark, sf_dir)
@@ -340,6 +394,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["teams", "standings", "standings_no_points", "matches", "matches_abandoned"]
     layers = {name: (f"{root}/{name}", ENTITIES[name.split("_")[0]].required) for name in names}
     layers["matches_absent"] = (f"{root}/matches_absent", MATCHES.required)
+    layers["standings_torn"] = (f"{root}/standings_torn/*", STANDINGS.required)
     return build_quality_report(spark, layers)
 
 
@@ -365,13 +420,23 @@ def _database(spark: SparkSession, layout: Layout) -> str:
 
 
 def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every column of the six published tables against its contract."""
+    """Every column of the six published tables against its contract, and those of a table
+    over files that lack a column, have one more, one of another type and two in wrong order."""
     layout = _bronze_layout(spark, sf_dir)
-    run = run_medallion(spark, layout, _database(spark, layout), batch_ts=BATCH_TS)
+    database = _database(spark, layout)
+    run = run_medallion(spark, layout, database, batch_ts=BATCH_TS)
     tables = {}
     for name, spec in ENTITIES.items():
         tables[f"silver_{name}"] = (run.silver[name], _stored(spec.silver_contract()))
         tables[f"gold_{name}"] = (run.gold[name], _stored(spec.gold_contract()))
+    odd = spark.table(run.silver["standings"]).select(
+        F.col("position").cast("bigint"), "team_name", "team_id", "points"
+    )
+    write_layer(odd, f"{layout.root}/odd")
+    point(spark, f"{database}.odd", f"{layout.root}/odd", odd.schema)
+    declared = STANDINGS.silver_contract()
+    names = ("standing_id", "position", "team_id", "team_name")
+    tables["odd"] = (f"{database}.odd", StructType([declared[n] for n in names]))
     return build_contract_report(spark, tables)
 
 
@@ -394,11 +459,12 @@ def medallion_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def files(tables: dict[str, str]) -> dict[str, DataFrame]:
         """The files of this state, which stay when the table moves on to the next."""
-        return {label: spark.read.parquet(_location(spark, t)) for label, t in tables.items()}
+        return {label: spark.read.parquet(location_of(spark, t)) for label, t in tables.items()}
 
     first = files(published())
     tables = published()
     second = files(tables)
+    places = {label: location_of(spark, t) for label, t in tables.items()}
     _land_without_points(spark, sf_dir, layout.bronze("standings"))
     try:
         published()
@@ -423,6 +489,7 @@ def medallion_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).select(
                 F.lit(label).alias("table_name"), "rows_first", "rows_second", "rows_changed",
                 after_failure.alias("rows_after_failure"),
+                F.lit(location_of(spark, tables[label]) != places[label]).alias("moved"),
             )
         )
     return reduce(DataFrame.unionByName, parts)
@@ -433,11 +500,6 @@ def _land_without_points(spark: SparkSession, sf_dir: str, path: str) -> None:
     land_rows(rows.withColumn("points", F.lit(None).cast("string")), STANDINGS, path)
 
 
-def _location(spark: SparkSession, table_name: str) -> str:
-    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table_name}")
-    return described.where(F.col("col_name") == "Location").first()["data_type"]
-
-
 # Growing sources
 
 
@@ -473,14 +535,7 @@ def consolidate_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_workspace(spark, "seasons")
     rows = fixtures.standings_by_season(spark, sf_dir)
     write_layer(cluster(rows, ["season"]), path, partition_by=["season"])
-    schema = rows.drop("season").schema
-    years = F.year("o_orderdate")
-    span = table(spark, sf_dir, "orders").agg(F.min(years), F.max(years)).first()
-    seasons = {
-        year: read_layer(spark, f"{path}/season={year}", schema)
-        for year in range(span[0], span[1] + 1)
-    }
-    silver = consolidate(seasons, "season")
+    silver = spark.read.schema(rows.schema).parquet(path)
     return build_gold_standings(silver, group_by=("season", "group_name")).drop(LOADED_AT)
 
 
@@ -497,9 +552,13 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_silver_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Match payloads landed twice, streamed into flat rows, each match kept once."""
+    """Match payloads landed twice, streamed into flat rows, each match kept once. Matches
+    under way have no id yet; of those, rows that agree in everything are copies."""
     root = new_workspace(spark, "stream-matches")
-    matches = fixtures.contests(spark, sf_dir)
+    under_way = F.col("match_status") == "LIVE"
+    matches = fixtures.contests(spark, sf_dir).withColumn(
+        "match_id", F.when(~under_way, F.col("match_id"))
+    )
     land_rows(matches.unionAll(matches), MATCHES, f"{root}/in")
     stream = stream_bronze(spark, MATCHES, f"{root}/in")
     played_on = F.col("match_date").try_cast("timestamp")
@@ -533,6 +592,9 @@ QUERIES = {
         latest_finished,
         group_report,
         team_performance,
+        team_performance_strict,
+        group_report_strict,
+        bronze_counts,
         quality_report,
         contract_report,
         medallion_rerun,

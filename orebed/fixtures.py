@@ -5,8 +5,12 @@ Text columns come from whole numbers only; text of fractions differs between eng
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from orebed.operators.running import rank_within
 from orebed.session import materialize
@@ -155,3 +159,26 @@ def standings_by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
         _season_records(orders, "season"), F.col("c_custkey") == F.col("o_custkey")
     )
     return _standing_rows(entries, "season")
+
+
+def payload_batches(rows: DataFrame, array: str, per_line: int = 500) -> DataFrame:
+    """Rows as payloads of at most ``per_line`` elements each.
+
+    Grouping rows in SQL would shuffle all of them, to no end: which rows share a line does
+    not matter. So each task cuts its own rows into lines, a column batch at a time.
+    """
+    schema = StructType([StructField(array, ArrayType(rows.schema))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = [*range(0, batch.num_rows, per_line), batch.num_rows]
+            lines = pa.ListArray.from_arrays(starts, batch.to_struct_array())
+            yield pa.RecordBatch.from_arrays([lines], [array])
+
+    return rows.mapInArrow(cut, schema)
+
+
+def payloads(rows: DataFrame, spec: EntitySpec, per_line: int = 500) -> DataFrame:
+    """Rows in silver shape as payloads of many elements each."""
+    elements = rows.select(*[F.col(f.column).alias(f.raw) for f in spec.fields])
+    return payload_batches(elements, spec.array, per_line)

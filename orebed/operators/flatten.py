@@ -30,19 +30,35 @@ def _column(field: Field, mode: str) -> Column:
     return value.alias(field.column)
 
 
+def _failed(fields: Iterable[Field]) -> Column:
+    """How many values of a row have text that their type cannot hold."""
+    failed = F.lit(0)
+    for field in fields:
+        if field.strict_type != "string":
+            typed = _column(field, STRICT)
+            lost = F.col(f"element.{field.raw}").isNotNull() & typed.isNull()
+            failed = failed + lost.cast("int")
+    return failed
+
+
 def flatten(
     bronze: DataFrame,
     spec: EntitySpec,
     mode: str = COMPAT,
     columns: Iterable[str] | None = None,
+    failed: str | None = None,
 ) -> DataFrame:
     """Explode the entity's array and project its fields under their column names.
 
     Payloads whose array is NULL or empty give no row; a NULL element gives a row of
-    NULLs. Strict mode types the columns and keeps the file each row came from.
+    NULLs. Strict mode types the columns and keeps the file each row came from; a column
+    ``failed``, if named, counts the values of a row that got lost by that.
     """
     check_mode(mode)
-    fields = [_column(f, mode) for f in spec.pick(columns)]
+    picked = spec.pick(columns)
+    fields = [_column(f, mode) for f in picked]
+    if failed is not None:
+        fields.append((_failed(picked) if mode == STRICT else F.lit(0)).alias(failed))
     if mode == COMPAT:
         return bronze.select(F.explode(spec.array).alias("element")).select(*fields)
     return bronze.select(

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from orebed.sources.bronze import has_files
+from orebed.sources.layers import ContractError, stored_schema
 
 FILES = "files"
 ROWS = "rows"
 REPORT_SCHEMA = "entity string, check_name string, observed bigint, passed boolean, problem string"
 
 NO_FILES = "no files"
+FILES_DIFFER = "files of different types"
 NO_ROWS = "no rows"
 NO_VALUES = "no values"
 NO_COLUMN = "no such column"
@@ -28,6 +30,11 @@ def _column_check(column: str) -> str:
     return f"column {column}"
 
 
+def checked(required: Sequence[str]) -> list[str]:
+    """Names of the counts that must not be zero."""
+    return [ROWS, *map(_column_check, required)]
+
+
 def _counts(columns: Sequence[str]) -> list:
     return [
         F.count(F.lit(1)).alias(ROWS),
@@ -41,12 +48,16 @@ def layer_checks(
     """(entity, check_name, observed, passed, problem) for one layer folder.
 
     Counts the whole layer in one pass that reads the required columns only. A required
-    column must exist and hold a value in at least one row. Without files nothing else can
-    be said, so that is the only row then.
+    column must exist in some file and hold a value in at least one row. Without files, or
+    if files disagree on a type, nothing else can be said, so that is the only row then.
     """
     if not has_files(spark, path, "*.parquet"):
         return spark.createDataFrame([(entity, FILES, 0, False, NO_FILES)], REPORT_SCHEMA)
-    layer = spark.read.parquet(path)
+    try:
+        schema = stored_schema(spark, path)
+    except ContractError:
+        return spark.createDataFrame([(entity, FILES, 1, False, FILES_DIFFER)], REPORT_SCHEMA)
+    layer = spark.read.schema(schema).parquet(path)
     present = [c for c in required if c in layer.columns]
     counts = layer.agg(*_counts(present))
     measured = counts.unpivot([], counts.columns, "check_name", "observed")
@@ -76,6 +87,11 @@ def observe_checks(df: DataFrame, required: Sequence[str]) -> tuple[DataFrame, O
     return df.observe(observation, *_counts(required)), observation
 
 
+def table_checks(df: DataFrame, required: Sequence[str]) -> dict[str, int]:
+    """The same counts of a table that is there already."""
+    return df.agg(*_counts(required)).first().asDict()
+
+
 def failed_checks(report: DataFrame) -> list[str]:
     """Names of failed checks, one line each. A report has a handful of rows per entity."""
     failed = report.where(~F.col("passed")).orderBy("entity", "check_name")

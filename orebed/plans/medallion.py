@@ -9,46 +9,58 @@ from dataclasses import dataclass, field
 from datetime import datetime
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from orebed.operators.flatten import flatten, has_array, stamp
-from orebed.operators.quality import FILES, ROWS, observe_checks, require
+from orebed.operators.quality import FILES, checked, observe_checks, require, table_checks
 from orebed.plans.gold import gold_matches, gold_standings, gold_teams
 from orebed.session import side_by_side
-from orebed.sources.bronze import missing_inputs, read_bronze
-from orebed.sources.layers import cluster, publish, read_layer, write_layer
+from orebed.sources.bronze import BROKEN, LINES, missing_inputs, observe_lines, read_bronze
+from orebed.sources.layers import check_contract, in_order, point, read_layer, write_layer
 from orebed.specs import COMPAT, ENTITIES, INGESTED_AT, EntitySpec, Layout, check_mode
 
 log = logging.getLogger(__name__)
 
+#: Most broken lines of an entity's payloads, as a share of all.
+BROKEN_SHARE = 0.01
+LOST_VALUES = "lost values"
+
 
 @dataclass(frozen=True)
 class Run:
-    """What a run published: table name per layer and entity, and the entities skipped."""
+    """What a run published: table name per layer and entity, the entities skipped, and what
+    was counted of the others."""
 
     run_id: str
     silver: Mapping[str, str]
     gold: Mapping[str, str]
     skipped: tuple[str, ...] = field(default=())
+    counts: Mapping[str, Mapping[str, int]] = field(default_factory=dict)
 
 
 def bronze_to_silver(
     spark: SparkSession, spec: EntitySpec, bronze_path: str, silver_path: str,
     mode: str = COMPAT, batch_ts: datetime | None = None,
 ) -> dict[str, int] | None:
-    """Write one entity's silver folder and return what its checks observed.
+    """Write one entity's silver folder and return what was counted meanwhile: the checks of
+    the gate, the lines read, and values lost by their type.
 
     Returns None, and writes nothing, when no payload carries the entity's array.
     """
-    bronze = read_bronze(spark, spec, bronze_path)
-    if not has_array(bronze, spec):
+    if not has_array(read_bronze(spark, spec, bronze_path), spec):
         log.warning("no payload has the array %r: %s skipped", spec.array, spec.name)
         return None
-    flat = flatten(bronze, spec, mode).withColumn(INGESTED_AT, stamp(batch_ts))
+    lines, seen = observe_lines(
+        read_bronze(spark, spec, bronze_path, broken="_broken"), spec, "_broken"
+    )
+    flat = flatten(lines, spec, mode, failed="_failed").withColumn(INGESTED_AT, stamp(batch_ts))
+    lost = Observation()
+    flat = flat.observe(lost, F.coalesce(F.sum("_failed"), F.lit(0)).alias(LOST_VALUES))
     ordered = flat.select(*spec.silver_contract(mode).names)
     observed, observation = observe_checks(ordered, spec.required)
     write_layer(observed, silver_path)
-    return observation.get
+    return observation.get | seen.get | lost.get
 
 
 def silver_to_gold(
@@ -57,25 +69,31 @@ def silver_to_gold(
     """How to build each gold table."""
     return {
         "teams": lambda: gold_teams(silver["teams"], batch_ts),
-        "standings": lambda: cluster(
+        "standings": lambda: in_order(
             gold_standings(silver["standings"], batch_ts),
-            by=["group_name"],
-            sort=["group_name", "position"],
+            ["group_name", "position", "standing_id"],
         ),
         "matches": lambda: gold_matches(silver["matches"], mode, batch_ts),
     }
 
 
 def _gate(
-    spark: SparkSession, name: str, checks: Mapping[str, int] | None, table: str
+    spark: SparkSession, spec: EntitySpec, counts: Mapping[str, int] | None, table: str,
+    mode: str, broken_share: float,
 ) -> list[str]:
-    """What is wrong with an entity's silver: as just measured, or, if it was skipped, as
-    its table still stands."""
-    if checks is not None:
-        return [f"{name}: {check}" for check, seen in checks.items() if seen == 0]
-    if not spark.catalog.tableExists(table):
-        return [f"{name}: {FILES}"]
-    return [f"{name}: {ROWS}"] if spark.table(table).isEmpty() else []
+    """What is wrong with an entity's silver: as just written, or, if it was skipped, as its
+    table still stands. A kept table has to pass the same checks, under the same contract."""
+    if counts is None:
+        if not spark.catalog.tableExists(table):
+            return [f"{spec.name}: {FILES}"]
+        kept = spark.table(table)
+        if kept.schema != spec.silver_contract(mode):
+            return [f"{spec.name}: the kept table has another contract"]
+        counts = table_checks(kept, spec.required)
+    wrong = [check for check in checked(spec.required) if counts[check] == 0]
+    if counts.get(BROKEN, 0) > broken_share * counts.get(LINES, 0):
+        wrong.append(f"{counts[BROKEN]} of {counts[LINES]} lines are broken")
+    return [f"{spec.name}: {what}" for what in wrong]
 
 
 def _write_gold(build: Callable[[], DataFrame], path: str) -> None:
@@ -88,12 +106,15 @@ def run_medallion(
     database: str,
     mode: str = COMPAT,
     batch_ts: datetime | None = None,
+    broken_share: float = BROKEN_SHARE,
 ) -> Run:
     """Run all layers over the bronze folders of ``layout`` and publish their tables.
 
-    The entities of a layer are built side by side. A failed check stops the run before any
-    table changes. An entity whose payloads lack its array is skipped and keeps the silver
-    table of the last run; on a first run there is none, which the gate reports.
+    The entities of a layer are built side by side. All folders are written and all checks
+    and contracts looked at before any table changes, so a run that fails leaves every table
+    as it was. An entity whose payloads lack its array is skipped: its tables of the last
+    run stay, if they pass the gate under this run's mode. More than ``broken_share`` of
+    broken lines fail an entity.
     """
     check_mode(mode)
     run_id = uuid.uuid4().hex
@@ -102,7 +123,7 @@ def run_medallion(
 
     silver_tables = {name: f"{database}.silver_{name}" for name in ENTITIES}
     silver_paths = {name: layout.layer("silver", name, run_id) for name in ENTITIES}
-    checks = side_by_side(
+    counts = side_by_side(
         spark,
         {
             name: partial(
@@ -111,34 +132,48 @@ def run_medallion(
             for name, spec in ENTITIES.items()
         },
     )
-    written = [name for name in ENTITIES if checks[name] is not None]
+    written = {name: spec for name, spec in ENTITIES.items() if counts[name] is not None}
     require(
         [
             failure
-            for name in ENTITIES
-            for failure in _gate(spark, name, checks[name], silver_tables[name])
+            for name, spec in ENTITIES.items()
+            for failure in _gate(
+                spark, spec, counts[name], silver_tables[name], mode, broken_share
+            )
         ]
     )
 
-    silver = {}
-    for name, spec in ENTITIES.items():
-        if name in written:
-            contract = spec.silver_contract(mode)
-            publish(spark, silver_tables[name], silver_paths[name], contract)
-            silver[name] = read_layer(spark, silver_paths[name], contract)
-        else:
-            silver[name] = spark.table(silver_tables[name])
-
+    silver = {
+        name: read_layer(spark, silver_paths[name], spec.silver_contract(mode))
+        if name in written
+        else spark.table(silver_tables[name])
+        for name, spec in ENTITIES.items()
+    }
     gold_tables = {name: f"{database}.gold_{name}" for name in ENTITIES}
     gold_paths = {name: layout.layer("gold", name, run_id) for name in ENTITIES}
+    # The gold of a skipped entity is still that of its silver, stamp included.
+    stale = {
+        name for name, spec in ENTITIES.items()
+        if name in written
+        or not spark.catalog.tableExists(gold_tables[name])
+        or spark.table(gold_tables[name]).schema != spec.gold_contract(mode)
+    }
     side_by_side(
         spark,
         {
             name: partial(_write_gold, build, gold_paths[name])
             for name, build in silver_to_gold(silver, mode, batch_ts).items()
+            if name in stale
         },
     )
-    for name, spec in ENTITIES.items():
-        publish(spark, gold_tables[name], gold_paths[name], spec.gold_contract(mode))
+    new = [(silver_tables[n], silver_paths[n], s.silver_contract(mode)) for n, s in written.items()]
+    new += [
+        (gold_tables[n], gold_paths[n], s.gold_contract(mode))
+        for n, s in ENTITIES.items() if n in stale
+    ]
+    for _, path, contract in new:
+        check_contract(spark, path, contract)
+    for table, path, contract in new:
+        point(spark, table, path, contract)
     skipped = tuple(name for name in ENTITIES if name not in written)
-    return Run(run_id, silver_tables, gold_tables, skipped)
+    return Run(run_id, silver_tables, gold_tables, skipped, {n: counts[n] for n in written})

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from orebed.specs import EntitySpec
 
@@ -18,6 +17,12 @@ EMPTY_JSON = ["null", "false", '""', "[]", "{}"]
 ZERO_JSON = r"^-?0(\.0*)?([eE][+-]?[0-9]+)?$"
 
 
+# What is counted of the lines of a bronze folder.
+LINES = "lines"
+BROKEN = "broken lines"
+WITHOUT_ARRAY = "lines without array"
+
+
 def keep_payloads(lines: DataFrame, column: str = "value") -> DataFrame:
     """Keep the lines that are JSON objects with at least one non-empty top-level value.
 
@@ -54,23 +59,6 @@ def payload_rows(rows: DataFrame, spec: EntitySpec) -> DataFrame:
     return rows.select(F.array(element).alias(spec.array))
 
 
-def payload_batches(rows: DataFrame, array: str, per_line: int = 500) -> DataFrame:
-    """Rows as payloads of at most ``per_line`` elements each.
-
-    Grouping rows in SQL would shuffle all of them, to no end: which rows share a line does
-    not matter. So each task cuts its own rows into lines, a column batch at a time.
-    """
-    schema = StructType([StructField(array, ArrayType(rows.schema))])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts = [*range(0, batch.num_rows, per_line), batch.num_rows]
-            lines = pa.ListArray.from_arrays(starts, batch.to_struct_array())
-            yield pa.RecordBatch.from_arrays([lines], [array])
-
-    return rows.mapInArrow(cut, schema)
-
-
 def to_lines(payloads: DataFrame) -> DataFrame:
     """One JSON document per row, in a column ``value``."""
     return payloads.select(F.to_json(F.struct(*payloads.columns)).alias("value"))
@@ -93,11 +81,36 @@ def land_payloads(payloads: DataFrame, path: str) -> None:
 
 
 def read_bronze(
-    spark: SparkSession, spec: EntitySpec, path: str, columns: Iterable[str] | None = None
+    spark: SparkSession,
+    spec: EntitySpec,
+    path: str,
+    columns: Iterable[str] | None = None,
+    broken: str | None = None,
 ) -> DataFrame:
     """Read a bronze folder with the entity's schema: no inference pass, stable types.
-    Lines of another shape read as a NULL array."""
-    return spark.read.schema(spec.raw_schema(columns)).json(path)
+    Lines of another shape read as a NULL array; a column ``broken``, if named, then holds
+    the text of those that are no such JSON at all."""
+    schema = spec.raw_schema(columns)
+    if broken is None:
+        return spark.read.schema(schema).json(path)
+    schema = StructType([*schema.fields, StructField(broken, StringType())])
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", broken).json(path)
+
+
+def observe_lines(
+    bronze: DataFrame, spec: EntitySpec, broken: str
+) -> tuple[DataFrame, Observation]:
+    """Let whatever reads ``bronze`` count its lines, those that are broken, and those that
+    are not but lack the entity's array."""
+    array, text = F.col(spec.array), F.col(broken)
+    observation = Observation()
+    counted = bronze.observe(
+        observation,
+        F.count(F.lit(1)).alias(LINES),
+        F.count(text).alias(BROKEN),
+        F.count_if(array.isNull() & text.isNull()).alias(WITHOUT_ARRAY),
+    )
+    return counted.drop(broken), observation
 
 
 def has_files(spark: SparkSession, path: str, pattern: str | None = None) -> bool:

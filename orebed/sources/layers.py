@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -43,6 +45,12 @@ def cluster(df: DataFrame, by: Sequence[str], sort: Sequence[str] = ()) -> DataF
     return clustered.sortWithinPartitions(*sort) if sort else clustered
 
 
+def in_order(df: DataFrame, sort: Sequence[str]) -> DataFrame:
+    """Sort a table for writing: every file holds a range of the sort order, so that readers
+    can skip files by their bounds. The last columns should tell rows of a large group apart."""
+    return df.repartitionByRange(*[F.col(c) for c in sort]).sortWithinPartitions(*sort)
+
+
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Replace only the partitions ``df`` has rows for; all others stay."""
     (
@@ -85,36 +93,78 @@ def contract_differences(
     return rows
 
 
+def stored_schema(spark: SparkSession, path: str) -> StructType:
+    """The schema of all files of a folder together."""
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path).schema
+    except (PySparkException, Py4JJavaError) as error:
+        if "CANNOT_MERGE_SCHEMA" not in str(error):
+            raise
+        raise ContractError(f"{path} has files of different types: {error}") from error
+
+
 def check_contract(spark: SparkSession, path: str, declared: StructType) -> None:
     """Compare the files' own schema with the contract; fail once, with all differences.
 
     A declared schema hides such differences from a reader (a missing column reads as NULL)
-    or shows them only while the query runs, hence the check before publishing.
+    or shows them only while the query runs, hence the check before publishing. The footers
+    of all files are read, by a distributed job; files that disagree on a type are an error.
     """
-    rows = contract_differences(spark.read.parquet(path).schema, declared)
+    rows = contract_differences(stored_schema(spark, path), declared)
     bad = [f"{column}: {status}" for _, column, _, _, status in rows if status != PRESENT]
     if bad:
         raise ContractError(f"{path} does not fit its contract: {', '.join(bad)}")
 
 
 def publish(
-    spark: SparkSession, table: str, path: str, contract: StructType
+    spark: SparkSession,
+    table: str,
+    path: str,
+    contract: StructType,
+    partition_by: Sequence[str] = (),
 ) -> None:
     """Make ``table`` show the files at ``path`` under ``contract``.
 
     A table that already has the contract is pointed at the new folder in one step, so a
-    reader sees the former state or the new one.
+    reader sees the former state or the new one. Columns of ``partition_by`` are those of the
+    folder names; they come last.
     """
+    contract = partitioned(contract, partition_by)
     check_contract(spark, path, contract)
+    point(spark, table, path, contract, partition_by)
+
+
+def partitioned(contract: StructType, partition_by: Sequence[str]) -> StructType:
+    """``contract`` in the order that a partitioned folder is read in."""
+    inside = [f for f in contract.fields if f.name not in partition_by]
+    return StructType([*inside, *(contract[name] for name in partition_by)])
+
+
+def point(
+    spark: SparkSession, table: str, path: str, contract: StructType,
+    partition_by: Sequence[str] = (),
+) -> None:
+    """The step of ``publish`` that changes the table, for files whose contract is checked."""
     location = path.replace("'", "\\'")
     if spark.catalog.tableExists(table):
-        if spark.table(table).schema == contract:
+        if spark.table(table).schema == contract and not partition_by:
             spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
             spark.sql(f"REFRESH TABLE {table}")
             return
+        # Partitions of a former folder are known by their own paths, so such a table is
+        # made anew, as is one of another contract.
         spark.sql(f"DROP TABLE {table}")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in contract.fields)
-    spark.sql(f"CREATE TABLE {table} ({columns}) USING PARQUET LOCATION '{location}'")
+    by = f"PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING PARQUET {by} LOCATION '{location}'")
+    if partition_by:
+        spark.catalog.recoverPartitions(table)
+
+
+def location_of(spark: SparkSession, table: str) -> str:
+    """The folder of a table's files."""
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}")
+    return described.where(F.col("col_name") == "Location").first()["data_type"]
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -126,14 +176,14 @@ def column_profile(df: DataFrame) -> DataFrame:
 def contract_report(
     spark: SparkSession, tables: Mapping[str, tuple[str, StructType]]
 ) -> DataFrame:
-    """One row per (table, column): declared and actual type, status, non-NULL values.
+    """One row per (table, column): declared type, type in the files, status, non-NULL values.
 
     ``tables`` maps a label to the catalog table and its contract.
     """
     parts = []
     for label, (table, declared) in tables.items():
         df = spark.table(table)
-        rows = contract_differences(df.schema, declared)
+        rows = contract_differences(stored_schema(spark, location_of(spark, table)), declared)
         verdicts = spark.createDataFrame(
             rows,
             "position int, column_name string, declared string, actual string, status string",

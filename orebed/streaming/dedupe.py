@@ -37,16 +37,17 @@ def dedupe_stream(
     first dropped on ``spread`` places at once (by default four per shuffle partition, which
     evens out how they hash); at most that many reach the second step. A key without copies
     costs one entry of state in each step, whatever the spread. Rows without an event time
-    are compared with the rows of their own batch only. Rows without a key are no copies of
-    each other, so each counts as a key of its own, where it is stored.
+    are compared with the rows of their own batch only. Rows without a key are copies of each
+    other only if they agree in all columns.
     """
     if spread is None:
         spread = 4 * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = [c for c in stream.columns if c != "delivery"]
     part = F.pmod(F.col("delivery"), F.lit(spread))
     return (
         stream.withColumn("_event_time", event_time)
         .withColumn("_part", part)
-        .withColumn("_keyless", F.when(F.col(key).isNull(), F.col("delivery")))
+        .withColumn("_keyless", F.when(F.col(key).isNull(), F.xxhash64(*values)))
         .drop("delivery")
         .withWatermark("_event_time", delay)
         .dropDuplicatesWithinWatermark([key, "_keyless", "_part"])

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from orebed.fixtures import payload_batches
 from orebed.operators.flatten import flatten, has_array
 from orebed.session import new_workspace
 from orebed.sources.bronze import (
@@ -14,7 +15,6 @@ from orebed.sources.bronze import (
     land_payloads,
     land_rows,
     missing_inputs,
-    payload_batches,
     payload_rows,
     read_bronze,
     to_lines,
