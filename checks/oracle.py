@@ -432,6 +432,10 @@ ORACLE = {
                total_goals, result
         FROM ({GOLD_MATCHES})
         WHERE match_status = 'FT' ORDER BY match_date DESC, match_id LIMIT 20""",
+    "finished_in_year": _with(CONTESTS) + f"""
+        SELECT match_id, match_date, CAST(left(match_date, 4) AS INTEGER) AS match_year,
+               home_score, away_score, result
+        FROM ({GOLD_MATCHES}) WHERE match_status = 'FT' AND left(match_date, 4) = '1994'""",
     "group_report": _with(STANDING_ROWS) + f"""
         SELECT group_name, position, team_name, points, running_total_points, points_per_game
         FROM ({GOLD_STANDINGS}) ORDER BY group_name, position, standing_id""",

@@ -37,6 +37,7 @@ from orebed.sources.layers import (
     location_of,
     overwrite_partitions,
     point,
+    publish,
     read_layer,
     write_layer,
 )
@@ -307,6 +308,21 @@ def latest_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.latest_finished(build_gold_matches(fixtures.contests(spark, sf_dir)))
 
 
+def finished_in_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished fixtures of a year, from gold matches published by year: the folders of other
+    years are not opened."""
+    gold = build_gold_matches(fixtures.contests(spark, sf_dir)).drop(LOADED_AT)
+    gold = gold.withColumn("match_year", F.substring("match_date", 1, 4).cast("int"))
+    root = new_workspace(spark, "matches-by-year")
+    overwrite_partitions(gold, f"{root}/matches", ["match_year"])
+    database = _database(spark, Layout(root))
+    publish(spark, f"{database}.matches", f"{root}/matches", gold.schema, ["match_year"])
+    rows = spark.table(f"{database}.matches").where("match_year = 1994")
+    return rows.where(F.col("match_status") == reports.FINISHED).select(
+        "match_id", "match_date", "match_year", "home_score", "away_score", "result"
+    )
+
+
 def group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standings from payloads to the sorted report, silver and gold written in between."""
     silver = materialize(silver_standings(spark, sf_dir), "silver-standings")
@@ -590,6 +606,7 @@ QUERIES = {
         running_total_range,
         running_total_skewsafe,
         latest_finished,
+        finished_in_year,
         group_report,
         team_performance,
         team_performance_strict,

@@ -101,6 +101,34 @@ def test_publish_refuses_files_that_do_not_fit(spark, database):
     check_contract(spark, layer(spark, [], declared), declared)
 
 
+def test_files_that_disagree_are_refused(spark, database):
+    """One file's footer fits the contract; those of the others do not."""
+    declared, table = contract(a="s", b="n"), f"{database}.t"
+    path = new_workspace(spark, "mixed")
+    for rows, kind in (([("a", 1)], "a string, b bigint"), ([("a", "x")], "a string, b string")):
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(path)
+    with pytest.raises(ContractError, match="different types"):
+        publish(spark, table, path, declared)
+    path = new_workspace(spark, "mixed")
+    for rows, kind in (([("a", 1)], "a string, b bigint"), ([("a", 1, 2)], "a string, b bigint, c int")):
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(path)
+    with pytest.raises(ContractError, match="c: extra"):
+        publish(spark, table, path, declared)
+
+
+def test_partitioned_tables(spark, database):
+    declared, table = contract(d="s", n="n"), f"{database}.t"
+    for day in ("a", "b"):
+        path = new_workspace(spark, "days")
+        rows = spark.createDataFrame([(day, 1), ("c", 2)], declared)
+        write_layer(rows, path, partition_by=["d"])
+        publish(spark, table, path, declared, partition_by=["d"])
+        assert spark.table(table).columns == ["n", "d"]
+        assert sorted(r.d for r in spark.table(table).collect()) == [day, "c"]
+    one = spark.table(table).where("d = 'c'")
+    assert "PartitionFilters: [isnotnull(d" in one._jdf.queryExecution().toString()
+
+
 def test_contract_report(spark, database):
     declared, table = contract(a="s", b="n"), f"{database}.t"
     publish(spark, table, layer(spark, [("a", 1), (None, 2)], declared), declared)

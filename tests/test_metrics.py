@@ -148,3 +148,14 @@ def test_metrics_reject_nothing(spark):
         outcome(F.col("a"), F.col("b"), unknown_is_draw=True).alias("result"),
     ).first()
     assert row.total_goals == float("inf") and row.result == "Home Win"
+
+
+def test_whole_numbers_with_a_zero_fraction(spark):
+    from orebed.functions.metrics import whole
+
+    values = ["4", "4.0", " 4 ", "-3.000", "4.5", "x", "", None, "1e2", "9223372036854775807"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    found = {r.i: r.n for r in df.select("i", whole(F.col("v")).alias("n")).collect()}
+    assert [found[i] for i in range(len(values))] == [
+        4, 4, 4, -3, None, None, None, None, 100, 9223372036854775807
+    ]

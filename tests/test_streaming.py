@@ -80,3 +80,15 @@ def test_delivery_separates_copies(spark):
     stored = spark.read.schema(SCHEMA).parquet(path)
     place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
     assert stored.select(place.alias("p")).distinct().count() == 64
+
+
+def test_rows_without_a_key_are_kept(spark):
+    """51 rows, of which one is a copy, without a key."""
+    feed = Feed(spark, "1 day")
+    keyless = [(None, "2024-01-01 00:00:00", f"v{k}") for k in range(50)]
+    feed.arrive(rows(spark, *keyless, keyless[0], (1, "2024-01-01 00:00:00", "a")).coalesce(1))
+    stream = stream_layer(spark, f"{feed.root}/in", spark.createDataFrame([], SCHEMA).schema)
+    unique = dedupe_stream(stream, "event_id", F.col("ts"), "1 day")
+    append_available(unique, f"{feed.root}/out", f"{feed.root}/progress").awaitTermination()
+    stored = spark.read.schema(SCHEMA).parquet(f"{feed.root}/out")
+    assert stored.where("event_id IS NULL").count() == 50 and stored.count() == 51
