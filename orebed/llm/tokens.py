@@ -14,6 +14,7 @@ from pyspark.sql.types import StructField, StructType
 from orebed.llm.words import chunks
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+REFERENCE = "byte_bpe_50k.json"
 END_OF_TEXT = "<|endoftext|>"
 
 PIECE_FIELDS = "piece int, start bigint, length bigint, ids binary"
@@ -40,8 +41,25 @@ def encoder(path: str):
     )
 
 
+@functools.cache
+def reference_encoder(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def ids_of(text: str, ranks: str, reference: str) -> list[int]:
+    """Ids of a text. A run of white space so long that it exhausts the fast library's stack
+    goes to the slow one."""
+    try:
+        return encoder(ranks).encode(text, allowed_special="all")
+    except ValueError:
+        return reference_encoder(reference).encode(text, add_special_tokens=False).ids
+
+
 def pieces(
-    docs: DataFrame, capacity: int, *, vocabulary: str = VOCABULARY, end: int = 0
+    docs: DataFrame, capacity: int, *, vocabulary: str = VOCABULARY,
+    reference: str = REFERENCE, end: int = 0,
 ) -> DataFrame:
     """One row per piece of a document: doc_id, piece (from 0), start (ids of the document
     before it), length, ids (unsigned 32-bit, little-endian).
@@ -51,18 +69,17 @@ def pieces(
     NULL text is empty, its piece holds ``end`` alone. Rows with a NULL or repeated doc_id
     are documents like others. Columns beside doc_id and text are not read.
     """
-    path = vocabulary_path(vocabulary)
+    paths = vocabulary_path(vocabulary), vocabulary_path(reference)
     key = docs.schema["doc_id"]
     schema = StructType([StructField("doc_id", key.dataType)])
     for field in StructType.fromDDL(PIECE_FIELDS):
         schema.add(field)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
         for batch in chunks(batches, "text"):
             rows, piece, start, length, ids = [], [], [], [], []
             for row, text in enumerate(batch.column("text")):
-                tokens = encode(text.as_py() or "", allowed_special="all")
+                tokens = ids_of(text.as_py() or "", *paths)
                 tokens.append(end)
                 raw = np.array(tokens, dtype="<u4").tobytes()
                 first = len(tokens) % capacity or capacity

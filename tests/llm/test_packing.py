@@ -8,7 +8,7 @@ from cases import documents, empty, odd, texts
 
 from orebed.llm.packing import _best_fit, pack, plan_sequences
 from orebed.llm.queries import packed
-from orebed.llm.tokens import encoder, pieces, vocabulary_path
+from orebed.llm.tokens import REFERENCE, VOCABULARY, ids_of, pieces, vocabulary_path
 
 
 def sequences(rows):
@@ -72,10 +72,10 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize(
     "text",
     ["<|endoftext|> in text <|endoftext|>", "  \n\n \t x  ", "'ll 'LL don't", "日本語🙂é́", "\x00\x01",
-     "1234567 ⅷ²", "a" * 9000, " " * 3000 + "b", "\r\n\r\nx y z"],
+     "1234567 ⅷ²", "a" * 9000, " " * 3000 + "b", " " * 1_000_000 + "b", "\r\n\r\nx y z"],
 )
 def test_ids_of_both_libraries(text):
-    ids = encoder(vocabulary_path("byte_bpe_50k.tiktoken")).encode(text, allowed_special="all")
+    ids = ids_of(text, vocabulary_path(VOCABULARY), vocabulary_path(REFERENCE))
     assert [*ids, 0] == [i for _, part in reference_pieces(text) for i in part]
 
 
