@@ -456,6 +456,12 @@ ORACLE = {
         FROM events
         QUALIFY row_number() OVER (
             PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
+    "merge_into_partitions": f"""
+        SELECT event_id, strftime(ts, {MICROS}) AS ts, user_id, event_type, value, props
+        FROM events
+        WHERE ts < TIMESTAMP '2024-01-16' OR event_type = 'click'
+        QUALIFY row_number() OVER (
+            PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
     "partition_overwrite": """
         SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS INTEGER) AS order_year,
                CASE WHEN year(o_orderdate) = 1997 THEN 'R' ELSE o_orderstatus END AS o_orderstatus

@@ -15,6 +15,7 @@ from orebed.fixtures import payload_batches, table
 from orebed.functions.metrics import goal_metrics, num, outcome, ratio, whole
 from orebed.operators.flatten import flatten, has_array
 from orebed.operators.merge import consolidate, latest_per_key, merge_latest
+from orebed.operators.merge import merge_into_partitions as merge_partitions
 from orebed.operators.quality import QualityError
 from orebed.operators.quality import quality_report as build_quality_report
 from orebed.operators.running import running_total
@@ -534,6 +535,22 @@ def merge_latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.withColumn("ts", F.date_format("ts", MICROS))
 
 
+def merge_into_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of the first half month, by type, then the later clicks merged in: no other
+    type's folder is written again."""
+    events = _events(spark, sf_dir)
+    is_early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    keys, order = ["user_id", "event_type"], ["ts", "event_id"]
+    columns = [c for c in events.columns if c != "event_type"]
+    events = events.select(*columns, "event_type")
+    path = new_workspace(spark, "events-by-type")
+    overwrite_partitions(latest_per_key(events.where(is_early), keys, order), path, ["event_type"])
+    clicks = events.where(~is_early & (F.col("event_type") == "click"))
+    merge_partitions(spark, path, clicks, keys, order, ["event_type"])
+    state = spark.read.schema(events.schema).parquet(path)
+    return state.withColumn("ts", F.date_format("ts", MICROS))
+
+
 def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders by year; the partition of one year is restated, the others stay."""
     orders = table(spark, sf_dir, "orders").select(
@@ -616,6 +633,7 @@ QUERIES = {
         contract_report,
         medallion_rerun,
         merge_latest_events,
+        merge_into_partitions,
         partition_overwrite,
         consolidate_seasons,
         stream_dedup,

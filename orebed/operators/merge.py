@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orebed.session import materialize
+from orebed.sources.layers import overwrite_partitions
+
 
 def latest_per_key(rows: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """The row of each key that is greatest in ``order_by``.
@@ -29,6 +32,27 @@ def merge_latest(
     return latest_per_key(current.unionByName(updates), keys, order_by)
 
 
+def merge_into_partitions(
+    spark: SparkSession,
+    path: str,
+    updates: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    partition_by: Sequence[str],
+) -> None:
+    """Merge ``updates`` into the partitioned folder ``path``, rewriting only partitions they
+    fall into; all others keep their files. A key must always fall into the same partition.
+
+    ``order_by`` should be a total order of a key's rows, else ties are settled arbitrarily.
+    """
+    touched = updates.select(*partition_by).distinct()
+    stored = spark.read.schema(updates.schema).parquet(path)
+    # Partitions without updates are pruned by what ``touched`` turns out to hold.
+    current = stored.join(materialize(touched, "touched"), [*partition_by], "left_semi")
+    merged = merge_latest(current.select(*updates.columns), updates, keys, order_by)
+    overwrite_partitions(materialize(merged, "merged"), path, partition_by)
+
+
 def consolidate(frames: Mapping[object, DataFrame], tag: str) -> DataFrame:
     """Union tables of one shape, each row tagged with the name of its table."""
     tagged = [df.withColumn(tag, F.lit(name)) for name, df in frames.items()]
