@@ -3,11 +3,12 @@
 A fingerprint is an invertible Bloom lookup table of paragraph digests: every digest is
 added to three cells, which hold a count and the exclusive or of digests and of check sums.
 Cells of two versions are subtracted; what both have cancels out. A cell with one digest
-left gives it away, is removed from its other cells, and so on until nothing is left. If
-some cells stay, the table was too small and a larger one is made of the same digests.
+left gives it away, which is then removed from its other cells, and so on until nothing is
+left. If some cells stay, the table was too small and a larger one is made.
 
 Digests are dealt to blocks of twelve cells by their low bits, so the work of peeling grows
-with the difference and not with its square. All of it is SQL over columns of one row.
+with the difference and not with its square. A larger table has four blocks in the place of
+each, so only blocks that failed are made again. All of it is SQL over columns of one row.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ from pyspark.sql import functions as F
 
 #: A paragraph is a line; one longer than this goes on to the next end of a sentence, and
 #: what follows is a paragraph of its own.
-LONGEST = 200
+LONGEST = 500
 PARAGRAPH = rf"[^\n]{{1,{LONGEST}}}(?:[^\n.!?]*[.!?]+)?"
 #: Blocks of the fingerprint itself, and of the larger tables that are tried in turn.
-BLOCKS = 16
-LARGER = (64, 256, 1024, 4096)
+BLOCKS = 8
+LARGER = (32, 128, 512, 2048, 8192)
 HASHES, CELLS = 3, 4  # cells per hash
 BUCKET_ROWS = 2048
 
 _CELL = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
 _FOUND = "array<struct<digest: bigint, sign: int>>"
+_NOTHING = f"named_struct('found', cast(array() as {_FOUND}), 'ok', true)"
 
 
 def paragraph_digests(text: str) -> str:
@@ -38,25 +40,32 @@ def paragraph_digests(text: str) -> str:
     )
 
 
-def _sketch(digests: str, blocks: int) -> str:
-    """SQL for the table of a column of digests: blocks of cells."""
+def _cells(items: str, digest: str, sign: str) -> str:
+    """SQL for a block's cells over an array of items."""
     cells = []
     for number in range(HASHES * CELLS):
         which, place = divmod(number, CELLS)
-        here = f"(shiftrightunsigned(d, {40 + 2 * which}) & {CELLS - 1}) = {place}"
-        added = "named_struct('n', s.n + 1, 'k', s.k ^ d, 'c', s.c ^ xxhash64(d))"
-        cells.append(f"aggregate(ds, {_CELL}, (s, d) -> if({here}, {added}, s))")
+        here = f"(shiftrightunsigned({digest}, {40 + 2 * which}) & {CELLS - 1}) = {place}"
+        added = (
+            f"named_struct('n', s.n + {sign}, 'k', s.k ^ {digest}, 'c', s.c ^ xxhash64({digest}))"
+        )
+        cells.append(f"aggregate({items}, {_CELL}, (s, d) -> if({here}, {added}, s))")
+    return f"array({', '.join(cells)})"
+
+
+def _sketch(digests: str, blocks: int) -> str:
+    """SQL for the table of a column of digests: blocks of cells."""
+    zero = f"array_repeat({_CELL}, {HASHES * CELLS})"
     block = f"filter({digests}, d -> (d & {blocks - 1}) = b)"
     return (
-        f"transform(sequence(0, {blocks - 1}), b -> "
-        f"transform(array({block}), ds -> array({', '.join(cells)}))[0])"
+        f"transform(sequence(0, {blocks - 1}), b -> transform(array({block}), "
+        f"ds -> if(size(ds) = 0, {zero}, {_cells('ds', 'd', '1')}))[0])"
     )
 
 
-def _peeled(left: str, right: str) -> str:
-    """SQL for the digests that two tables differ in, block by block: ``found``, and ``ok``
-    if nothing is left."""
-    less = "named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c)"
+def _peeled() -> str:
+    """SQL for the digests in a block of subtracted ``cells``: ``found``, and ``ok`` if
+    nothing is left."""
     zero = "c.n = 0 and c.k = 0 and c.c = 0"
     pure = "get(filter(s.cells, c -> abs(c.n) = 1 and xxhash64(c.k) = c.c), 0)"
     hit = " or ".join(
@@ -65,7 +74,7 @@ def _peeled(left: str, right: str) -> str:
     )
     rest = (
         f"transform(s.cells, (c, i) -> if({hit}, "
-        "named_struct('n', c.n - p.n, 'k', c.k ^ p.k, 'c', c.c ^ p.c), c))"
+        "named_struct('n', c.n - p.n, 'k', c.k ^ p.k, 'c', c.c ^ xxhash64(p.k)), c))"
     )
     none = "cast(array() as array<struct<n: int, k: bigint, c: bigint>>)"
     # Without a pure cell the block is done; it then has no cells and no step does anything.
@@ -77,20 +86,50 @@ def _peeled(left: str, right: str) -> str:
         "))[0])"
     )
     start = f"named_struct('cells', cells, 'found', cast(array() as {_FOUND}), 'ok', false)"
-    block = (
-        f"transform(array(size(filter(cells, c -> not ({zero})))), z -> if(z = 0, "
-        f"named_struct('found', cast(array() as {_FOUND}), 'ok', true), "
+    return (
+        f"transform(array(size(filter(cells, c -> not ({zero})))), z -> if(z = 0, {_NOTHING}, "
         f"aggregate(sequence(0, z), {start}, (s, i) -> {step}, "
         "s -> named_struct('found', s.found, 'ok', s.ok))))[0]"
     )
-    whole = (
-        f"zip_with({left}, {right}, (a, b) -> transform(array(zip_with(a, b, (x, y) -> {less})), "
-        f"cells -> {block})[0])"
-    )
+
+
+def _state(before: str, blocks: str, results: str) -> str:
+    """SQL for what is known after ``results``, one for each of ``blocks``: digests found
+    altogether, and blocks that failed. What a failed block gave away is found again."""
+    none = f"cast(array() as {_FOUND})"
     return (
-        f"transform(array({whole}), parts -> named_struct("
-        "'found', flatten(transform(parts, p -> p.found)), 'ok', forall(parts, p -> p.ok)))[0]"
+        f"transform(array({results}), rs -> named_struct("
+        f"'found', concat({before}, flatten(transform(rs, r -> if(r.ok, r.found, {none})))), "
+        f"'failed', filter(zip_with(rs, {blocks}, (r, b) -> if(r.ok, null, b)), b -> b is not null)"
+        "))[0]"
+    )
+
+
+def _first_state(left: str, right: str) -> str:
+    """SQL for the state after the fingerprints' own tables are subtracted."""
+    less = "named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c)"
+    results = (
+        f"zip_with({left}, {right}, (a, b) -> if(a = b, {_NOTHING}, "
+        f"transform(array(zip_with(a, b, (x, y) -> {less})), cells -> {_peeled()})[0]))"
+    )
+    return _state(f"cast(array() as {_FOUND})", f"sequence(0L, {BLOCKS - 1}L)", results)
+
+
+def _next_state(before: str, left: str, right: str, fewer: int, blocks: int) -> str:
+    """SQL for the state after the failed blocks of a table of ``fewer`` blocks are made
+    again within one of ``blocks``. The difference is added up directly: the digests of the
+    right side count negative."""
+    inside = ", ".join(f"f + {k * fewer}L" for k in range(blocks // fewer))
+    again = f"flatten(transform({before}.failed, f -> array({inside})))"
+    of = "transform(filter({}, d -> (d & {}) = b), d -> named_struct('d', d, 's', {}))"
+    items = f"concat({of.format(left, blocks - 1, 1)}, {of.format(right, blocks - 1, -1)})"
+    cells = _cells("ds", "d.d", "d.s")
+    results = (
+        f"transform(bs, b -> transform(array({items}), ds -> "
+        f"transform(array({cells}), cells -> {_peeled()})[0])[0])"
     )
+    state = _state(f"{before}.found", "bs", results)
+    return f"if(size({before}.failed) = 0, {before}, transform(array({again}), bs -> {state})[0])"
 
 
 def _text_of(sketch: str) -> str:
@@ -115,17 +154,17 @@ def with_difference(rows: DataFrame, left: str, right: str, out: str) -> DataFra
     share of common paragraphs in all, 1 if there are none.
 
     Differences come from the sketches, then from larger and larger tables. Past the largest,
-    which a difference of some ten thousand fills, digests are compared as sets.
+    which a difference of some tens of thousands fills, digests are compared as sets.
     """
-    columns = [f"_{out}_{blocks}" for blocks in (BLOCKS, *LARGER)]
-    first = _peeled(f"{left}sketch", f"{right}sketch")
-    rows = rows.withColumn(columns[0], F.expr(first))
-    for before, column, blocks in zip(columns, columns[1:], LARGER):
-        again = _peeled(_sketch(f"{left}digests", blocks), _sketch(f"{right}digests", blocks))
-        rows = rows.withColumn(column, F.expr(f"if({before}.ok, {before}, {again})"))
+    sizes = (BLOCKS, *LARGER)
+    columns = [f"_{out}_{blocks}" for blocks in sizes]
+    rows = rows.withColumn(columns[0], F.expr(_first_state(f"{left}sketch", f"{right}sketch")))
+    for before, column, fewer, blocks in zip(columns, columns[1:], sizes, LARGER):
+        state = _next_state(before, f"{left}digests", f"{right}digests", fewer, blocks)
+        rows = rows.withColumn(column, F.expr(state))
     one_side = "transform(array_except({}digests, {}digests), d -> named_struct('digest', d, 'sign', {}))"
     exact = f"concat({one_side.format(left, right, 1)}, {one_side.format(right, left, -1)})"
-    found = f"if({columns[-1]}.ok, {columns[-1]}.found, {exact})"
+    found = f"if(size({columns[-1]}.failed) = 0, {columns[-1]}.found, {exact})"
     near = (
         f"if(size({left}digests) + size({right}digests) = 0, 1D, "
         f"(size({left}digests) + size({right}digests) - size({out})) / "
