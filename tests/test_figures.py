@@ -28,7 +28,7 @@ def run(spark):
         ("silver_matches", 14_743),
         ("gold_teams", 1_500),
         ("group_report", 1_500),
-        ("contract_report", 101),
+        ("contract_report", 106),
         ("latest_finished", 20),
         ("team_performance", 10),
         ("merge_latest_events", 750),

@@ -1,11 +1,11 @@
-"""Every registered query against its SQL on the same tables."""
+"""Every registered query of the library against its SQL on the same tables."""
 
 import pytest
 
 import __spark_entry__ as driver
 from checks.compare import connect, differences
-
-QUERIES, ORACLE = driver.queries(), driver.oracle_sql()
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +15,8 @@ def connection():
 
 def test_every_query_has_its_sql():
     assert QUERIES.keys() == ORACLE.keys()
+    assert QUERIES.items() <= driver.queries().items()
+    assert ORACLE.items() <= driver.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
