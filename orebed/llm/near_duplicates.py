@@ -41,7 +41,7 @@ from orebed.session import materialize
 WIDTH = 5
 THRESHOLD = 0.8
 RECALL = 0.999
-DEPTH = 3
+DEPTH = 2
 BUCKET = 128
 BLOCK = 128
 REST_BLOCK = 512
