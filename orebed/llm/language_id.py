@@ -35,7 +35,9 @@ UNKNOWN = 1e-6
 UNDETERMINED = "und"
 LONGEST_TRAINED = 64
 _RESCALE = 16
-_KNOWN_WORDS = 1_000_000
+#: A worker's memory is about 100 MB with these, whatever the batches.
+_KNOWN_WORDS = 400_000
+_CHUNK = 1 << 20
 
 
 @functools.cache
@@ -280,7 +282,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             _workers.clear()
             _workers[id(model)] = _Known(model)
         known = _workers[id(model)]
-        for batch in chunks(batches, "text", 1 << 22):
+        for batch in chunks(batches, "text", _CHUNK):
             texts, count = batch.column("text"), batch.num_rows
             letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False)
             letter = letter.to_numpy(zero_copy_only=False)
