@@ -239,9 +239,9 @@ def _leader_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
             same = pc.equal(batch.column("root"), batch.column("_common"))
             attached = pc.or_(pa.array(like), same)
+            names = ["path", "node", "count", "leader", "sketch"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("path"), batch.column("node"), batch.column("leader"), attached],
-                ["path", "node", "leader", "attached"],
+                [*map(batch.column, names), attached], [*names, "attached"]
             )
 
 
@@ -281,29 +281,27 @@ def _oversize_edges(rows: DataFrame, sketches: DataFrame, block: int) -> DataFra
     ).select("path", F.col("_most.root").alias("_common"), "_most.leader")
     lead = sketches.select(F.col("node").alias("leader"), F.col("sketch").alias("_lead"))
     told = materialize(
-        rows.select("path", "node", "root").join(sketches, "node")
+        rows.select("path", "node", "root", "count").join(sketches, "node")
         .join(common.join(lead, "leader"), "path")
-        .mapInArrow(_leader_edges, "path bigint, node bigint, leader bigint, attached boolean"),
-        "leaders",
-    )
-    rest = told.where("not attached").select("path", "node")
-    blocks = rest.groupBy("path").agg(F.count(F.lit(1)).alias("_rest"))
-    sized = materialize(
-        rows.select("path", "node", "count").join(blocks, "path").select(
-            "path", "node", F.ceil(F.col("_rest") / block).alias("_rest_blocks"),
-            F.ceil(F.col("count") / block).alias("_all_blocks"),
+        .mapInArrow(
+            _leader_edges,
+            "path bigint, node bigint, count bigint, leader bigint, sketch binary, attached boolean",
         ),
-        "rest",
+        "leaders",
     )
+    blocks = told.where("not attached").groupBy("path").agg(F.count(F.lit(1)).alias("_rest"))
+    sized = told.join(blocks, "path").withColumns({
+        "_rest_blocks": F.ceil(F.col("_rest") / block), "_all_blocks": F.ceil(F.col("count") / block),
+    })
     every = sized.select(
-        "path", "node", _numbers("_rest_blocks").alias("_i"),
+        "path", "node", "sketch", _numbers("_rest_blocks").alias("_i"),
         _block_of("node", F.col("_all_blocks")).alias("_j"), F.lit(False).alias("rest"),
     )
-    alone = sized.join(rest, ["path", "node"], "left_semi").select(
-        "path", "node", _block_of("node", F.col("_rest_blocks")).alias("_i"),
+    alone = sized.where("not attached").select(
+        "path", "node", "sketch", _block_of("node", F.col("_rest_blocks")).alias("_i"),
         _numbers("_all_blocks").alias("_j"), F.lit(True).alias("rest"),
     )
-    pairs = every.unionByName(alone).join(sketches, "node")
+    pairs = every.unionByName(alone)
     direct = told.where("attached and node <> leader").select(
         F.col("leader").alias("a"), F.col("node").alias("b")
     )
