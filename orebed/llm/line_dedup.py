@@ -6,8 +6,14 @@ chunk has two lines at least; several hashes give several ways to cut. That depe
 content only, so a passage is cut alike wherever it stands. Chunks are counted over all documents by a
 128-bit hash. One that occurs in several documents stays in the first, by doc_id, and goes
 from the others, together with lines next to it that also occur earlier; so do lines in a
-row that have one first document in common and ``LONG_LINE`` words. At the end all
-occurrences are compared byte by byte; what merely shared a hash is put back.
+row that have one first document in common and ``LONG_LINE`` words.
+
+Cuts depend on the lines beside them, so chunks alone miss passages. From every line, the
+fewest lines that make up ``LONG_LINE`` words are a window, counted like a chunk. Any
+passage of so many words begins with a window, whatever stands around it and whichever
+documents have its single lines, so none is missed.
+
+At the end all occurrences are compared byte by byte; what merely shared a hash is put back.
 """
 
 from __future__ import annotations
@@ -52,8 +58,32 @@ def _rolled(hashes: Sequence[int], window: int, salt: int) -> list[int]:
     return rolled
 
 
+def _spans(words: Sequence[int]) -> list[tuple[int, int]]:
+    """First and last line of windows: the fewest lines of ``LONG_LINE`` words from each line,
+    and those up to each line if a blank one is among them. Left out is what ``_removed`` takes
+    by itself, lines next to a long one with no blank one between."""
+    used = [i for i, n in enumerate(words) if n]
+    ahead, back = [], []
+    total, low = 0, 0
+    for high, last in enumerate(used):
+        total += words[last]
+        # Every line from which this one is the first to make the sum up.
+        while total >= LONG_LINE:
+            ahead.append((used[low], last))
+            total -= words[used[low]]
+            low += 1
+        if ahead and low:
+            # The line before ``low`` is the last from which the sum up to here is enough.
+            back.append((used[low - 1], last))
+    found = [
+        (first, last) for first, last in ahead
+        if first < last and (words[last] < LONG_LINE or 0 in words[first:last])
+    ]
+    return list(dict.fromkeys(found + [(a, b) for a, b in back if 0 in words[a:b]]))
+
+
 def parts_of(lines: Sequence[bytes]) -> list[Part]:
-    """All lines with a word in them, and all chunks of several lines."""
+    """All lines with a word in them, all chunks of several lines, and all windows."""
     words = [len(line.split()) for line in lines]
     keys = [digest(line) for line in lines]
     found = [(i, 1, words[i], keys[i]) for i in range(len(lines)) if words[i]]
@@ -74,13 +104,16 @@ def parts_of(lines: Sequence[bytes]) -> list[Part]:
                     found.append((low + start, i + 1 - start, total, key))
                 start = i + 1
         low = high + 1
+    for first, last in _spans(words):
+        key = digest(b"\n".join(lines[first : last + 1]))
+        found.append((first, last + 1 - first, sum(words[first : last + 1]), key))
     return list(dict.fromkeys(found))
 
 
 def _removed(count: int, parts: Sequence[Part], first: Sequence[int], doc: int) -> list[bool]:
-    """Which of ``count`` lines go: chunks that stand in an earlier document; lines in a row
-    that all have the same first document, if they make up a passage; and then single lines
-    that stand earlier and touch what goes. ``first`` is the first document of each part."""
+    """Which of ``count`` lines go: chunks and windows that stand in an earlier document; lines
+    in a row that all have the same first document, if they make up a passage; and then single
+    lines that stand earlier and touch what goes. ``first`` is the first document of each part."""
     gone, origin, words_in = [False] * count, [doc] * count, [0] * count
     for (start, lines, words, _), where in zip(parts, first):
         if where == doc:

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -45,6 +46,50 @@ def test_a_passage_of_short_lines_is_found_wherever_it_stands(spark, lines, word
         assert found[k]["removed"] == list(range(k, k + lines))
 
 
+@pytest.mark.parametrize("lines,words", [(2, 40), (3, 20), (4, 15), (60, 1)])
+def test_a_passage_whose_lines_have_different_first_documents(spark, lines, words):
+    """An earlier document quotes half of each passage, so its lines differ in their first one."""
+    rows, where = [], {}
+    for k in range(30):
+        passage = [prose(70_000 + 100 * k + j, words, f"p{k}x{j}x") for j in range(lines)]
+        around = [prose(90_000 + 10 * k + j, 12, "around") for j in range(6)]
+        quote = [around[0], *passage[: (lines + 1) // 2], around[1]]
+        rows.append((k, "\n".join(quote)))
+        rows.append((100 + k, "\n".join([around[2], *passage, around[3]])))
+        rows.append((200 + k, "\n".join([around[4], *passage, around[5]])))
+        where[200 + k] = list(range(1, lines + 1))
+    found = cleaned(texts(spark, rows))
+    assert {doc: found[doc]["removed"] for doc in where} == where
+
+
+def test_windows_against_all_runs_of_lines(spark):
+    """Every line of a run of 50 words that stands in an earlier document goes."""
+    rng = random.Random(3)
+    pool = [prose(k, rng.choice([4, 9, 14, 26, 60]), f"l{k}x") for k in range(25)] + ["", " "]
+    docs = []
+    for _ in range(120):
+        lines = [rng.choice(pool) for _ in range(rng.randrange(1, 8))]
+        if docs and rng.random() < 0.7:
+            other = rng.choice(docs)
+            low = rng.randrange(len(other))
+            lines += other[low : low + rng.randrange(1, 9)] + [rng.choice(pool)]
+        docs.append(lines)
+    found = cleaned(texts(spark, [(k, "\n".join(lines)) for k, lines in enumerate(docs)]))
+    runs, checked = set(), 0
+    for k, lines in enumerate(docs):
+        mine = [
+            (a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1)
+            if sum(len(x.split()) for x in lines[a:b]) >= LONG_LINE
+        ]
+        for a, b in mine:
+            if tuple(lines[a:b]) in runs:
+                spoken = {i for i in range(a, b) if lines[i].split()}
+                assert spoken <= set(found[k]["removed"])
+                checked += b - a > 1
+        runs.update(tuple(lines[a:b]) for a, b in mine)
+    assert checked > 50
+
+
 def test_short_repeated_lines_alone_stay(spark):
     line = "please read the terms of use"
     rows = [(k, f"{prose(k, 20)}\n{line}\n{prose(k + 100, 20)}") for k in range(5)]
