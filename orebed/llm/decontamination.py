@@ -1,10 +1,15 @@
 """Benchmark passages in training texts, found by spaced seeds.
 
-A spaced seed is a mask over ``SPAN`` word positions; positions outside the mask are not
-hashed, so a hit survives a substituted word there. Test windows under every mask are
-hashed into an index, training windows are looked up in it, and every hit names an item and
-a shift of the text against it. Along that shift the words of both are compared, and the
-longest stretch around the hit that keeps ``MATCH`` of its words is verified.
+A spaced seed is a mask over word positions; positions outside the mask are not hashed, so a
+hit survives a substituted word there. Windows of the items under every mask are hashed into
+an index, training windows are looked up in it, and every hit names an item and a shift of
+the text against it. Along that shift the words of both are compared, and the longest
+stretch that keeps ``MATCH`` of its words is verified.
+
+The masks miss nothing: wherever the substituted words of an overlap stand, as many as
+``MATCH`` allows, one mask fits between them. A long overlap can be cut into parts of 13 to
+25 words, one of which keeps ``MATCH`` of its words, so that masks which fit into all such
+parts fit into all overlaps; tests go through all of them.
 
 The index of a block of items is bounded by ``BLOCK_WORDS`` words, so it can go to every
 task. A larger benchmark takes several passes over the texts, one per block.
@@ -14,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +29,22 @@ from pyspark.sql.types import StructType
 
 from orebed.llm.words import LETTERS, chunks, find_words, mix
 
-SPAN = 11
-#: Eight of eleven positions each; the three that a mask ignores differ between masks.
-MASKS = ("11101100111", "11011010111", "10110111011", "11100111101")
 #: An overlap is as long as this, or as the item if that is shorter.
 LEAST_WORDS = 13
-MATCH = 0.8
+MATCH = Fraction(4, 5)
+#: Found by a greedy search for few masks of many words that fit into all overlaps.
+MASKS = ("1111011", "11010001011", "1100011011", "1111101")
+#: For items of so many words, one or two of which may be substituted.
+SHORT_MASKS = {
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("11111", "111101", "111011", "110111", "101111"),
+    7: ("11111", "111011", "110111"),
+    8: ("111111", "1111011", "1101111"),
+    9: ("1111011", "1101111"),
+    10: ("1111011", "11001111", "110110011", "11110101", "10101111"),
+    11: ("1110111", "111001011", "1011111", "111111"),
+    12: ("11101011", "101100111", "111111"),
+}
 BLOCK_WORDS = 2_000_000
 
 OVERLAPS = (
@@ -48,14 +64,8 @@ def _windows(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
 
 
 def _masks(words: int) -> tuple[str, ...]:
-    """Seeds for items of so many words: shorter items need shorter ones, and under five
-    words all of them have to agree."""
-    if words >= SPAN:
-        return MASKS
-    if words < 5:
-        return ("1" * words,)
-    # One position is left out of each, in turn, but for the ends.
-    return tuple("1" * k + "0" + "1" * (words - k - 1) for k in range(1, words - 1))
+    """Seeds for items of so many words; under five words all of them have to agree."""
+    return ("1" * words,) if words < 5 else SHORT_MASKS.get(words, MASKS)
 
 
 @dataclass
@@ -80,8 +90,8 @@ def build_index(ids: list[int | None], texts: list[str]) -> Index:
         for mask in _masks(int(count)) if count else ():
             window = _windows(words, mask, masks.index(mask) + 1)
             hashes.append(window)
-            item.append(np.full(len(window), i))
-            at.append(np.arange(len(window)))
+            item.append(np.full(len(window), i, np.int32))
+            at.append(np.arange(len(window), dtype=np.int32))
     if not hashes:
         empty = np.zeros(0, np.int64)
         return Index([], empty.astype(np.uint64), empty, empty, found.first, found.hash, [])
@@ -92,46 +102,58 @@ def build_index(ids: list[int | None], texts: list[str]) -> Index:
     )
 
 
-def _stretch(same: np.ndarray, seed: int) -> tuple[int, int, int]:
-    """The stretch of ``same`` around ``seed`` with the most matches beyond what ``MATCH``
-    asks for: first, end, matches. It begins and ends with a match."""
-    score = np.where(same, 1 - MATCH, -MATCH)
-    right = np.cumsum(score[seed:])
-    left = np.cumsum(score[seed::-1])
-    end = seed + int(right.argmax()) + 1
-    first = seed - int(left.argmax())
-    return first, end, int(same[first:end].sum())
-
-
-def overlaps_of(index: Index, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(item, first word there, first word here, words, matches) of verified overlaps, the
-    best for each item and shift."""
+def _stretch(same: np.ndarray) -> tuple[int, int, int]:
+    """The longest stretch of ``same`` that keeps ``MATCH`` of its words, of several the one
+    with the most matches: first, end, matches. It begins and ends with a match."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0, 0
+    # From match i to match j there are j - i + 1 matches in at[j] - at[i] + 1 words.
+    equal, of = MATCH.numerator, MATCH.denominator
+    excess = of * np.arange(len(at)) - equal * at
+    lowest = np.minimum.accumulate(excess)
+    begin = np.searchsorted(-lowest, -(excess + of - equal))
+    words = at - at[begin] + 1
+    matches = np.arange(len(at)) - begin + 1
+    best = int((words * (len(same) + 1) + matches).argmax())
+    return int(at[begin[best]]), int(at[best]) + 1, int(matches[best])
+
+
+def _shifts(index: Index, words: np.ndarray) -> list[tuple[int, int]]:
+    """Items and shifts that a window under some mask names."""
     shifts = set()
     for number, mask in enumerate(index.masks):
         windows = _windows(words, mask, number + 1)
         low = np.searchsorted(index.hashes, windows, side="left")
-        high = np.searchsorted(index.hashes, windows, side="right")
-        for here in np.flatnonzero(high > low):
-            for hit in range(low[here], high[here]):
-                shifts.add((int(index.item[hit]), int(here) - int(index.at[hit])))
+        many = np.searchsorted(index.hashes, windows, side="right") - low
+        here = np.flatnonzero(many)
+        if not len(here):
+            continue
+        low, many = low[here], many[here]
+        ahead = np.cumsum(many) - many
+        hit = np.repeat(low - ahead, many) + np.arange(many.sum())
+        shift = np.repeat(here, many) - index.at[hit]
+        shifts.update(zip(index.item[hit].tolist(), shift.tolist()))
+    return sorted(shifts)
+
+
+def overlaps_of(index: Index, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(item, first word there, first word here, words, matches) of verified overlaps, the
+    longest for each item and shift."""
     found = []
-    for item, shift in sorted(shifts):
+    for item, shift in _shifts(index, words):
         theirs = index.words[index.first[item] : index.first[item + 1]]
         low, high = max(0, -shift), min(len(theirs), len(words) - shift)
-        same = theirs[low:high] == words[low + shift : high + shift]
         needed = min(LEAST_WORDS, len(theirs))
-        best = None
-        done = 0
-        for seed in np.flatnonzero(same):
-            if seed < done:
-                continue
-            first, end, matches = _stretch(same, int(seed))
-            done = end
-            if end - first >= needed and matches >= MATCH * (end - first):
-                if best is None or matches > best[4]:
-                    best = (item, low + first, low + first + shift, end - first, matches)
-        if best:
-            found.append(best)
+        if high - low < needed:
+            continue
+        same = theirs[low:high] == words[low + shift : high + shift]
+        if len(theirs) < LEAST_WORDS:  # all of it, whichever words differ
+            first, end, matches = 0, len(theirs), int(same.sum())
+        else:
+            first, end, matches = _stretch(same)
+        if end - first >= needed and matches >= MATCH * (end - first):
+            found.append((item, low + first, low + first + shift, end - first, matches))
     return found
 
 
@@ -155,8 +177,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     matching words, for every item and shift with a verified overlap.
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, lower-cased. An
-    overlap has 13 words, or as many as the item, and 4 in 5 of them match. A text without
-    words, NULL among them, has none; neither has an item without words or an empty
+    overlap has 13 words, or as many as the item, and 4 in 5 of them match; one inside a
+    longer item begins and ends with a match. A text without words, NULL among them, has none; neither has an item without words or an empty
     benchmark. Items that are repeated are reported each. A column ``overlaps`` of the input
     is replaced; no other column is touched, and no row moves.
     """

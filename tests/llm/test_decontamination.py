@@ -1,12 +1,16 @@
 import random
 import re
 from collections import defaultdict
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from cases import documents, empty, odd, prose, texts
 
 from orebed.llm import decontamination
-from orebed.llm.decontamination import decontaminate, find_overlaps
+from orebed.llm.decontamination import build_index, decontaminate, find_overlaps, overlaps_of
+from orebed.llm.words import LETTERS, find_words
 
 WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
 
@@ -56,6 +60,68 @@ def test_substituted_words_are_tolerated(spark, seed):
     assert set(found) <= set(range(20)) and len(found) >= 19
 
 
+@pytest.mark.parametrize("words", range(5, 26))
+def test_a_mask_fits_between_any_substituted_words(words):
+    masks = [int(m, 2) for m in decontamination._masks(words)]
+    placed = np.array([
+        2**words - 1 - sum(1 << at for at in out)
+        for out in combinations(range(words), words // 5)
+    ])
+    hit = np.zeros(len(placed), dtype=bool)
+    for mask in masks:
+        for shift in range(words - mask.bit_length() + 1):
+            hit |= (placed >> shift) & mask == mask
+    assert hit.all()
+
+
+def brute_force(item, text):
+    """Shift and words of the longest overlap along every shift."""
+    found = {}
+    for shift in range(1 - len(item), len(text)):
+        both = range(max(0, -shift), min(len(item), len(text) - shift))
+        same = [item[i] == text[i + shift] for i in both]
+        best = 0
+        if len(item) < 13:
+            if len(same) == len(item) and 5 * sum(same) >= 4 * len(same):
+                best = len(same)
+        else:
+            for a, b in combinations(range(len(same) + 1), 2):
+                if b - a >= 13 and same[a] and same[b - 1] and 5 * sum(same[a:b]) >= 4 * (b - a):
+                    best = max(best, b - a)
+        if best:
+            found[shift] = best
+    return found
+
+
+@pytest.mark.parametrize("size", [3, 5, 6, 8, 10, 11, 12, 13, 15, 25, 40])
+def test_overlaps_against_brute_force_over_all_shifts(size):
+    rng = random.Random(size)
+    found_some = 0
+    for k in range(40):
+        item = [f"w{rng.randrange(30)}" for _ in range(size)]
+        own = list(item)
+        for at in rng.sample(range(size), rng.randrange(size // 4 + 1)):
+            own[at] = f"other{at}"
+        text = [f"w{rng.randrange(30)}" for _ in range(15)] + own + ["w1"] * 5
+        index = build_index([7], [" ".join(item)])
+        words = find_words(pa.array([" ".join(text)], pa.string()), LETTERS)
+        actual = {b - a: n for _, a, b, n, _ in overlaps_of(index, words.hash)}
+        assert actual == brute_force(item, text)
+        found_some += bool(actual)
+    assert found_some >= 10
+
+
+def test_every_fifth_word_replaced(spark):
+    passage = prose(3, 50, "item").split()
+    own = [f"other{at}" if at % 5 == 4 else word for at, word in enumerate(passage)]
+    docs = texts(spark, [(1, f"{prose(1, 30)} {' '.join(own)} {prose(2, 30)}"), (2, prose(4, 90))])
+    (row,) = [r for r in find_overlaps(docs, items(spark, [(9, " ".join(passage))])).collect() if r["overlaps"]]
+    # The last replaced word has no equal one after it.
+    assert [o.asDict() for o in row["overlaps"]] == [
+        {"item_id": 9, "item_start": 0, "start": 30, "words": 49, "matched": 40}
+    ]
+
+
 def test_where_and_how_much(spark):
     passage = prose(1, 20, "item")
     docs = texts(spark, [(1, f"one two {passage.upper()}! three")])
