@@ -33,7 +33,8 @@ SMOOTHING = 0.1
 #: Probability of a character that no piece has, in any language.
 UNKNOWN = 1e-6
 UNDETERMINED = "und"
-LONGEST_TRAINED = 64
+#: Words of so many characters are trained on with logarithms, which cannot vanish.
+LONG_WORD = 64
 _RESCALE = 16
 #: A worker's memory is about 100 MB with these, whatever the batches.
 _KNOWN_WORDS = 400_000
@@ -54,19 +55,24 @@ def piece_numbers(path: str) -> tuple[dict[str, int], int]:
     return {text: i for i, text in enumerate(texts)}, max(map(len, texts))
 
 
-def _lattice(words: list[str], path: str) -> Iterator[tuple[int, list[tuple[int, np.ndarray]]]]:
-    """For each end position, (start, piece numbers of all words); the words have one length.
+def _steps(words: list[str], end: int, path: str) -> list[tuple[int, np.ndarray]]:
+    """(start, piece numbers of all words) of pieces up to ``end``; the words have one length.
     A single character without a piece has the number after the last."""
     numbers, longest = piece_numbers(path)
     get, none = numbers.get, len(numbers) + 1
+    steps = []
+    for start in range(max(0, end - longest), end):
+        missing = none - 1 if end - start == 1 else none
+        ids = np.array([get(w[start:end], missing) for w in words])
+        if end - start == 1 or (ids < none - 1).any():
+            steps.append((start, ids))
+    return steps
+
+
+def _lattice(words: list[str], path: str) -> Iterator[tuple[int, list[tuple[int, np.ndarray]]]]:
+    """The steps to each end position."""
     for end in range(1, len(words[0]) + 1):
-        steps = []
-        for start in range(max(0, end - longest), end):
-            missing = none - 1 if end - start == 1 else none
-            ids = np.array([get(w[start:end], missing) for w in words])
-            if end - start == 1 or (ids < none - 1).any():
-                steps.append((start, ids))
-        yield end, steps
+        yield end, _steps(words, end, path)
 
 
 def _with_fallback(probabilities: np.ndarray) -> np.ndarray:
@@ -99,6 +105,28 @@ def log_probabilities(words: list[str], probabilities: np.ndarray, path: str) ->
     return result
 
 
+def _expected_in_long(
+    marked: list[str], counts: np.ndarray, table: np.ndarray, path: str
+) -> np.ndarray:
+    """As ``expected_pieces``, for words of one length; steps are made twice, not kept."""
+    with np.errstate(divide="ignore"):
+        logs = np.log(table)
+    length, total = len(marked[0]), np.zeros(len(table))
+    forward = np.full((length + 1, len(marked)), -np.inf)
+    backward = forward.copy()
+    forward[0] = backward[length] = 0
+    for end, steps in _lattice(marked, path):
+        for start, ids in steps:
+            forward[end] = np.logaddexp(forward[end], forward[start] + logs[ids])
+    for end in range(length, 0, -1):
+        for start, ids in _steps(marked, end, path):
+            onward = logs[ids] + backward[end]
+            backward[start] = np.logaddexp(backward[start], onward)
+            share = np.exp(forward[start] + onward - forward[length])
+            np.add.at(total, ids, counts * share)
+    return total
+
+
 def expected_pieces(
     words: list[str], counts: np.ndarray, probabilities: np.ndarray, path: str
 ) -> np.ndarray:
@@ -107,10 +135,13 @@ def expected_pieces(
     total = np.zeros(len(table))
     by_length = defaultdict(list)
     for i, word in enumerate(words):
-        if len(word) < LONGEST_TRAINED:
-            by_length[len(word) + 1].append(i)
+        by_length[len(word) + 1].append(i)
     for length, rows in by_length.items():
-        lattice = list(_lattice(["▁" + words[i] for i in rows], path))
+        marked = ["▁" + words[i] for i in rows]
+        if length > LONG_WORD:
+            total += _expected_in_long(marked, counts[rows], table, path)
+            continue
+        lattice = list(_lattice(marked, path))
         forward = np.zeros((length + 1, len(rows)))
         backward = np.zeros((length + 1, len(rows)))
         forward[0] = backward[length] = 1
@@ -144,29 +175,37 @@ def _words_in(found) -> np.ndarray:
     return digits[found.end] - digits[found.start] < found.end - found.start
 
 
+def _drawn(rows: DataFrame, texts: dict[str, int], sample: int) -> DataFrame:
+    """About ``sample`` of each language's different texts, of which it has as many as
+    ``texts`` says, each once."""
+    share = F.coalesce(
+        *(
+            F.when(F.col("lang") == lang, F.lit(min(1.0, sample / count)))
+            for lang, count in texts.items()
+        )
+    )
+    draw = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2**30)) / 2**30
+    return rows.where(draw < share).distinct()
+
+
 def train(
     labelled: DataFrame, *, sample: int = SAMPLE, rounds: int = EM_ROUNDS,
     vocabulary: str = VOCABULARY,
 ) -> LanguageModel:
     """A model of the languages in ``lang``, from ``text``. Rows that lack either are left
-    out. Of each language about ``sample`` texts are read, chosen by a hash of the text; the
-    words of those are counted in Spark and only expected counts of pieces, languages times
-    vocabulary, come to the driver. No rows give a model without languages."""
+    out. Of each language about ``sample`` different texts are learned from, chosen by a hash
+    of the text, each once however many copies there are; the words of those, long ones too,
+    are counted in Spark and only expected counts of pieces, languages times vocabulary, come
+    to the driver. Languages are weighted by their rows, copies among them. No rows give a model without languages."""
     path = vocabulary_path(vocabulary)
     rows = labelled.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    different = F.approx_count_distinct(F.xxhash64("text"), 0.01)
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), different.alias("texts")).collect()
+    sizes = {r["lang"]: r["n"] for r in found}
     languages = sorted(sizes)
     numbers, _ = piece_numbers(path)
     if not languages:
         return LanguageModel([], np.zeros(0), np.zeros((len(numbers), 0)), path)
-    share = F.coalesce(
-        *(
-            F.when(F.col("lang") == lang, F.lit(min(1.0, sample / sizes[lang])))
-            for lang in languages
-        )
-    )
-    draw = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2**30)) / 2**30
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             found = find_words(batch.column("text"), LETTERS)
@@ -185,7 +224,8 @@ def train(
             )
 
     counts = (
-        rows.where(draw < share).mapInArrow(count, "lang string, word string, n bigint")
+        _drawn(rows, {r["lang"]: r["texts"] for r in found}, sample)
+        .mapInArrow(count, "lang string, word string, n bigint")
         .groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
     counts = materialize(counts, "language-words")

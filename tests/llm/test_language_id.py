@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from cases import documents, empty, odd
+from cases import documents, empty, odd, prose
 
 from orebed.llm.language_id import (
     UNKNOWN,
@@ -65,6 +65,52 @@ def test_expected_pieces_cover_the_characters(tables):
     assert (expected * length).sum() == pytest.approx(sum((len(w) + 1) * n for w, n in zip(words, counts)))
 
 
+@pytest.mark.parametrize("size", [31, 32, 100, 3000])
+def test_long_words_are_learned_from(tables, size):
+    numbers, _ = piece_numbers(PATH)
+    words, counts = ["ab" * size, "ba" * size, "on"], np.array([3, 1, 2])
+    expected = expected_pieces(words, counts, tables[:, 0], PATH)
+    length = np.zeros(len(numbers))
+    for piece, number in numbers.items():
+        length[number] = len(piece)
+    assert (expected * length).sum() == pytest.approx(sum((len(w) + 1) * n for w, n in zip(words, counts)))
+
+
+def test_long_and_short_words_have_the_same_sums(tables, monkeypatch):
+    words, counts = ["house", "there", "日本", "aaaa"], np.array([3, 1, 2, 5])
+    plain = expected_pieces(words, counts, tables[:, 0], PATH)
+    monkeypatch.setattr("orebed.llm.language_id.LONG_WORD", 0)
+    assert expected_pieces(words, counts, tables[:, 0], PATH) == pytest.approx(plain)
+
+
+def labelled(spark, rows):
+    return spark.createDataFrame([("en", text) for text in rows], "lang string, text string")
+
+
+def test_copies_of_a_text_count_once(spark):
+    rows = ["the house stands there", "a river runs", "on and on"]
+    once, often = train(labelled(spark, rows)), train(labelled(spark, rows + rows[:1] * 40))
+    assert often.pieces == pytest.approx(once.pieces)
+
+
+@pytest.mark.parametrize("copied", range(8))
+def test_copies_leave_the_size_of_the_sample(spark, monkeypatch, copied):
+    """A third of the rows are one text, whether it is drawn or not."""
+    from orebed.llm import language_id
+
+    read = []
+    own = language_id._drawn
+
+    def drawn(rows, texts, sample):
+        read.append(own(rows, texts, sample).count())
+        return own(rows, texts, sample)
+
+    monkeypatch.setattr(language_id, "_drawn", drawn)
+    rows = [prose(k, 5) for k in range(1200)]
+    train(labelled(spark, rows + [f"copy {copied}"] * 600), sample=300, rounds=0)
+    assert 240 <= read[0] <= 360
+
+
 def test_held_out_documents(spark, small):
     docs, _ = documents(spark, small)
     truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
