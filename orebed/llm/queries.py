@@ -9,6 +9,7 @@ from orebed.llm.class_lm import score_texts
 from orebed.llm.class_lm import train as train_lm
 from orebed.llm.decontamination import find_overlaps
 from orebed.llm.fingerprints import versions
+from orebed.llm.hard_negatives import mine
 from orebed.llm.language_id import LanguageModel, predict, train
 from orebed.llm.line_dedup import remove_shared_passages
 from orebed.llm.near_duplicates import near_duplicates
@@ -136,6 +137,42 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_shared_passages(docs)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label").cast("bigint")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", moved.alias("label"), F.col("embedding").alias("vector"),
+        (vec_id % 100 == 0).alias("anchor"),
+    )
+    return mine(rows)
+
+
+#: All rows against all anchors.
+HARD_NEGATIVES_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other,
+        CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+    CAST(row_number() OVER (
+        PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other
+    ) AS INTEGER) AS rank,
+    s.other AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+    AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+"""
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -147,5 +184,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op11_hard_negatives": HARD_NEGATIVES_SQL}
