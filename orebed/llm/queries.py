@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orebed.llm.class_lm import score_texts
 from orebed.llm.class_lm import train as train_lm
+from orebed.llm.conversation_repair import damage, repair
 from orebed.llm.decontamination import find_overlaps
 from orebed.llm.fingerprints import versions
 from orebed.llm.hard_negatives import mine
@@ -147,6 +148,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(rows)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair(damage(rows), rows)
+
+
 #: All rows against all anchors.
 HARD_NEGATIVES_SQL = """
 WITH v AS (
@@ -173,6 +179,98 @@ FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
 QUALIFY rank <= 5
 """
 
+#: The best edits from the last row to the first, one row a step.
+CONVERSATION_SQL = """
+WITH RECURSIVE raw AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        [ord(c) FOR c IN string_split(
+            coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '),
+            ''
+        )] AS bytes
+    FROM conversations
+), hashed AS (
+    SELECT *, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, [CAST(b AS BIGINT) FOR b IN bytes]),
+        lambda crc, b: list_reduce(
+            [xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+            lambda v, bit: xor(v >> 1, 3988292384 * (v & 1))
+        )
+    )) % 20 AS kind
+    FROM raw
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM hashed, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)
+    WHERE kind <> 0
+), placed AS (
+    SELECT *, row_number() OVER (
+            PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+        ) AS place,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed
+    FROM damaged
+), repeated AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS nth
+    FROM placed
+), judged AS (
+    SELECT *, CASE WHEN trimmed = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+            WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        left(role, 1) AS initial,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS former
+    FROM repeated
+), counted AS (
+    SELECT conv_id, count(*) AS n,
+        coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (former IS NOT NULL AND former || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM judged GROUP BY conv_id
+), best AS (
+    SELECT conv_id, n AS place, {'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]} AS s0,
+        {'c': 4::BIGINT, 'a': 'II', 'r': ['user:', 'assistant:']} AS ss,
+        {'c': 2::BIGINT, 'a': 'I', 'r': ['assistant:']} AS su,
+        {'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]} AS sa
+    FROM counted
+    UNION ALL
+    SELECT conv_id, place - 1,
+        least(e0, {'c': eu.c + 2, 'a': 'I' || eu.a, 'r': ['user:'] || eu.r},
+            {'c': ea.c + 4, 'a': 'II' || ea.a, 'r': ['user:', 'assistant:'] || ea.r}),
+        least(es, {'c': eu.c + 2, 'a': 'I' || eu.a, 'r': ['user:'] || eu.r},
+            {'c': ea.c + 4, 'a': 'II' || ea.a, 'r': ['user:', 'assistant:'] || ea.r}),
+        least(eu, {'c': ea.c + 2, 'a': 'I' || ea.a, 'r': ['assistant:'] || ea.r}),
+        least(ea, {'c': eu.c + 2, 'a': 'I' || eu.a, 'r': ['user:'] || eu.r})
+    FROM (
+        SELECT conv_id, place, least(d0, rerole_u, keep_s, keep_u) AS e0,
+            least(ds, rerole_u, keep_u) AS es, least(du, rerole_a, keep_a) AS eu,
+            least(da, rerole_u, keep_u) AS ea
+        FROM (
+            SELECT b.conv_id, b.place,
+                {'c': s0.c + 3, 'a': 'D' || s0.a, 'r': s0.r} AS d0,
+                {'c': ss.c + 3, 'a': 'D' || ss.a, 'r': ss.r} AS ds,
+                {'c': su.c + 3, 'a': 'D' || su.a, 'r': su.r} AS du,
+                {'c': sa.c + 3, 'a': 'D' || sa.a, 'r': sa.r} AS da,
+                CASE WHEN stays THEN {'c': su.c + 2 + cut, 'a': 'R' || su.a, 'r': ['user:' || text] || su.r} END AS rerole_u,
+                CASE WHEN stays THEN {'c': sa.c + 2 + cut, 'a': 'R' || sa.a, 'r': ['assistant:' || text] || sa.r} END AS rerole_a,
+                CASE WHEN stays AND initial = 's' THEN {'c': ss.c + cut, 'a': 'K' || ss.a, 'r': [role || ':' || text] || ss.r} END AS keep_s,
+                CASE WHEN stays AND initial = 'u' THEN {'c': su.c + cut, 'a': 'K' || su.a, 'r': [role || ':' || text] || su.r} END AS keep_u,
+                CASE WHEN stays AND initial = 'a' THEN {'c': sa.c + cut, 'a': 'K' || sa.a, 'r': [role || ':' || text] || sa.r} END AS keep_a
+            FROM best b JOIN (
+                SELECT *, fault NOT IN ('blank', 'duplicate') AS stays,
+                    CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut
+                FROM judged
+            ) j ON b.conv_id IS NOT DISTINCT FROM j.conv_id AND b.place = j.place
+        )
+    )
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+    coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(s0.c, 0) AS cost, coalesce(s0.a, '') AS audit,
+    sha256(coalesce(array_to_string(s0.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN counted c ON i.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON i.conv_id IS NOT DISTINCT FROM b.conv_id AND b.place = 0
+"""
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -185,5 +283,8 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
+}
+ORACLE = {
+    "op11_hard_negatives": HARD_NEGATIVES_SQL, "op13_conversation_repair": CONVERSATION_SQL,
 }
-ORACLE = {"op11_hard_negatives": HARD_NEGATIVES_SQL}

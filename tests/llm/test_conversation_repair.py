@@ -1,0 +1,168 @@
+import hashlib
+import random
+import re
+import zlib
+from itertools import groupby, product
+
+import pytest
+
+from checks.compare import connect, differences
+from orebed.llm import conversation_repair
+from orebed.llm.conversation_repair import damage, repair
+from orebed.llm.queries import ORACLE, op13_conversation_repair
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string, n int, slice string, audit int"
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def plain_damage(rows):
+    for conv, turn, role, text in rows:
+        name = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        kind = zlib.crc32(name.encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        row = (conv, turn, "user" if kind == 4 else role, text)
+        yield from [row] * (0 if kind == 0 else 2 if kind == 3 else 1)
+
+
+def fault(row, earlier):
+    text = row[3].rstrip(SPACE)
+    if not text:
+        return "blank"
+    if (row[2], row[3]) in earlier:
+        return "duplicate"
+    return "" if text[-1] in ".!?" else "truncated"
+
+
+def cheapest(rows, faults):
+    """By trying edits from the front, best first by nothing but cost: all ways, cut off only by
+    the cost of deleting everything."""
+    best = (3 * len(rows) + 1, "", [])
+    ways = [(0, "", "", [])]
+    for row, what in zip(rows, faults):
+        after = {}
+        for cost, audit, roles, out in ways:
+            for inserted in ("", "u", "a", "ua", "au"):
+                ahead = roles + inserted
+                names = [{"u": "user:", "a": "assistant:"}[c] for c in inserted]
+                base = (cost + 2 * len(inserted), audit + "I" * len(inserted))
+                options = [(3, "D", "", [])]
+                if what not in ("blank", "duplicate"):
+                    more = what == "truncated"
+                    options.append((more, "K", row[2][:1] or "-", [f"{row[2]}:{row[3]}"]))
+                    for name in ("user", "assistant"):
+                        options.append((2 + more, "R", name[0], [f"{name}:{row[3]}"]))
+                for c, letter, initial, line in options:
+                    now = ahead + initial
+                    if not re.fullmatch("(s?(ua)*u?)", now):
+                        continue
+                    way = (base[0] + c, base[1] + letter, now, out + names + line)
+                    state = now if now in ("", "s") else now[-1]
+                    if way[0] < best[0]:
+                        # Of ways to one state, no dearer one can win; equal ones all stay.
+                        kept = after.setdefault(state, [])
+                        if not kept or way[0] <= kept[0][0]:
+                            after[state] = [w for w in kept if w[0] <= way[0]] + [way]
+        ways = [w for kept in after.values() for w in kept]
+    finals = []
+    for cost, audit, roles, out in ways:
+        for tail in ("", "a", "ua"):
+            if re.fullmatch("(s?(ua)+)?", roles + tail):
+                names = [{"u": "user:", "a": "assistant:"}[c] for c in tail]
+                finals.append((cost + 2 * len(tail), audit + "I" * len(tail), out + names))
+    return min(finals, key=lambda f: f[:2])
+
+
+def plain(rows, ids):
+    order = lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2], r[3])
+    out = {c: (0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest()) for c in ids}
+    for conv, own in groupby(sorted(rows, key=order), lambda r: r[0]):
+        own = list(own)
+        seen, faults = set(), []
+        for row in own:
+            faults.append(fault(row, seen))
+            seen.add((row[2], row[3]))
+        turns = [r[1] for r in own if r[1] is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        initials = [r[2][:1] for r in own]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        cost, audit, lines = cheapest(own, faults)
+        digest = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+        counts = [faults.count(k) for k in ("blank", "duplicate", "truncated")]
+        out[conv] = (min(gaps, 2**63 - 1), *counts, illegal, cost, audit, digest)
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 5, "x", 1) for r in rows], SCHEMA).repartition(3)
+
+
+def repaired(spark, rows):
+    return {r[0]: tuple(r)[1:] for r in repair(frame(spark, rows)).collect()}
+
+
+def conversations(seed, count, length):
+    rng = random.Random(seed)
+    roles = ["system", "user", "assistant", "user", "assistant", "tool", "", None]
+    texts = ["Yes.", "No", "What?", "", " \n", None, "a:b!", "Ünï. \t", "same.", "same."]
+    return [
+        (c, rng.choice([t, t, t, None, t // 2]), rng.choice(roles), rng.choice(texts) if rng.random() < 0.6 else f"{c} {t}.")
+        for c in range(count) for t in range(rng.randint(0, length))
+    ]
+
+
+def test_random_conversations_against_all_ways(spark):
+    rows = conversations(1, 120, 6) + [(None, 1, "user", "hi."), (None, None, "assistant", "ho")]
+    filled = [(c, t, " " if r is None else r, " " if x is None else x) for c, t, r, x in rows]
+    assert repaired(spark, rows) == plain(filled, {r[0] for r in rows})
+
+
+def test_all_short_rows_of_roles(spark):
+    rows = []
+    for c, roles in enumerate(p for n in range(5) for p in product("sua", repeat=n)):
+        names = {"s": "system", "u": "user", "a": "assistant"}
+        rows += [(c, t, names[r], f"{t}" + "." * ((c + t) % 3 > 0)) for t, r in enumerate(roles)]
+    assert repaired(spark, rows) == plain(rows, {r[0] for r in rows})
+
+
+def test_segments_do_not_matter(spark, monkeypatch):
+    rows = conversations(2, 40, 30) + [(99, t % 7, "user", f"x{t % 5}") for t in range(200)]
+    whole = repaired(spark, rows)
+    monkeypatch.setattr(conversation_repair, "SEGMENT_ROWS", 2)
+    monkeypatch.setattr(conversation_repair, "SLICE_ROWS", 60)
+    assert repaired(spark, rows) == whole
+
+
+def test_long_conversation_and_copies(spark):
+    rows = [(1, t, ("user", "assistant")[t % 2], f"{t}.") for t in range(5000)]
+    rows += [(2, 0, "user", "again.")] * 300 + [(2, -(2**63), "user", "a."), (2, 2**63 - 1, "user", "b.")]
+    got = repaired(spark, rows)
+    assert got[1][5:7] == (0, "K" * 5000)
+    assert got[2][0] == 2**63 - 1
+    assert got[2][1:5] == (0, 299, 0, 301)
+    assert got[2][5] == 3 * 299 + 4 and got[2][6] == "KIK" + "D" * 299 + "R"
+    text = "\n".join(["user:a.", "assistant:", "user:again.", "assistant:b."])
+    assert got[2][7] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_damage(spark):
+    rows = conversations(3, 60, 8)
+    got = sorted(map(tuple, damage(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted(plain_damage(rows), key=repr)
+
+
+def test_empty(spark):
+    assert repaired(spark, []) == {}
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
+def test_against_sql(spark, folder):
+    found = op13_conversation_repair(spark, folder)
+    assert differences(found, connect(folder), ORACLE["op13_conversation_repair"]) == []
+
+
+def test_query_against_all_ways(spark, small):
+    rows = spark.read.parquet(f"{small}/conversations.parquet").collect()
+    rows = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in rows]
+    got = {r[0]: tuple(r)[1:] for r in op13_conversation_repair(spark, small).collect()}
+    assert got == plain(list(plain_damage(rows)), {r[0] for r in rows})
