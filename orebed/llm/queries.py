@@ -17,6 +17,9 @@ from orebed.llm.near_duplicates import near_duplicates
 from orebed.llm.packing import pack
 from orebed.llm.pii import KINDS, find_pii
 from orebed.llm.pii import train as train_pii
+from orebed.llm.quality_gam import at_least
+from orebed.llm.quality_gam import score as score_quality
+from orebed.llm.quality_gam import train as train_quality
 from orebed.llm.sharding import interleave
 from orebed.llm.tokens import pieces
 from orebed.llm.url_filter import judge_urls
@@ -148,6 +151,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(rows)
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = train_quality(docs, labels.where(id_remainder(4) != 2))
+    rows = docs.withColumn("held_out", id_remainder(4) == 2)
+    scored = score_quality(rows, model)
+    return scored.select("doc_id", "held_out", "score", at_least(0.7).alias("predicted"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair(damage(rows), rows)
@@ -283,6 +295,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_quality": op12_quality,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE = {
