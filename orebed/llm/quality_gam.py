@@ -304,15 +304,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
     """Fit on at most ``sample`` labelled texts. ``docs`` has doc_id and text, ``labels`` has
     doc_id and label (0 or 1; others are not used, nor ids whose labels differ)."""
     drawn = _one_label(labels).orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("l_id"))
-    # An id may have many rows; again the bound holds, and equal texts of an id count once.
-    rows = rows.dropDuplicates(["doc_id", "text"])
-    place = F.xxhash64("doc_id", "text")
-    rows = rows.select(place.alias("place"), "label", "text").orderBy("place").limit(sample)
+    # At most ``sample`` ids and labels.
+    known = docs.select("doc_id", "text").join(
+        F.broadcast(drawn), F.col("doc_id") == F.col("l_id")
+    )
+    # An id may have many rows, so the bound is held again, on measures instead of texts;
+    # equal texts of an id count once.
+    place = F.xxhash64("doc_id", "text").alias("place")
+    rows = known.dropDuplicates(["doc_id", "text"]).select(
+        place, F.col("label").cast("int").alias("label"), "text"
+    )
     names = ["place", "label", *NAMES]
     schema = "place bigint, label int, " + ", ".join(f"{n} double" for n in NAMES)
-    label = F.col("label").cast("int")
-    found = rows.withColumn("label", label).mapInArrow(_measured(names), schema).toArrow()
+    measured = rows.mapInArrow(_measured(names), schema)
+    found = measured.orderBy("place").limit(sample).toArrow()
     x = np.stack([found.column(n).to_numpy() for n in NAMES], axis=1)
     order = np.argsort(found.column("place").to_numpy(), kind="stable")
     y = found.column("label").to_numpy().astype(float)[order]
