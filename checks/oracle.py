@@ -435,7 +435,7 @@ ORACLE = {
     "finished_in_year": _with(CONTESTS) + f"""
         SELECT match_id, match_date, CAST(left(match_date, 4) AS INTEGER) AS match_year,
                home_score, away_score, result
-        FROM ({GOLD_MATCHES}) WHERE match_status = 'FT' AND left(match_date, 4) = '1994'""",
+        FROM ({GOLD_MATCHES}) WHERE match_status = 'FT' AND left(match_date, 4) = '1997'""",
     "group_report": _with(STANDING_ROWS) + f"""
         SELECT group_name, position, team_name, points, running_total_points, points_per_game
         FROM ({GOLD_STANDINGS}) ORDER BY group_name, position, standing_id""",
@@ -457,11 +457,34 @@ ORACLE = {
         QUALIFY row_number() OVER (
             PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
     "merge_into_partitions": f"""
+        SELECT event_id, strftime(ts, {MICROS}) AS ts, user_id, kind AS event_type, value, props
+        FROM (SELECT *, CASE WHEN user_id % 10 <> 0 THEN event_type END AS kind FROM events)
+        WHERE ts < TIMESTAMP '2024-01-16' OR kind = 'click' OR kind IS NULL
+        QUALIFY row_number() OVER (
+            PARTITION BY user_id, kind ORDER BY ts DESC, event_id DESC) = 1""",
+    "merge_into_state": f"""
         SELECT event_id, strftime(ts, {MICROS}) AS ts, user_id, event_type, value, props
         FROM events
-        WHERE ts < TIMESTAMP '2024-01-16' OR event_type = 'click'
         QUALIFY row_number() OVER (
             PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
+    "stream_latest_matches": _with(CONTESTS) + """
+        SELECT * EXCLUDE (id) REPLACE (
+            CASE WHEN id % 3 = 0 THEN match_status WHEN id % 2 = 0 THEN 'HT' ELSE 'NS' END
+                AS match_status,
+            CASE WHEN id % 3 = 0 OR id % 2 = 0 THEN home_score END AS home_score,
+            CASE WHEN id % 3 = 0 THEN away_score END AS away_score
+        )
+        FROM (SELECT *, CAST(match_id AS BIGINT) AS id FROM contests)""",
+    "stream_dead_letters": """
+        SELECT CASE c_mktsegment WHEN 'MACHINERY' THEN 'broken line'
+                   WHEN 'BUILDING' THEN 'line without array'
+                   WHEN 'HOUSEHOLD' THEN 'row without key' ELSE 'kept' END AS reason,
+               CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'MACHINERY' THEN
+                   nullif(regexp_extract(
+                       left('{"teams":[{"idTeam":"' || c_custkey || '","strTeam":"x"}]}', 20),
+                       '"(?:idTeam|strTeam)":"([0-9]+)', 1), '')
+               ELSE CAST(c_custkey AS VARCHAR) END AS team_id
+        FROM customer""",
     "partition_overwrite": """
         SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS INTEGER) AS order_year,
                CASE WHEN year(o_orderdate) = 1997 THEN 'R' ELSE o_orderstatus END AS o_orderstatus

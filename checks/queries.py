@@ -19,6 +19,8 @@ from orebed.operators.merge import merge_into_partitions as merge_partitions
 from orebed.operators.quality import QualityError
 from orebed.operators.quality import quality_report as build_quality_report
 from orebed.operators.running import running_total
+from orebed.operators.state import create_state
+from orebed.operators.state import merge_into_state as merge_state
 from orebed.plans import reports
 from orebed.plans.gold import gold_matches as build_gold_matches
 from orebed.plans.gold import gold_standings as build_gold_standings
@@ -30,6 +32,7 @@ from orebed.sources.bronze import (
     land_lines,
     land_payloads,
     land_rows,
+    payload_rows,
     read_bronze,
     to_lines,
 )
@@ -43,6 +46,7 @@ from orebed.sources.layers import (
     write_layer,
 )
 from orebed.sources.layers import contract_report as build_contract_report
+from orebed.sources.partitions import create_partitioned, replace_partitions
 from orebed.specs import (
     ENTITIES,
     LOADED_AT,
@@ -62,6 +66,13 @@ from orebed.streaming.dedupe import (
     stream_bronze,
     stream_layer,
 )
+from orebed.streaming.upsert import (
+    LANDED_AT,
+    read_dead_letters,
+    state_schema,
+    stream_lines,
+    upsert_available,
+)
 
 BATCH_TS = datetime(2026, 1, 1)
 EARLY = "1995-07-01"
@@ -318,7 +329,7 @@ def finished_in_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     overwrite_partitions(gold, f"{root}/matches", ["match_year"])
     database = _database(spark, Layout(root))
     publish(spark, f"{database}.matches", f"{root}/matches", gold.schema, ["match_year"])
-    rows = spark.table(f"{database}.matches").where("match_year = 1994")
+    rows = spark.table(f"{database}.matches").where("match_year = 1997")
     return rows.where(F.col("match_status") == reports.FINISHED).select(
         "match_id", "match_date", "match_year", "home_score", "away_score", "result"
     )
@@ -536,19 +547,37 @@ def merge_latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_into_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of the first half month, by type, then the later clicks merged in: no other
-    type's folder is written again."""
-    events = _events(spark, sf_dir)
+    """The state of the first half month, by type, then the later clicks and events without a
+    type merged in: no other type's folder is written again. A tenth of the users' events have
+    no type."""
+    typed = F.when(F.col("user_id") % 10 != 0, F.col("event_type"))
+    events = _events(spark, sf_dir).withColumn("event_type", typed)
     is_early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
     keys, order = ["user_id", "event_type"], ["ts", "event_id"]
     columns = [c for c in events.columns if c != "event_type"]
     events = events.select(*columns, "event_type")
-    path = new_workspace(spark, "events-by-type")
-    overwrite_partitions(latest_per_key(events.where(is_early), keys, order), path, ["event_type"])
-    clicks = events.where(~is_early & (F.col("event_type") == "click"))
-    merge_partitions(spark, path, clicks, keys, order, ["event_type"])
-    state = spark.read.schema(events.schema).parquet(path)
-    return state.withColumn("ts", F.date_format("ts", MICROS))
+    root = new_workspace(spark, "events-by-type")
+    name = f"{_database(spark, Layout(root))}.events"
+    create_partitioned(spark, name, events.schema, ["event_type"], f"{root}/events")
+    early = materialize(latest_per_key(events.where(is_early), keys, order), "early")
+    replace_partitions(spark, name, early, early.select("event_type"))
+    late = ~is_early & (F.col("event_type").isNull() | (F.col("event_type") == "click"))
+    merge_partitions(spark, name, events.where(late), keys, order)
+    return spark.table(name).withColumn("ts", F.date_format("ts", MICROS))
+
+
+def merge_into_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest event per user and type in a bucketed state: days of odd and even number in turn,
+    each merged into what the one before left."""
+    events = _events(spark, sf_dir)
+    keys, order = ["user_id", "event_type"], ["ts", "event_id"]
+    root = new_workspace(spark, "event-state")
+    name = f"{_database(spark, Layout(root))}.state"
+    create_state(spark, name, events.schema, keys, 16, f"{root}/state-0")
+    for part in (0, 1, 2):
+        days = events.where(F.dayofmonth("ts") % 3 == part)
+        merge_state(spark, name, days, keys, order, f"{root}/state-{part + 1}")
+    return spark.table(name).withColumn("ts", F.date_format("ts", MICROS))
 
 
 def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -601,6 +630,67 @@ def stream_silver_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_layer(spark, f"{root}/out", contract)
 
 
+def _land_more(rows: DataFrame, spec: EntitySpec, path: str) -> None:
+    """One payload per row beside those that lie there already."""
+    to_lines(payload_rows(rows, spec)).write.mode("append").text(path)
+
+
+def stream_latest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match before it is played, half of them at half time, a third of all after the
+    end, in three deliveries; the stream keeps the last version of each."""
+    root = new_workspace(spark, "stream-latest")
+    name = f"{_database(spark, Layout(root))}.matches"
+    create_state(spark, name, state_schema(MATCHES), ["match_id"], 8, f"{root}/empty")
+    played = fixtures.contests(spark, sf_dir)
+    nothing = F.lit(None).cast("string")
+    number = F.col("match_id").cast("bigint")
+    versions = [
+        played.withColumns(
+            {"match_status": F.lit("NS"), "home_score": nothing, "away_score": nothing}
+        ),
+        played.withColumns({"match_status": F.lit("HT"), "away_score": nothing}).where(
+            number % 2 == 0
+        ),
+        played.where(number % 3 == 0),
+    ]
+    for rows in versions:
+        _land_more(rows, MATCHES, f"{root}/in")
+        lines = stream_lines(spark, MATCHES, f"{root}/in")
+        query = upsert_available(
+            lines, MATCHES, name, ["match_id"], [LANDED_AT], root, f"{root}/progress"
+        )
+        query.awaitTermination()
+    spark.sql(f"REFRESH TABLE {name}")
+    return spark.table(name).drop(LANDED_AT)
+
+
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of the customers' team payloads in a stream: one segment is cut short, one
+    lacks the array, one has teams without an id."""
+    segment, key = F.col("c_mktsegment"), F.col("c_custkey").cast("string")
+    whole_line = F.format_string('{"teams":[{"idTeam":"%s","strTeam":"x"}]}', key)
+    line = (
+        F.when(segment == "MACHINERY", F.substring(whole_line, 1, 20))
+        .when(segment == "BUILDING", F.format_string('{"message":"%s"}', key))
+        .when(segment == "HOUSEHOLD", F.format_string('{"teams":[{"strTeam":"%s"}]}', key))
+        .otherwise(whole_line)
+    )
+    root = new_workspace(spark, "stream-letters")
+    name = f"{_database(spark, Layout(root))}.teams"
+    create_state(spark, name, state_schema(TEAMS), ["team_id"], 4, f"{root}/empty")
+    table(spark, sf_dir, "customer").select(line.alias("value")).write.text(f"{root}/in")
+    lines = stream_lines(spark, TEAMS, f"{root}/in")
+    query = upsert_available(lines, TEAMS, name, ["team_id"], [LANDED_AT], root, f"{root}/progress")
+    query.awaitTermination()
+    spark.sql(f"REFRESH TABLE {name}")
+    kept = spark.table(name).select(F.lit("kept").alias("reason"), "team_id")
+    letters = read_dead_letters(spark, root)
+    # What a letter says: the customer's number, wherever its kind of line has it.
+    number = F.regexp_extract("line", '"(?:idTeam|strTeam)":"([0-9]+)', 1)
+    left = letters.select("reason", F.when(number != "", number).alias("team_id"))
+    return kept.unionByName(left)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -634,9 +724,12 @@ QUERIES = {
         medallion_rerun,
         merge_latest_events,
         merge_into_partitions,
+        merge_into_state,
         partition_overwrite,
         consolidate_seasons,
         stream_dedup,
         stream_silver_matches,
+        stream_latest_matches,
+        stream_dead_letters,
     )
 }

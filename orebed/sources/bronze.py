@@ -98,10 +98,10 @@ def read_bronze(
 
 
 def observe_lines(
-    bronze: DataFrame, spec: EntitySpec, broken: str
+    bronze: DataFrame, spec: EntitySpec, broken: str, keep: bool = False
 ) -> tuple[DataFrame, Observation]:
     """Let whatever reads ``bronze`` count its lines, those that are broken, and those that
-    are not but lack the entity's array."""
+    are not but lack the entity's array. The column ``broken`` goes unless ``keep`` is set."""
     array, text = F.col(spec.array), F.col(broken)
     observation = Observation()
     counted = bronze.observe(
@@ -110,7 +110,7 @@ def observe_lines(
         F.count(text).alias(BROKEN),
         F.count_if(array.isNull() & text.isNull()).alias(WITHOUT_ARRAY),
     )
-    return counted.drop(broken), observation
+    return (counted if keep else counted.drop(broken)), observation
 
 
 def has_files(spark: SparkSession, path: str, pattern: str | None = None) -> bool:

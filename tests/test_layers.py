@@ -7,7 +7,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from orebed.operators.merge import (
     consolidate,
     latest_per_key,
-    merge_into_partitions,
     merge_latest,
 )
 from orebed.session import materialize, new_workspace, shared_root, side_by_side
@@ -229,19 +228,3 @@ def test_side_by_side(spark):
 
     with pytest.raises(KeyError):
         side_by_side(spark, {"a": fail, "b": lambda: 1})
-
-
-def test_merge_rewrites_touched_partitions_only(spark):
-    path, kind = new_workspace(spark, "parts"), "k int, v int, d string"
-    overwrite_partitions(spark.createDataFrame([(1, 1, "a"), (2, 1, "a"), (3, 1, "b")], kind), path, ["d"])
-
-    def files(day):
-        stored = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/d={day}")
-        return {(f.path, f.modificationTime) for f in stored.select("path", "modificationTime").collect()}
-
-    before = files("b")
-    updates = spark.createDataFrame([(1, 5, "a"), (2, 0, "a"), (9, 1, "c")], kind)
-    merge_into_partitions(spark, path, updates, ["k", "d"], ["v"], ["d"])
-    state = spark.read.schema(kind).parquet(path)
-    assert sorted(map(tuple, state.collect())) == [(1, 5, "a"), (2, 1, "a"), (3, 1, "b"), (9, 1, "c")]
-    assert files("b") == before
