@@ -490,7 +490,17 @@ ORACLE = {
                CASE WHEN year(o_orderdate) = 1997 THEN 'R' ELSE o_orderstatus END AS o_orderstatus
         FROM orders""",
     "consolidate_seasons": _with(SEASON_ROWS)
-    + _gold_standings("season, " + STANDING_BASE, group="season, group_name"),
+    + _gold_standings(
+        "league, season, " + STANDING_BASE, group="league, season, group_name"
+    ).replace("FROM standings", "FROM (SELECT *, CAST(CAST(team_id AS BIGINT) % 2 AS VARCHAR) "
+              "AS league FROM standings) AS standings"),
+    "latest_finished_in_season": _with(CONTESTS) + f"""
+        SELECT match_id, match_date, home_team_name, away_team_name, home_score, away_score,
+               total_goals, result
+        FROM ({GOLD_MATCHES})
+        WHERE match_status = 'FT' AND left(match_date, 4) = '1997'
+            AND CAST(home_team_id AS BIGINT) % 2 = 1
+        ORDER BY match_date DESC, match_id LIMIT 20""",
     "stream_dedup": f"""
         SELECT event_id, strftime(ts, {MICROS}) AS ts, user_id, event_type, value, props
         FROM events""",

@@ -335,6 +335,45 @@ def finished_in_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _seasons_run(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """One run over two leagues and all seasons: gold table by entity. Leagues are teams with
+    even and odd numbers; a season is a year, team profiles are all of one."""
+    layout = Layout(new_workspace(spark, "seasons"))
+    league = {
+        "teams": "team_id", "standings": "team_id", "matches": "home_team_id",
+    }
+    season = {
+        "teams": F.lit("1997"), "standings": F.col("season").cast("string"),
+        "matches": F.substring("match_date", 1, 4),
+    }
+    sources = {
+        "teams": fixtures.profiles, "standings": fixtures.standings_by_season,
+        "matches": fixtures.contests,
+    }
+
+    def land_one(name: str) -> None:
+        rows = sources[name](spark, sf_dir).withColumns(
+            {
+                "season": season[name],
+                "league": (F.col(league[name]).cast("bigint") % 2).cast("string"),
+            }
+        )
+        land_rows(rows, ENTITIES[name], layout.bronze(name), ["league", "season"])
+
+    side_by_side(spark, {name: partial(land_one, name) for name in sources})
+    database = _database(spark, layout)
+    run = run_medallion(
+        spark, layout, database, batch_ts=BATCH_TS, partition_by=["league", "season"]
+    )
+    return dict(run.gold)
+
+
+def latest_finished_in_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest finished fixtures of one league and season, of a table that has all of them."""
+    matches = spark.table(_seasons_run(spark, sf_dir)["matches"])
+    return reports.latest_finished(matches.where("league = '1' AND season = '1997'"))
+
+
 def group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standings from payloads to the sorted report, silver and gold written in between."""
     silver = materialize(silver_standings(spark, sf_dir), "silver-standings")
@@ -593,12 +632,10 @@ def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consolidate_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One silver folder per season, consolidated and totalled per season and group."""
-    path = new_workspace(spark, "seasons")
-    rows = fixtures.standings_by_season(spark, sf_dir)
-    write_layer(cluster(rows, ["season"]), path, partition_by=["season"])
-    silver = spark.read.schema(rows.schema).parquet(path)
-    return build_gold_standings(silver, group_by=("season", "group_name")).drop(LOADED_AT)
+    """Gold standings of all leagues and seasons, published as one table by one run, totalled
+    per league, season and group."""
+    gold = spark.table(_seasons_run(spark, sf_dir)["standings"]).drop(LOADED_AT)
+    return gold.withColumn("season", F.col("season").cast("int"))
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -714,6 +751,7 @@ QUERIES = {
         running_total_skewsafe,
         latest_finished,
         finished_in_year,
+        latest_finished_in_season,
         group_report,
         team_performance,
         team_performance_strict,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -47,12 +47,14 @@ def flatten(
     mode: str = COMPAT,
     columns: Iterable[str] | None = None,
     failed: str | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Explode the entity's array and project its fields under their column names.
 
     Payloads whose array is NULL or empty give no row; a NULL element gives a row of
     NULLs. Strict mode types the columns and keeps the file each row came from; a column
-    ``failed``, if named, counts the values of a row that got lost by that.
+    ``failed``, if named, counts the values of a row that got lost by that. Columns of
+    ``keep``, those of the payload's folder, go along with every row.
     """
     check_mode(mode)
     picked = spec.pick(columns)
@@ -60,7 +62,8 @@ def flatten(
     if failed is not None:
         fields.append((_failed(picked) if mode == STRICT else F.lit(0)).alias(failed))
     if mode == COMPAT:
-        return bronze.select(F.explode(spec.array).alias("element")).select(*fields)
+        return bronze.select(F.explode(spec.array).alias("element"), *keep).select(*fields, *keep)
     return bronze.select(
-        F.col("_metadata.file_path").alias(SOURCE_FILE), F.explode(spec.array).alias("element")
-    ).select(*fields, SOURCE_FILE)
+        F.col("_metadata.file_path").alias(SOURCE_FILE), F.explode(spec.array).alias("element"),
+        *keep,
+    ).select(*fields, SOURCE_FILE, *keep)

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from orebed.sources.bronze import has_files
 from orebed.sources.layers import ContractError, stored_schema
+from orebed.sources.storage import has_files
 
 FILES = "files"
 ROWS = "rows"

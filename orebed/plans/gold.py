@@ -19,16 +19,18 @@ from orebed.operators.running import running_total
 from orebed.specs import COMPAT, LOADED_AT, MATCHES, STANDINGS, TEAMS, check_mode
 
 
-def gold_teams(silver: DataFrame, batch_ts: datetime | None = None) -> DataFrame:
-    """Distinct team profiles. Stamped after the distinct, so that the stamp is no
-    grouping key."""
-    return (
-        silver.select(*TEAMS.gold_columns).distinct().withColumn(LOADED_AT, stamp(batch_ts))
-    )
+def gold_teams(
+    silver: DataFrame, batch_ts: datetime | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Distinct team profiles, per league and season or whatever ``keep`` names. Stamped after
+    the distinct, so that the stamp is no grouping key."""
+    rows = silver.select(*TEAMS.gold_columns, *keep).distinct()
+    return rows.select(*TEAMS.gold_columns, stamp(batch_ts).alias(LOADED_AT), *keep)
 
 
 def gold_matches(
-    silver: DataFrame, mode: str = COMPAT, batch_ts: datetime | None = None
+    silver: DataFrame, mode: str = COMPAT, batch_ts: datetime | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Fixtures with outcome and goal metrics. Shown scores default to zero; outcome and
     metrics are derived from the scores before that default."""
@@ -41,6 +43,7 @@ def gold_matches(
         *[shown.get(c, F.col(c)).alias(c) for c in MATCHES.gold_columns],
         *[expression.alias(name) for name, expression in derived.items()],
         stamp(batch_ts).alias(LOADED_AT),
+        *keep,
     )
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from orebed.sources.storage import has_files
 from orebed.specs import EntitySpec
 
 # JSON text of the values that count as empty; zero has many spellings.
@@ -52,16 +52,19 @@ def keep_non_empty(payloads: DataFrame) -> DataFrame:
     return payloads.where(reduce(Column.__or__, filled))
 
 
-def payload_rows(rows: DataFrame, spec: EntitySpec) -> DataFrame:
+def payload_rows(
+    rows: DataFrame, spec: EntitySpec, partition_by: Sequence[str] = ()
+) -> DataFrame:
     """Rows in silver shape as payloads of one element each: no shuffle, and files that
-    any number of tasks can split."""
+    any number of tasks can split. Columns of ``partition_by`` stay beside the payload."""
     element = F.struct(*[F.col(f.column).alias(f.raw) for f in spec.fields])
-    return rows.select(F.array(element).alias(spec.array))
+    return rows.select(F.array(element).alias(spec.array), *partition_by)
 
 
-def to_lines(payloads: DataFrame) -> DataFrame:
-    """One JSON document per row, in a column ``value``."""
-    return payloads.select(F.to_json(F.struct(*payloads.columns)).alias("value"))
+def to_lines(payloads: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """One JSON document per row, in a column ``value``, beside columns of ``partition_by``."""
+    fields = [c for c in payloads.columns if c not in partition_by]
+    return payloads.select(F.to_json(F.struct(*fields)).alias("value"), *partition_by)
 
 
 def land_lines(lines: DataFrame, path: str) -> None:
@@ -69,9 +72,14 @@ def land_lines(lines: DataFrame, path: str) -> None:
     keep_payloads(lines).select("value").write.mode("overwrite").text(path)
 
 
-def land_rows(rows: DataFrame, spec: EntitySpec, path: str) -> None:
-    """Write rows in silver shape as a bronze folder, one payload each; none is empty."""
-    to_lines(payload_rows(rows, spec)).write.mode("overwrite").text(path)
+def land_rows(
+    rows: DataFrame, spec: EntitySpec, path: str, partition_by: Sequence[str] = ()
+) -> None:
+    """Write rows in silver shape as a bronze folder, one payload each; none is empty. With
+    ``partition_by``, one folder for each league, season or whatever the columns hold."""
+    lines = to_lines(payload_rows(rows, spec, partition_by), partition_by)
+    writer = lines.write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).text(path)
 
 
 def land_payloads(payloads: DataFrame, path: str) -> None:
@@ -86,11 +94,14 @@ def read_bronze(
     path: str,
     columns: Iterable[str] | None = None,
     broken: str | None = None,
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """Read a bronze folder with the entity's schema: no inference pass, stable types.
     Lines of another shape read as a NULL array; a column ``broken``, if named, then holds
-    the text of those that are no such JSON at all."""
+    the text of those that are no such JSON at all. ``partition_by`` names the folders below
+    ``path`` (``league=...``), which become text columns; a filter on one opens its folders only."""
     schema = spec.raw_schema(columns)
+    schema = StructType([*schema.fields, *(StructField(c, StringType()) for c in partition_by)])
     if broken is None:
         return spark.read.schema(schema).json(path)
     schema = StructType([*schema.fields, StructField(broken, StringType())])
@@ -113,19 +124,6 @@ def observe_lines(
     return (counted if keep else counted.drop(broken)), observation
 
 
-def has_files(spark: SparkSession, path: str, pattern: str | None = None) -> bool:
-    """Whether ``path`` exists and holds a file matching ``pattern``. Lists, reads nothing."""
-    reader = spark.read.format("binaryFile")
-    if pattern is not None:
-        reader = reader.option("pathGlobFilter", pattern)
-    try:
-        return not reader.load(path).select("path").isEmpty()
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-
-
 def missing_inputs(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     """The paths that hold no file yet."""
     return [path for path in paths if not has_files(spark, path)]

@@ -17,6 +17,11 @@ EXTRA = "extra"
 WRONG_TYPE = "wrong type"
 WRONG_ORDER = "wrong order"
 
+# Of tables published together, see ``snapshot.py``.
+POINTER = "published"
+RUN = "run"
+STORAGE, RUNS = "orebed.storage", "orebed.runs"
+
 
 class ContractError(ValueError):
     """Files do not fit the contract of the table they are published as."""
@@ -103,14 +108,22 @@ def stored_schema(spark: SparkSession, path: str) -> StructType:
         raise ContractError(f"{path} has files of different types: {error}") from error
 
 
-def check_contract(spark: SparkSession, path: str, declared: StructType) -> None:
+def check_contract(
+    spark: SparkSession, path: str, declared: StructType, partition_by: Sequence[str] = ()
+) -> None:
     """Compare the files' own schema with the contract; fail once, with all differences.
+    Columns of ``partition_by`` are in folder names, not in files.
 
     A declared schema hides such differences from a reader (a missing column reads as NULL)
     or shows them only while the query runs, hence the check before publishing. The footers
     of all files are read, by a distributed job; files that disagree on a type are an error.
     """
-    rows = contract_differences(stored_schema(spark, path), declared)
+    stored = stored_schema(spark, path)
+    inside, wanted = (
+        StructType([f for f in schema.fields if f.name not in partition_by])
+        for schema in (stored, declared)
+    )
+    rows = contract_differences(inside, wanted)
     bad = [f"{column}: {status}" for _, column, _, _, status in rows if status != PRESENT]
     if bad:
         raise ContractError(f"{path} does not fit its contract: {', '.join(bad)}")
@@ -130,7 +143,7 @@ def publish(
     folder names; they come last.
     """
     contract = partitioned(contract, partition_by)
-    check_contract(spark, path, contract)
+    check_contract(spark, path, contract, partition_by)
     point(spark, table, path, contract, partition_by)
 
 
@@ -146,27 +159,59 @@ def point(
 ) -> None:
     """The step of ``publish`` that changes the table, for files whose contract is checked."""
     location = path.replace("'", "\\'")
-    if spark.catalog.tableExists(table):
-        if spark.table(table).schema == contract and not partition_by:
+    by = [c.name for c in spark.catalog.listColumns(table) if c.isPartition] if (
+        spark.catalog.tableExists(table)
+    ) else None
+    if by is not None:
+        if by == list(partition_by) == [] and spark.table(table).schema == contract:
             spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
             spark.sql(f"REFRESH TABLE {table}")
             return
         # Partitions of a former folder are known by their own paths, so such a table is
-        # made anew, as is one of another contract.
+        # made anew, as is one of another contract or with other partitions.
         spark.sql(f"DROP TABLE {table}")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in contract.fields)
-    by = f"PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
-    spark.sql(f"CREATE TABLE {table} ({columns}) USING PARQUET {by} LOCATION '{location}'")
+    partitions = f"PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
+    spark.sql(
+        f"CREATE TABLE {table} ({columns}) USING PARQUET {partitions} LOCATION '{location}'"
+    )
     if partition_by:
         spark.catalog.recoverPartitions(table)
 
 
-def location_of(spark: SparkSession, table: str) -> str:
-    """The folder of a table's files."""
+def described_location(spark: SparkSession, table: str) -> str:
+    """The location of a table, as the catalog has it."""
     described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}")
     return described.where(F.col("col_name") == "Location").first()["data_type"]
 
 
+def location_of(spark: SparkSession, table: str) -> str:
+    """The folder of a table's files; of a table published with others, the run it shows."""
+    storage = view_storage(spark, table)
+    if storage is None:
+        return described_location(spark, table)
+    _, run = pointer_rows(spark, table.rsplit(".", 1)[0])[storage]
+    return f"{described_location(spark, storage)}/{RUN}={run}"
+
+
+def view_storage(spark: SparkSession, table: str) -> str | None:
+    """The storage table that a table published with others is a view of, if it is one."""
+    return properties(spark, table).get(STORAGE) if spark.catalog.tableExists(table) else None
+
+
+def properties(spark: SparkSession, table: str) -> dict[str, str]:
+    rows = spark.sql(f"SHOW TBLPROPERTIES {table}").collect()
+    return {r["key"]: r["value"] for r in rows}
+
+
+def pointer_rows(spark: SparkSession, database: str) -> dict[str, tuple[str, str]]:
+    """By storage table, the table that shows it and the run it shows."""
+    pointer = f"{database}.{POINTER}"
+    if not spark.catalog.tableExists(pointer):
+        return {}
+    return {r["storage"]: (r["table_name"], r["run"]) for r in spark.table(pointer).collect()}
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """(column_name, non_null) for every column, in one pass."""
     counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from orebed.sources.layers import cluster, location_of, partitioned
+from orebed.sources.layers import cluster, location_of, partitioned, properties
 
 PENDING = "orebed.pending"
 _SLOT = "_slot"
@@ -95,10 +95,9 @@ def replace_partitions(spark: SparkSession, table: str, rows: DataFrame, touched
 def finish_pending(spark: SparkSession, table: str) -> bool:
     """Point a table's partitions at the folder that is pending, if one is: also what a writer
     that died left undone. Doing it again changes nothing. Whether there was one."""
-    noted = spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == PENDING).first()
-    if noted is None:
+    folder = properties(spark, table).get(PENDING)
+    if folder is None:
         return False
-    folder = noted["value"]
     by = partition_columns(spark, table)
     for row in spark.read.parquet(f"{folder}/slots").orderBy(_SLOT).collect():
         values = ((name, row[name]) for name in by)

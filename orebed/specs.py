@@ -233,16 +233,17 @@ class Layout:
 
     root: str
 
-    def competition(self, league: str, season: str) -> Layout:
-        """The layout of one league and season below this one; runs over several are put
-        together from their gold tables."""
-        return Layout(f"{self.root}/league={league}/season={season}")
+    def bronze(self, entity_name: str, **folders: str) -> str:
+        """An entity's payloads; those of one ``league`` and ``season``, in that order, if given.
+        A run over the folder above takes all of them."""
+        below = "".join(f"/{name}={value}" for name, value in folders.items())
+        return f"{self.root}/bronze/{entity_name}{below}"
 
-    def bronze(self, entity_name: str) -> str:
-        return f"{self.root}/bronze/{entity_name}"
+    def runs(self, layer: str, entity_name: str) -> str:
+        return f"{self.root}/{layer}/{entity_name}"
 
     def layer(self, layer: str, entity_name: str, run_id: str) -> str:
-        return f"{self.root}/{layer}/{entity_name}/run={run_id}"
+        return f"{self.runs(layer, entity_name)}/run={run_id}"
 
 
 def contract_to_dict(contract: StructType) -> dict:

@@ -22,6 +22,7 @@ from orebed.sources.layers import (
     read_layer,
     write_layer,
 )
+from orebed.sources.storage import has_files
 from orebed.specs import ENTITIES, contract_from_dict, contract_to_dict
 
 
@@ -95,6 +96,26 @@ def test_publish_and_repoint(spark, database):
     assert spark.table(table).columns == ["a", "b", "c"]
 
 
+def test_publish_partitioned_then_plain_and_back(spark, database):
+    """The same columns in folders or in files: the table always shows the last ones published."""
+    declared, table = contract(a="s", b="n"), f"{database}.t"
+    for number, by in enumerate([(), ("b",), (), ("b",), ("b",)]):
+        path = new_workspace(spark, "layer")
+        write_layer(spark.createDataFrame([("x", number)], declared), path, by)
+        publish(spark, table, path, declared, by)
+        assert [tuple(r) for r in spark.table(table).collect()] == [("x", number)]
+
+
+def test_has_files_looks_below_and_not_at_hidden_ones(spark):
+    path = new_workspace(spark, "files")
+    assert not has_files(spark, path) and not has_files(spark, f"{path}/*")
+    frame = spark.createDataFrame([("x", 1), ("y", 2)], contract(a="s", b="n"))
+    write_layer(frame.where("b < 0"), f"{path}/none")
+    write_layer(frame, f"{path}/some", ["b"])
+    assert has_files(spark, f"{path}/some", "*.parquet") and has_files(spark, f"{path}/s*")
+    assert not has_files(spark, f"{path}/some", "*.json")
+
+
 def test_publish_refuses_files_that_do_not_fit(spark, database):
     declared, table = contract(a="s", b="n"), f"{database}.t"
     publish(spark, table, layer(spark, [("a", 1)], declared), declared)

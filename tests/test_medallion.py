@@ -143,7 +143,8 @@ def test_broken_lines_fail_the_gate_beyond_a_share(spark, layout, database):
 def test_files_of_gold_standings_hold_ranges(spark, layout, database):
     run = run_medallion(spark, layout, database, batch_ts=TS)
     spans = sorted(
-        (tuple(r.low), tuple(r.high)) for r in spark.table(run.gold["standings"]).selectExpr(
+        (tuple(r.low), tuple(r.high))
+        for r in spark.read.parquet(location_of(spark, run.gold["standings"])).selectExpr(
             "_metadata.file_path AS file", "struct(group_name, position, standing_id) AS place"
         ).groupBy("file").agg(F.min("place").alias("low"), F.max("place").alias("high")).collect()
     )
@@ -234,9 +235,9 @@ def test_seasons_consolidate_at_gold(spark):
 
 
 def test_layout_per_league_and_season():
-    layout = Layout("/data").competition("7", "2026")
-    assert layout.bronze("teams") == "/data/league=7/season=2026/bronze/teams"
-    assert layout.layer("gold", "teams", "r1") == "/data/league=7/season=2026/gold/teams/run=r1"
+    layout = Layout("/data")
+    assert layout.bronze("teams", league="7", season="2026") == "/data/bronze/teams/league=7/season=2026"
+    assert layout.layer("gold", "teams", "r1") == "/data/gold/teams/run=r1"
 
 
 def test_group_report_divides_copies(spark):
