@@ -462,6 +462,14 @@ ORACLE = {
         WHERE ts < TIMESTAMP '2024-01-16' OR kind = 'click' OR kind IS NULL
         QUALIFY row_number() OVER (
             PARTITION BY user_id, kind ORDER BY ts DESC, event_id DESC) = 1""",
+    "running_total_incremental": """
+        SELECT l_returnflag, CAST(shipped AS VARCHAR) AS shipped, rows, own,
+               sum(own) OVER (PARTITION BY l_returnflag ORDER BY shipped) AS running_quantity
+        FROM (
+            SELECT l_returnflag, CAST(l_shipdate AS DATE) AS shipped, count(*) AS rows,
+                   sum(l_quantity) AS own
+            FROM lineitem WHERE day(l_shipdate) <> 15 GROUP BY ALL
+        )""",
     "merge_into_state": f"""
         SELECT event_id, strftime(ts, {MICROS}) AS ts, user_id, event_type, value, props
         FROM events

@@ -21,6 +21,7 @@ from orebed.operators.quality import quality_report as build_quality_report
 from orebed.operators.running import running_total
 from orebed.operators.state import create_state
 from orebed.operators.state import merge_into_state as merge_state
+from orebed.operators.totals import build_totals, read_totals, update_totals
 from orebed.plans import reports
 from orebed.plans.gold import gold_matches as build_gold_matches
 from orebed.plans.gold import gold_standings as build_gold_standings
@@ -313,6 +314,26 @@ def running_total_skewsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totalled.withColumn("shipped", F.col("shipped").cast("string"))
 
 
+def running_total_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals stored from the line items shipped before 1998, then brought up to date: those
+    shipped later are added, in two steps, and one day of each month is taken away."""
+    shipped = F.to_date("l_shipdate")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", shipped.alias("shipped"), "l_quantity"
+    )
+    group, key, value = ["l_returnflag"], "shipped", F.col("l_quantity")
+    root = new_workspace(spark, "totals")
+    name = f"{_database(spark, Layout(root))}.totals"
+    is_early = F.col("shipped") < F.lit("1998-01-01").cast("date")
+    build_totals(spark, name, rows.where(is_early), value, group, key, f"{root}/totals", 24)
+    late, odd = rows.where(~is_early), F.dayofmonth("shipped") % 2 == 1
+    update_totals(spark, name, value, group, key, added=late.where(odd))
+    gone = rows.where((F.dayofmonth("shipped") == 15) & (is_early | odd))
+    update_totals(spark, name, value, group, key, added=late.where(~odd), removed=gone)
+    totals = read_totals(spark, name, group, key, "running_quantity")
+    return totals.withColumn("shipped", F.col("shipped").cast("string"))
+
+
 # Reports
 
 
@@ -749,6 +770,7 @@ QUERIES = {
         running_total_text_order,
         running_total_range,
         running_total_skewsafe,
+        running_total_incremental,
         latest_finished,
         finished_in_year,
         latest_finished_in_season,

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -99,15 +100,34 @@ def finish_pending(spark: SparkSession, table: str) -> bool:
     if folder is None:
         return False
     by = partition_columns(spark, table)
+    there = _listed(spark, table)
+    added, moved = [], []
     for row in spark.read.parquet(f"{folder}/slots").orderBy(_SLOT).collect():
-        values = ((name, row[name]) for name in by)
+        values = [(name, row[name]) for name in by]
         spec = ", ".join(f"`{n}` = {'NULL' if v is None else quoted(v)}" for n, v in values)
-        point_partition(spark, table, spec, f"{folder}/rows/{_SLOT}={row[_SLOT]}")
+        known = tuple(v for _, v in values) in there
+        (moved if known else added).append((spec, f"{folder}/rows/{_SLOT}={row[_SLOT]}"))
+    # New ones in groups, so that no statement becomes endless.
+    for start in range(0, len(added), 100):
+        listed = (f"PARTITION ({s}) LOCATION {quoted(p)}" for s, p in added[start : start + 100])
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {' '.join(listed)}")
+    for spec, location in moved:
+        point_partition(spark, table, spec, location)
     spark.sql(f"ALTER TABLE {table} UNSET TBLPROPERTIES ('{PENDING}')")
     spark.sql(f"REFRESH TABLE {table}")
     return True
 
 
+def _listed(spark: SparkSession, table: str) -> set[tuple[str | None, ...]]:
+    """The values of the partitions that a table has, as text."""
+
+    def value(part: str) -> str | None:
+        text = unquote(part.split("=", 1)[1])
+        return None if text == "__HIVE_DEFAULT_PARTITION__" else text
+
+    rows = spark.sql(f"SHOW PARTITIONS {table}").collect()
+    return {tuple(value(part) for part in row[0].split("/")) for row in rows}
+
+
 def point_partition(spark: SparkSession, table: str, spec: str, location: str) -> None:
-    spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION {quoted(location)}")
     spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET LOCATION {quoted(location)}")
