@@ -470,6 +470,7 @@ ORACLE = {
                    sum(l_quantity) AS own
             FROM lineitem WHERE day(l_shipdate) <> 15 GROUP BY ALL
         )""",
+    "split_matches": _with(CONTESTS) + "SELECT *, true AS short FROM contests",
     "merge_into_state": f"""
         SELECT event_id, strftime(ts, {MICROS}) AS ts, user_id, event_type, value, props
         FROM events

@@ -61,6 +61,7 @@ from orebed.specs import (
     contract_from_dict,
     contract_to_dict,
 )
+from orebed.sources.split import split_payloads
 from orebed.streaming.dedupe import (
     append_available,
     dedupe_stream,
@@ -206,6 +207,18 @@ def silver_matches_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def split_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match payloads landed as lines as long as a task's batch of rows, cut into lines of 50
+    and flattened; with each row, whether its line is that short."""
+    root = new_workspace(spark, "split")
+    rows = fixtures.contests(spark, sf_dir)
+    land_payloads(fixtures.payloads(rows, MATCHES, per_line=1_000_000), f"{root}/long")
+    split_payloads(spark, f"{root}/long", f"{root}/short", MATCHES.array, per_line=50)
+    bronze = read_bronze(spark, MATCHES, f"{root}/short")
+    short = bronze.select(MATCHES.array, (F.size(MATCHES.array) <= 50).alias("short"))
+    return flatten(short, MATCHES, keep=["short"])
+
+
 # Gold
 
 
@@ -760,6 +773,7 @@ QUERIES = {
         silver_standings,
         silver_matches,
         silver_matches_strict,
+        split_matches,
         gold_teams,
         gold_matches,
         gold_matches_strict,
