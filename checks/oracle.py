@@ -161,6 +161,16 @@ MATCH_METRICS = f"""
     {_number("home_score")} - {_number("away_score")} AS home_goal_diff,
     {_number("away_score")} - {_number("home_score")} AS away_goal_diff"""
 
+def _landed_lines(spec, rows: str, name: str, key: str) -> str:
+    """The text of every row's payload line, by its digest."""
+    fields = ", ".join(f"""'"{f.raw}":"' || {f.column} || '"'""" for f in spec.fields)
+    line = f"""'{{"{spec.array}":[{{' || concat_ws(',', {fields}) || '}}]}}'"""
+    return f"""
+        SELECT '{name}' AS entity, {key} AS id, sha256({line}) AS line_sha256,
+               count(*) AS lines, true AS traced
+        FROM {rows} GROUP BY ALL"""
+
+
 GOLD_MATCHES = f"""
     SELECT match_id, match_date, match_time_utc, match_status, venue_name, venue_country,
            match_round, home_team_id, home_team_name, coalesce(home_score, '0') AS home_score,
@@ -471,6 +481,13 @@ ORACLE = {
             FROM lineitem WHERE day(l_shipdate) <> 15 GROUP BY ALL
         )""",
     "split_matches": _with(CONTESTS) + "SELECT *, true AS short FROM contests",
+    "gold_lineage": _with(PROFILES, STANDING_ROWS, CONTESTS) + " UNION ALL ".join(
+        (
+            _landed_lines(TEAMS, "profiles", "teams", "team_id"),
+            _landed_lines(STANDINGS, "standings", "standings", "standing_id"),
+            _landed_lines(MATCHES, "contests", "matches", "match_id"),
+        )
+    ),
     "merge_into_state": f"""
         SELECT event_id, strftime(ts, {MICROS}) AS ts, user_id, event_type, value, props
         FROM events

@@ -26,6 +26,7 @@ from orebed.plans import reports
 from orebed.plans.gold import gold_matches as build_gold_matches
 from orebed.plans.gold import gold_standings as build_gold_standings
 from orebed.plans.gold import gold_teams as build_gold_teams
+from orebed.plans.lineage import trace
 from orebed.plans.medallion import bronze_to_silver, run_medallion
 from orebed.session import materialize, new_workspace, side_by_side
 from orebed.sources.bronze import (
@@ -520,6 +521,25 @@ def _database(spark: SparkSession, layout: Layout) -> str:
     return name
 
 
+def gold_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every different row of the three gold tables of a run, the landed lines it came from:
+    their text's digest and their number."""
+    layout = _bronze_layout(spark, sf_dir)
+    database = _database(spark, layout)
+    run = run_medallion(spark, layout, database, batch_ts=BATCH_TS, with_lineage=True)
+    ids = {"teams": "team_id", "standings": "standing_id", "matches": "match_id"}
+    parts = []
+    for name, spec in ENTITIES.items():
+        lines = spark.table(f"{database}.lineage_{name}")
+        traced = trace(spark.table(run.gold[name]), lines, spec)
+        here = F.col(SOURCE_FILE).contains(layout.bronze(name))
+        counted = traced.groupBy(F.col(ids[name]).alias("id"), "line_sha256").agg(
+            F.count(F.lit(1)).alias("lines"), F.min(here).alias("traced")
+        )
+        parts.append(counted.select(F.lit(name).alias("entity"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every column of the six published tables against its contract, and those of a table
     over files that lack a column, have one more, one of another type and two in wrong order."""
@@ -794,6 +814,7 @@ QUERIES = {
         group_report_strict,
         bronze_counts,
         quality_report,
+        gold_lineage,
         contract_report,
         medallion_rerun,
         merge_latest_events,

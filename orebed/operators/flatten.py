@@ -48,20 +48,22 @@ def flatten(
     columns: Iterable[str] | None = None,
     failed: str | None = None,
     keep: Sequence[str] = (),
+    traced: bool = True,
 ) -> DataFrame:
     """Explode the entity's array and project its fields under their column names.
 
     Payloads whose array is NULL or empty give no row; a NULL element gives a row of
     NULLs. Strict mode types the columns and keeps the file each row came from; a column
     ``failed``, if named, counts the values of a row that got lost by that. Columns of
-    ``keep``, those of the payload's folder, go along with every row.
+    ``keep``, those of the payload's folder, go along with every row. Without ``traced``, strict
+    rows do not keep their file.
     """
     check_mode(mode)
     picked = spec.pick(columns)
     fields = [_column(f, mode) for f in picked]
     if failed is not None:
         fields.append((_failed(picked) if mode == STRICT else F.lit(0)).alias(failed))
-    if mode == COMPAT:
+    if mode == COMPAT or not traced:
         return bronze.select(F.explode(spec.array).alias("element"), *keep).select(*fields, *keep)
     return bronze.select(
         F.col("_metadata.file_path").alias(SOURCE_FILE), F.explode(spec.array).alias("element"),

@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from orebed.operators.flatten import flatten, stamp
 from orebed.operators.quality import FILES, checked, observe_checks, require, table_checks
 from orebed.plans.gold import gold_matches, gold_standings, gold_teams
+from orebed.plans.lineage import LINEAGE, lineage
 from orebed.session import side_by_side
 from orebed.sources.bronze import (
     BROKEN,
@@ -122,6 +123,13 @@ def _write_gold(
     write_layer(build().select(*contract.names), path, partition_by)
 
 
+def _write_lineage(
+    spark: SparkSession, spec: EntitySpec, bronze_path: str, path: str, mode: str,
+    partition_by: Sequence[str],
+) -> None:
+    write_layer(lineage(spark, spec, bronze_path, mode, partition_by), path)
+
+
 def run_medallion(
     spark: SparkSession,
     layout: Layout,
@@ -130,6 +138,7 @@ def run_medallion(
     batch_ts: datetime | None = None,
     broken_share: float = BROKEN_SHARE,
     partition_by: Sequence[str] = (),
+    with_lineage: bool = False,
 ) -> Run:
     """Run all layers over the bronze folders of ``layout`` and publish their tables.
 
@@ -142,6 +151,9 @@ def run_medallion(
     ``partition_by`` names the folders between an entity's bronze folder and its files, such as
     league and season: one run takes all of them, and every table is partitioned by them, so
     that a report on one season reads that season.
+
+    With ``with_lineage``, which reads bronze once more, there is a table ``lineage_<entity>``
+    for every gold table, from the keys of its rows to the lines they came from.
     """
     check_mode(mode)
     run_id = uuid.uuid4().hex
@@ -206,8 +218,19 @@ def run_medallion(
             if name in stale
         },
     )
+    lines = {
+        name: Part(layout.runs("lineage", name), run_id, LINEAGE)
+        for name in written if with_lineage
+    }
+    side_by_side(
+        spark,
+        {name: partial(_write_lineage, spark, ENTITIES[name], bronze[name], part.path, mode,
+                       partition_by)
+         for name, part in lines.items()},
+    )
     parts = {f"silver_{name}": silver_parts[name] for name in written}
     parts |= {f"gold_{name}": gold_parts[name] for name in stale}
+    parts |= {f"lineage_{name}": part for name, part in lines.items()}
     publish_together(spark, database, layout.root, parts)
     skipped = tuple(name for name in ENTITIES if name not in written)
     return Run(run_id, silver_tables, gold_tables, skipped, {n: counts[n] for n in written})

@@ -13,7 +13,7 @@ from orebed.sources.partitions import quoted
 from orebed.sources.storage import delete_folder, folders, same_place, written_at
 from orebed.specs import ENTITIES, Layout
 
-LAYERS = ("silver", "gold")
+LAYERS = ("silver", "gold", "lineage")
 
 
 @dataclass(frozen=True)

@@ -79,6 +79,8 @@ def side_by_side(
 ) -> dict[str, Result]:
     """Submit independent jobs at the same time, so that cores one of them leaves idle work
     on the others. Waits for all; the first failure is raised."""
+    if not tasks:
+        return {}
     inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
         running = {name: pool.submit(inherit(task)) for name, task in tasks.items()}
