@@ -488,6 +488,8 @@ ORACLE = {
             _landed_lines(MATCHES, "contests", "matches", "match_id"),
         )
     ),
+    "refresh_published_matches": _with(CONTESTS)
+    + f"SELECT *, left(match_date, 4) AS season FROM ({GOLD_MATCHES})",
     "merge_into_state": f"""
         SELECT event_id, strftime(ts, {MICROS}) AS ts, user_id, event_type, value, props
         FROM events

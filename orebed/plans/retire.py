@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from orebed.sources.layers import POINTER, RUN, RUNS, pointer_rows
 from orebed.sources.partitions import quoted
+from orebed.sources.snapshot import partition_locations
 from orebed.sources.storage import delete_folder, folders, same_place, written_at
 from orebed.specs import ENTITIES, Layout
 
@@ -48,11 +49,13 @@ def reachable(spark: SparkSession, places: Sequence[Place]) -> list[str]:
     for database in {place.table.rsplit(".", 1)[0] for place in places}:
         shown |= pointer_rows(spark, database)
     held = [place.location for place in places if not place.holds_runs]
-    return held + [
-        f"{place.location}/{RUN}={shown[place.table][1]}"
-        for place in places
-        if place.holds_runs and place.table in shown
-    ]
+    for place in places:
+        if place.holds_runs and place.table in shown:
+            run = shown[place.table][1]
+            held.append(f"{place.location}/{RUN}={run}")
+            # Partitions that it shares with former runs lie in their folders.
+            held += partition_locations(spark, place.table, run).values()
+    return held
 
 
 def retirable(

@@ -100,7 +100,7 @@ def finish_pending(spark: SparkSession, table: str) -> bool:
     if folder is None:
         return False
     by = partition_columns(spark, table)
-    there = _listed(spark, table)
+    there = listed_partitions(spark, table)
     added, moved = [], []
     for row in spark.read.parquet(f"{folder}/slots").orderBy(_SLOT).collect():
         values = [(name, row[name]) for name in by]
@@ -118,7 +118,7 @@ def finish_pending(spark: SparkSession, table: str) -> bool:
     return True
 
 
-def _listed(spark: SparkSession, table: str) -> set[tuple[str | None, ...]]:
+def listed_partitions(spark: SparkSession, table: str) -> set[tuple[str | None, ...]]:
     """The values of the partitions that a table has, as text."""
 
     def value(part: str) -> str | None:

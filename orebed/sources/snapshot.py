@@ -28,19 +28,21 @@ from orebed.sources.layers import (
     pointer_rows,
     view_storage,
 )
-from orebed.sources.partitions import quoted
+from orebed.sources.partitions import listed_partitions, partition_columns, quoted
 
 POINTER_SCHEMA = "table_name string, storage string, run string"
 
 
 @dataclass(frozen=True)
 class Part:
-    """One table of a snapshot: its files are in ``<root>/run=<run>``."""
+    """One table of a snapshot: its files are in ``<root>/run=<run>``, but for partitions that
+    are ``shared`` with former runs: their values as text, and where they are."""
 
     root: str
     run: str
     contract: StructType
     partition_by: Sequence[str] = field(default=())
+    shared: Mapping[tuple[str | None, ...], str] = field(default_factory=dict)
 
     @property
     def path(self) -> str:
@@ -71,24 +73,50 @@ def _create_storage(spark: SparkSession, storage: str, part: Part) -> None:
 
 def _add_run(spark: SparkSession, storage: str, part: Part) -> None:
     """Add a run's folders as partitions of the storage table."""
-    specs = [f"`{RUN}` = {quoted(part.run)}"]
     if part.partition_by:
         files = spark.read.schema(part.columns).parquet(part.path)
         names = [F.col(c).cast("string").alias(c) for c in part.partition_by]
         found = files.select(*names).distinct().collect()
-        specs = [
-            ", ".join(
-                [specs[0]]
-                + [f"`{c}` = {'NULL' if r[c] is None else quoted(r[c])}" for c in part.partition_by]
-            )
-            for r in found
+        own = [tuple(r[c] for c in part.partition_by) for r in found]
+        specs = [f"PARTITION ({_spec(part, values)})" for values in own]
+        specs += [
+            f"PARTITION ({_spec(part, values)}) LOCATION {quoted(place)}"
+            for values, place in part.shared.items()
         ]
+    else:
+        specs = [f"PARTITION ({_spec(part, ())})"]
     # In groups, so that no statement becomes endless.
     for start in range(0, len(specs), 100):
-        listed = " ".join(f"PARTITION ({spec})" for spec in specs[start : start + 100])
+        listed = " ".join(specs[start : start + 100])
         spark.sql(f"ALTER TABLE {storage} ADD IF NOT EXISTS {listed}")
 
 
+def _spec(part: Part, values: Sequence[str | None]) -> str:
+    named = zip((RUN, *part.partition_by), (part.run, *values))
+    return ", ".join(f"`{n}` = {'NULL' if v is None else quoted(v)}" for n, v in named)
+
+
+def partition_locations(
+    spark: SparkSession, storage: str, run: str
+) -> dict[tuple[str | None, ...], str]:
+    """Where the partitions of a run are, by their values as text; one of no values for a table
+    that has runs only."""
+    out = {}
+    names = partition_columns(spark, storage)
+    for values in listed_partitions(spark, storage):
+        named = dict(zip(names, values))
+        if named[RUN] != run:
+            continue
+        spec = ", ".join(
+            f"`{n}` = {'NULL' if v is None else quoted(v)}" for n, v in named.items()
+        )
+        rows = spark.sql(f"DESCRIBE TABLE EXTENDED {storage} PARTITION ({spec})").collect()
+        # The table's own location is named as well, behind the partition's.
+        place = next(r["data_type"] for r in rows if r["col_name"] == "Location")
+        out[tuple(v for n, v in named.items() if n != RUN)] = place
+    return out
+
+
 def switch(spark: SparkSession, database: str, root: str, shown: Mapping[str, tuple[str, str]]) -> None:
     """Replace the pointer's rows by ``shown``: the one step that readers see."""
     pointer = f"{database}.{POINTER}"
