@@ -490,6 +490,9 @@ ORACLE = {
     ),
     "refresh_published_matches": _with(CONTESTS)
     + f"SELECT *, left(match_date, 4) AS season FROM ({GOLD_MATCHES})",
+    "gold_file_order": _with(STANDING_ROWS) + """
+        SELECT count(*) AS rows, CAST(0 AS BIGINT) AS unsorted, CAST(0 AS BIGINT) AS overlapping
+        FROM standings""",
     "merge_into_state": f"""
         SELECT event_id, strftime(ts, {MICROS}) AS ts, user_id, event_type, value, props
         FROM events

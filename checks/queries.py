@@ -6,7 +6,7 @@ import json
 from datetime import datetime
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -523,6 +523,29 @@ def _database(spark: SparkSession, layout: Layout) -> str:
     return name
 
 
+def gold_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the published gold standings lie in their files: rows, rows that come before the one
+    ahead of them in their file, and files whose range begins before another one's end."""
+    layout = _bronze_layout(spark, sf_dir)
+    run = run_medallion(spark, layout, _database(spark, layout), batch_ts=BATCH_TS)
+    stored = spark.read.parquet(location_of(spark, run.gold["standings"]))
+    rows = stored.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"),
+        F.struct("group_name", "position", "standing_id").alias("place"),
+    )
+    former = F.lag("place").over(Window.partitionBy("file").orderBy("at"))
+    files = rows.withColumn("unsorted", former > F.col("place")).groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("unsorted").alias("unsorted"),
+        F.min("place").alias("low"), F.max("place").alias("high"),
+    )
+    # One row per file.
+    ahead = F.max("high").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1))
+    return files.withColumn("overlaps", ahead >= F.col("low")).agg(
+        F.sum("rows").alias("rows"), F.sum("unsorted").alias("unsorted"),
+        F.count_if("overlaps").alias("overlapping"),
+    )
+
+
 def gold_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every different row of the three gold tables of a run, the landed lines it came from:
     their text's digest and their number."""
@@ -852,6 +875,7 @@ QUERIES = {
         group_report_strict,
         bronze_counts,
         quality_report,
+        gold_file_order,
         gold_lineage,
         contract_report,
         medallion_rerun,
