@@ -21,13 +21,15 @@ LEAST_SCORE = 0.5
 
 def _aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with all columns but doc_id and text under other names, so that none meets
-    one that an operator adds, and a function that gives them their names back."""
+    one that an operator adds, and a function that gives them their names back. All are
+    renamed at once, so that the input may have these names too."""
     hidden = {c: f"kept_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
 
     def back(out: DataFrame) -> DataFrame:
         return out.select(*(F.col(hidden.get(c, c)).alias(c) for c in docs.columns))
 
-    return docs.withColumnsRenamed(hidden), back
+    named = (F.col("`" + c.replace("`", "``") + "`").alias(hidden.get(c, c)) for c in docs.columns)
+    return docs.select(*named), back
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,11 @@ def test_run_is_the_stages_in_turn(spark, small):
         docs = corpus_pipeline.materialize(stage(spark, docs, small), "step")
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
     assert 0 < docs.count() < spark.read.parquet(f"{small}/documents.parquet").count()
+
+
+def test_columns_may_have_the_names_that_they_are_kept_under(spark):
+    rows, back = corpus_pipeline._aside(
+        spark.createDataFrame([(1, "a", "t", "b", "c")], "doc_id int, foo string, text string, kept_0 string, `kept.1` string")
+    )
+    assert back(rows).columns == ["doc_id", "foo", "text", "kept_0", "kept.1"]
+    assert tuple(back(rows).first()) == (1, "a", "t", "b", "c")
