@@ -46,6 +46,8 @@ SHORT_MASKS = {
     12: ("11101011", "101100111", "111111"),
 }
 BLOCK_WORDS = 2_000_000
+#: Hits that are held at once.
+_AT_ONCE = 1 << 20
 
 OVERLAPS = (
     "array<struct<item_id: bigint, item_start: int, start: int, words: int, matched: int>>"
@@ -70,12 +72,14 @@ def _masks(words: int) -> tuple[str, ...]:
 
 @dataclass
 class Index:
-    """Windows of items by hash, sorted: item and first word of each. ``masks`` in use."""
+    """Windows of items by hash, sorted: item and first word of each. Consecutive windows of
+    an item with one hash stand once, with the first word of the last. ``masks`` in use."""
 
     masks: list[str]
     hashes: np.ndarray
     item: np.ndarray
     at: np.ndarray
+    last: np.ndarray
     first: np.ndarray  # of each item's words in ``words``, one more at the end
     words: np.ndarray
     ids: list[int | None]
@@ -94,11 +98,18 @@ def build_index(ids: list[int | None], texts: list[str]) -> Index:
             at.append(np.arange(len(window), dtype=np.int32))
     if not hashes:
         empty = np.zeros(0, np.int64)
-        return Index([], empty.astype(np.uint64), empty, empty, found.first, found.hash, [])
+        return Index(
+            [], empty.astype(np.uint64), empty, empty, empty, found.first, found.hash, []
+        )
     joined, items, starts = map(np.concatenate, (hashes, item, at))
     order = np.argsort(joined, kind="stable")
+    joined, items, starts = joined[order], items[order], starts[order]
+    parted = (
+        (joined[1:] != joined[:-1]) | (items[1:] != items[:-1]) | (starts[1:] != starts[:-1] + 1)
+    )
+    head, end = np.append(True, parted), np.append(parted, True)
     return Index(
-        masks, joined[order], items[order], starts[order], found.first, found.hash, ids
+        masks, joined[head], items[head], starts[head], starts[end], found.first, found.hash, ids
     )
 
 
@@ -119,22 +130,51 @@ def _stretch(same: np.ndarray) -> tuple[int, int, int]:
     return int(at[begin[best]]), int(at[best]) + 1, int(matches[best])
 
 
+def _expanded(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``first``, ``first + 1`` and so on, ``count`` of each."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _pieces(count: np.ndarray) -> Iterator[slice]:
+    """Slices of ``count`` that add up to ``_AT_ONCE`` at most, or have one element."""
+    total, begin = np.cumsum(count), 0
+    while begin < len(count):
+        before = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + _AT_ONCE, side="right")))
+        yield slice(begin, end)
+        begin = end
+
+
 def _shifts(index: Index, words: np.ndarray) -> list[tuple[int, int]]:
-    """Items and shifts that a window under some mask names."""
-    shifts = set()
+    """Items and shifts that a window under some mask names.
+
+    A run of equal windows here meets a run of equal windows of an item under consecutive
+    shifts, so hits are taken by runs, and a bounded number of them at a time.
+    """
+    # Shifts from -(longest item) to the number of words, beside the item in one number.
+    longest = int(np.diff(index.first).max(initial=0))
+    wide = longest + len(words) + 1
+    known = np.zeros(0, np.int64)
     for number, mask in enumerate(index.masks):
         windows = _windows(words, mask, number + 1)
-        low = np.searchsorted(index.hashes, windows, side="left")
-        many = np.searchsorted(index.hashes, windows, side="right") - low
-        here = np.flatnonzero(many)
-        if not len(here):
+        if not len(windows):
             continue
-        low, many = low[here], many[here]
-        ahead = np.cumsum(many) - many
-        hit = np.repeat(low - ahead, many) + np.arange(many.sum())
-        shift = np.repeat(here, many) - index.at[hit]
-        shifts.update(zip(index.item[hit].tolist(), shift.tolist()))
-    return sorted(shifts)
+        parted = windows[1:] != windows[:-1]
+        head, end = np.flatnonzero(np.append(True, parted)), np.flatnonzero(np.append(parted, True))
+        low = np.searchsorted(index.hashes, windows[head], side="left")
+        many = np.searchsorted(index.hashes, windows[head], side="right") - low
+        hit = np.flatnonzero(many)
+        for part in _pieces(many[hit]):
+            here = hit[part]
+            there = _expanded(low[here], many[here])
+            here = np.repeat(here, many[here])
+            least = head[here] - index.last[there]
+            count = end[here] - index.at[there] - least + 1
+            for run in _pieces(count):
+                shift = _expanded(least[run], count[run])
+                item = np.repeat(index.item[there[run]].astype(np.int64), count[run])
+                known = np.union1d(known, item * wide + shift + longest)
+    return [(k // wide, k % wide - longest) for k in known.tolist()]
 
 
 def overlaps_of(index: Index, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:

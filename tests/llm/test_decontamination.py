@@ -161,3 +161,32 @@ def test_odd_rows(spark):
 def test_empty_tables(spark):
     assert find_overlaps(empty(spark), items(spark, [(1, "a b c d e")])).collect() == []
     assert decontaminate(odd(spark), items(spark, [])).count() == odd(spark).count()
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
+def test_shifts_of_repeated_words_against_all_hits(monkeypatch, at_once):
+    monkeypatch.setattr(decontamination, "_AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    for size in (5, 13, 30):
+        passages = [" ".join(rng.choices("ab", (1, 4), k=size)) for _ in range(3)]
+        index = build_index([1, 2, 3], passages)
+        text = " ".join(rng.choices("ab", (1, 4), k=60)) + " a a a " + passages[1]
+        words = find_words(pa.array([text]), LETTERS).hash
+        expected = set()
+        for item, passage in enumerate(passages):
+            own = find_words(pa.array([passage]), LETTERS).hash
+            for mask in decontamination._masks(size):
+                kept = [k for k, m in enumerate(mask) if m == "1"]
+                for i in range(len(own) - len(mask) + 1):
+                    for j in range(len(words) - len(mask) + 1):
+                        if all(own[i + k] == words[j + k] for k in kept):
+                            expected.add((item, j - i))
+        assert decontamination._shifts(index, words) == sorted(expected)
+
+
+def test_many_equal_words_are_found_by_runs(monkeypatch):
+    monkeypatch.setattr(decontamination, "_AT_ONCE", 1 << 16)
+    index = build_index([1], ["aa " * 1000])
+    words = find_words(pa.array(["aa " * 40_000]), LETTERS).hash
+    assert len(index.hashes) == len(index.masks)
+    assert len(overlaps_of(index, words)) == 40_000 + 1000 - 2 * 13 + 1
