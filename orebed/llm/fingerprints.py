@@ -15,11 +15,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: A paragraph is a line; one longer than this goes on to the next end of a sentence, and
-#: what follows is a paragraph of its own.
-LONGEST = 500
-PARAGRAPH = rf"[^\n]{{1,{LONGEST}}}(?:[^\n.!?]*[.!?]+)?"
+#: what follows is a paragraph of its own. Without an end within ``SENTENCE`` characters it
+#: stops at once, so that a long line without full stops is gone through in proportion.
+LONGEST, SENTENCE = 500, 4000
+PARAGRAPH = rf"[^\n]{{1,{LONGEST}}}+(?:[^\n.!?]{{0,{SENTENCE}}}+[.!?]++)?"
 #: Blocks of the fingerprint itself, and of the larger tables that are tried in turn.
 BLOCKS = 8
 LARGER = (32, 128, 512, 2048, 8192)
@@ -180,7 +182,7 @@ def _bucket_width(docs: DataFrame, bucket_rows: int) -> int:
     low, high, count = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
     if not count:
         return 1
-    width = max(1, (high - low + 1) * bucket_rows // count)
+    width = min(max(1, (high - low + 1) * bucket_rows // count), 2**62)
     while width > 1:
         largest = docs.groupBy(F.floor(F.col("doc_id") / width)).count().agg(F.max("count")).first()
         if largest[0] <= 4 * bucket_rows:
@@ -191,11 +193,14 @@ def _bucket_width(docs: DataFrame, bucket_rows: int) -> int:
 
 def with_next(docs: DataFrame, columns: list[str], *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` with ``next_<c>`` for each of ``columns``, the value in the next row by
-    descending doc_id (NULLs last, then by text); the last row's next is the first.
+    descending doc_id (NULLs last, then by text); the last row's next is the first. Ids have
+    to be whole numbers; others are refused with a TypeError.
 
     Rows are windowed by ranges of doc_id. Into each range comes, as a guest, the first row
     of the range after it, so that texts move once.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError(f"doc_id has to be a whole number, not {docs.schema['doc_id'].dataType.simpleString()}")
     width = _bucket_width(docs.select("doc_id"), bucket_rows)
     bucket = F.coalesce(F.floor(F.col("doc_id") / width), F.lit(-(2**63)))
     rows = docs.withColumns({"_bucket": bucket, "_hash": F.xxhash64("text")})

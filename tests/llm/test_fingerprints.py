@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from cases import documents, empty, odd, prose, texts
@@ -88,3 +89,22 @@ def test_one_row_is_its_own_next_and_no_rows_give_none(spark):
     (row,) = versions(texts(spark, [(3, prose(1, 50))])).collect()
     assert row["next_text"] == row["text"] and row["from_next_near"] == 1
     assert versions(empty(spark)).collect() == []
+
+
+def test_ids_far_apart_and_ids_that_are_no_numbers(spark):
+    ids = [-(2**62), 0, 2**62, 2**63 - 1, -(2**63)]
+    rows = with_next(texts(spark, [(i, f"t{i}") for i in ids]), ["text"]).collect()
+    order = sorted(ids, reverse=True)
+    assert {r["doc_id"]: r["next_text"] for r in rows} == {
+        a: f"t{b}" for a, b in zip(order, [*order[1:], order[0]])
+    }
+    with pytest.raises(TypeError, match="whole number, not string"):
+        with_next(spark.createDataFrame([("a", "b")], "doc_id string, text string"), ["text"])
+
+
+def test_a_long_line_without_full_stops_takes_time_in_proportion(spark):
+    line = "の" * 1_000_100
+    rows = with_fingerprint(spark.createDataFrame([(line,)], "a string"), "a", "a_")
+    start = time.monotonic()
+    assert len(rows.first()["a_digests"]) == 2  # equal pieces, and the last
+    assert time.monotonic() - start < 10
