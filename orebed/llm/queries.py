@@ -55,8 +55,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, counts = train_lm(docs.where(id_remainder(10) != 0))
-    return score_texts(docs, model, counts).withColumn("held_out", id_remainder(10) == 0)
+    model, words = train_lm(docs.where(id_remainder(10) != 0))
+    return score_texts(docs, model, words).withColumn("held_out", id_remainder(10) == 0)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
