@@ -13,8 +13,9 @@ classed, and what is gathered for them, grow with the corpus. Words met more rar
 never, have the class of their ending.
 
 Counts of words cover all words of the training texts. The most frequent ones, a bounded
-number, go to every task; the rest of the tokens meet their counts and classes in a join. What
-follows such a word is predicted from the class of its ending, which every task knows.
+number, go to every task with their counts and classes. The other words of a block of texts meet
+theirs in a join and come back to the block, so every word predicts what follows it by its
+own class, and scores are the same whichever words the tasks know.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orebed.llm.words import NOT_SPACE, Words, chunks, find_words, mix, seeds, signed
@@ -86,16 +89,22 @@ class Vocabulary:
         """The end is a unit, too, after all others."""
         return np.concatenate([self.units, OWN_UNITS + np.arange(ENDINGS + 1)])
 
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of words, -1 if one is not here."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
     def look_up(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Count of each token, -1 if its word is not here, and its number."""
         if not len(self.hashes):
             return np.full(len(words.hash), -1), _endings(words, np.arange(len(words.hash)))
-        at = np.minimum(np.searchsorted(self.hashes, words.hash), len(self.hashes) - 1)
-        known = self.hashes[at] == words.hash
-        rest = np.flatnonzero(~known)
-        numbers = np.where(known, at, 0)
+        numbers = self.places(words.hash)
+        counts = np.where(numbers >= 0, self.counts[numbers], -1)
+        rest = np.flatnonzero(numbers < 0)
         numbers[rest] = len(self.hashes) + _endings(words, rest)
-        return np.where(known, self.counts[at], -1), numbers
+        return counts, numbers
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the unigram probability of tokens with these counts."""
@@ -111,6 +120,7 @@ class ClassModel:
     class_tokens: np.ndarray
     class_types: np.ndarray
     exchanged: int  # training tokens whose word has a class by exchange
+    whole: bool  # words that no task knows predict by their own class, not their ending's
 
     def emission(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """log10 of a word's probability in its class, by its count."""
@@ -152,15 +162,15 @@ def _vocabulary(counts: DataFrame, ends: int, in_tasks: int) -> Vocabulary:
         if total > in_tasks:
             break
         least = low
-    found = counts.where(F.col("n") >= least).select("word", "ending", "n").toArrow()
-    hashes = found["word"].to_numpy().view(np.uint64)
-    n = found["n"].to_numpy()
-    order = np.lexsort((hashes, -n))
-    units = OWN_UNITS + found["ending"].to_numpy().astype(np.int64)
-    units[order[:OWN_UNITS]] = np.arange(min(OWN_UNITS, len(n)))
-    by_hash = np.argsort(hashes)
+    rows = counts.select("word", "ending", "n")
+    # Units are the same words whatever the bound, so these are here in any case.
+    top = rows.orderBy(F.desc("n"), F.col("word") < 0, "word").limit(OWN_UNITS).toArrow()
+    found = pa.concat_tables([top, rows.where(F.col("n") >= least).toArrow()])
+    hashes, first = np.unique(found["word"].to_numpy().view(np.uint64), return_index=True)
+    endings = found["ending"].to_numpy()[first].astype(np.int64)
+    units = np.where(first < len(top), first, OWN_UNITS + endings)
     return Vocabulary(
-        hashes[by_hash], n[by_hash], units[by_hash], least, (tokens or 0) + ends,
+        hashes, found["n"].to_numpy()[first], units, least, (tokens or 0) + ends,
         types + bool(ends), ends,
     )
 
@@ -193,12 +203,13 @@ def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
 
 
 def number_tokens(training: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """For each text the numbers of its tokens, ends included, and the hashes of the words
-    that no task knows. Sweeps read these, so that texts are taken apart once."""
+    """For each text the numbers of its tokens, ends included, the hashes of the words that no
+    task knows, and the block of texts whose words are looked up together. Sweeps read these,
+    so that texts are taken apart once. To be stored, as blocks go by tasks."""
     shared = training.sparkSession.sparkContext.broadcast(vocabulary)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
+        vocabulary, block = shared.value, TaskContext.get().partitionId() << 32
         for batch in chunks(batches, "text", _COUNT_BYTES):
             words = _tokens(batch)
             counts, numbers = vocabulary.look_up(words)
@@ -206,13 +217,92 @@ def number_tokens(training: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             far = counts < 0
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(np.full(batch.num_rows, block)),
                     _packed(sequence.astype(np.int32), words.counts() + 1),
                     _packed(words.hash[far], np.bincount(words.doc[far], minlength=batch.num_rows)),
                 ],
-                ["numbers", "far"],
+                ["block", "numbers", "far"],
             )
+            block += 1
+
+    return training.select("text").mapInArrow(number, "block bigint, numbers binary, far binary")
+
 
-    return training.select("text").mapInArrow(number, "numbers binary, far binary")
+def _counted(
+    words: np.ndarray, cells: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of a word and a cell, and how often each occurs."""
+    order = np.lexsort((cells, words))
+    words, cells = words[order], cells[order]
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (words[1:] != words[:-1]) | (cells[1:] != cells[:-1])
+    begin = np.flatnonzero(first)
+    return words[begin], cells[begin], np.diff(np.append(begin, len(order)))
+
+
+def far_words(sequences: DataFrame) -> DataFrame:
+    """word and block of the words that no task knows."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "far", _COUNT_BYTES):
+            each = pc.binary_length(batch.column("far")).to_numpy() // 8
+            blocks = np.repeat(batch.column("block").to_numpy(), each)
+            words, blocks, _ = _counted(_unpacked(batch.column("far"), np.uint64), blocks)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(words)), pa.array(blocks)], ["word", "block"]
+            )
+
+    return sequences.select("block", "far").mapInArrow(take, "word bigint, block bigint")
+
+
+def _met(words: np.ndarray, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``words`` the column word of ``table`` has, and the rows these have there."""
+    there = table["word"].to_numpy().view(np.uint64)
+    order = np.argsort(there)
+    at = np.searchsorted(there[order], words)
+    found = at < len(there)
+    found[found] = there[order[at[found]]] == words[found]
+    return found, order[at[found]]
+
+
+def _as_batch(table: pa.Table) -> pa.RecordBatch:
+    return table.combine_chunks().to_batches()[0]
+
+
+def _with_classes(
+    sequences: DataFrame, vocabulary: Vocabulary, kinds: np.ndarray, assigned: DataFrame
+) -> DataFrame:
+    """``sequences`` with the classes of the words that no task knows: those ``assigned``, or
+    their ending's."""
+    known, end = len(vocabulary.hashes), vocabulary.end
+    by_ending = kinds[known:end].astype(np.int8)
+    own = assigned.where("number < 0").select("word", "class")
+    met = far_words(sequences).join(own, "word").select("block", "word", "class")
+
+    def classify(texts: pa.Table, met: pa.Table) -> pa.Table:
+        batch = _as_batch(texts)
+        numbers = _unpacked(batch.column("numbers"), np.int32)
+        classes = by_ending[numbers[(numbers >= known) & (numbers < end)] - known]
+        found, at = _met(_unpacked(batch.column("far"), np.uint64), met)
+        classes[found] = met["class"].to_numpy()[at]
+        each = pc.binary_length(batch.column("far")).to_numpy() // 8
+        return texts.append_column("classes", _packed(classes, each))
+
+    texts = sequences.select("block", "numbers", "far")
+    schema = "block bigint, numbers binary, far binary, classes binary"
+    return texts.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(classify, schema)
+
+
+def _classed(
+    batch: pa.RecordBatch, vocabulary: Vocabulary, kinds: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the tokens, which of them no task knows, and the class of each."""
+    numbers = _unpacked(batch.column("numbers"), np.int32).astype(np.int64)
+    far = (numbers >= len(vocabulary.hashes)) & (numbers < vocabulary.end)
+    classes = kinds[numbers]
+    if "classes" in batch.schema.names:
+        classes[far] = _unpacked(batch.column("classes"), np.int8)
+    return numbers, far, classes
 
 
 def _beside(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,43 +436,34 @@ def _exchange_units(
 def _word_contexts(
     sequences: DataFrame, vocabulary: Vocabulary, kinds: np.ndarray, least: int
 ) -> DataFrame:
-    """word, number (-1: no task knows it), cell (class before and after it) and n, for words
-    without a unit of their own."""
+    """word, cell (class before and after it) and n, for words without a unit of their own."""
     shared = sequences.sparkSession.sparkContext.broadcast((vocabulary, kinds))
     width = CLASSES + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, kinds = shared.value
-        known = len(vocabulary.hashes)
         wanted = (vocabulary.units >= OWN_UNITS) & (vocabulary.counts >= least)
         wanted = np.append(wanted, np.zeros(ENDINGS + 1, dtype=bool))
         for batch in chunks(batches, "numbers", _COUNT_BYTES):
-            numbers = _unpacked(batch.column("numbers"), np.int32).astype(np.int64)
-            before, after = _beside(kinds[numbers])
+            numbers, far, classes = _classed(batch, vocabulary, kinds)
+            before, after = _beside(classes)
             cell = before * width + after
             near = wanted[numbers]
             keys, n = np.unique(numbers[near] * width**2 + cell[near], return_counts=True)
             number = keys // width**2
-            far = (numbers >= known) & (numbers < vocabulary.end)
-            words, cells = _unpacked(batch.column("far"), np.uint64), cell[far]
-            order = np.lexsort((cells, words))
-            words, cells = words[order], cells[order]
-            first = np.ones(len(order), dtype=bool)
-            first[1:] = (words[1:] != words[:-1]) | (cells[1:] != cells[:-1])
-            begin = np.flatnonzero(first)
-            word = np.concatenate([vocabulary.hashes[number], words[begin]])
-            all_cells = np.concatenate([keys % width**2, cells[begin]])
-            all_n = np.concatenate([n, np.diff(np.append(begin, len(order)))])
-            place = np.concatenate([number, np.full(len(begin), -1)])
+            words, cells, times = _counted(_unpacked(batch.column("far"), np.uint64), cell[far])
+            word = np.concatenate([vocabulary.hashes[number], words])
+            all_cells = np.concatenate([keys % width**2, cells])
+            all_n = np.concatenate([n, times])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(signed(word)), pa.array(place.astype(np.int32)),
-                    pa.array(all_cells.astype(np.int32)), pa.array(all_n.astype(np.int64)),
+                    pa.array(signed(word)), pa.array(all_cells.astype(np.int32)),
+                    pa.array(all_n.astype(np.int64)),
                 ],
-                ["word", "number", "cell", "n"],
+                ["word", "cell", "n"],
             )
 
-    return sequences.mapInArrow(count, "word bigint, number int, cell int, n bigint")
+    return sequences.mapInArrow(count, "word bigint, cell int, n bigint")
 
 
 def choose_classes(
@@ -404,44 +485,51 @@ def choose_classes(
 
 
 def _exchange_words(
-    sequences: DataFrame, vocabulary: Vocabulary, kinds: np.ndarray, pairs: np.ndarray, least: int
+    sequences: DataFrame, vocabulary: Vocabulary, kinds: np.ndarray, pairs: np.ndarray, least: int,
+    whole: bool = False,
 ) -> DataFrame:
-    """word, number and class of all words of ``least`` tokens without a unit of their own."""
+    """word, number and class of all words of ``least`` tokens without a unit of their own.
+    With ``whole`` every word predicts what follows it, else those do that tasks know."""
+
+    shared = sequences.sparkSession.sparkContext.broadcast(vocabulary)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, 4096):
-                batch = whole.slice(low, 4096)
+        vocabulary = shared.value
+        for rows in batches:
+            for low in range(0, rows.num_rows, 4096):
+                batch = rows.slice(low, 4096)
                 at = batch.column("at")
-                number = batch.column("number").to_numpy()
+                number = vocabulary.places(batch.column("word").to_numpy().view(np.uint64))
                 row = np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy())
                 cell, n = at.flatten().flatten()
-                found = choose_classes(number >= 0, row, cell.to_numpy(), n.to_numpy(), pairs)
+                found = choose_classes((number >= 0) | whole, row, cell.to_numpy(), n.to_numpy(), pairs)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("word"), batch.column("number"), pa.array(found.astype(np.int32))],
+                    [
+                        batch.column("word"), pa.array(number.astype(np.int32)),
+                        pa.array(found.astype(np.int32)),
+                    ],
                     ["word", "number", "class"],
                 )
 
     # One shuffle serves both aggregates; a word has at most as many cells as pairs of classes.
     contexts = _word_contexts(sequences, vocabulary, kinds, least).repartition("word")
-    cells = contexts.groupBy("word", "cell").agg(F.max("number").alias("number"), F.sum("n").alias("n"))
+    cells = contexts.groupBy("word", "cell").agg(F.sum("n").alias("n"))
     words = cells.groupBy("word").agg(
-        F.max("number").alias("number"), F.sum("n").alias("_n"),
-        F.collect_list(F.struct("cell", "n")).alias("at"),
-    ).where(F.col("_n") >= least).select("word", "number", "at")
+        F.sum("n").alias("_n"), F.collect_list(F.struct("cell", "n")).alias("at")
+    ).where(F.col("_n") >= least).select("word", "at")
     return words.mapInArrow(choose, "word bigint, number int, class int")
 
 
 def _pairs(
     sequences: DataFrame, vocabulary: Vocabulary, kinds: np.ndarray, assigned: DataFrame | None
 ) -> np.ndarray:
-    """How often each class stands after each; classes of the words that no task knows are
-    those ``assigned``, or their ending's."""
-    width, known = CLASSES + 1, len(vocabulary.hashes)
-    shared = sequences.sparkSession.sparkContext.broadcast(kinds)
+    """How often each class stands after each. Words that no task knows have the classes that
+    ``sequences`` give, or those ``assigned`` to what follows another, or their ending's."""
+    width, apart = CLASSES + 1, assigned is not None
+    shared = sequences.sparkSession.sparkContext.broadcast((vocabulary, kinds))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = shared.value
+        vocabulary, kinds = shared.value
         total = np.zeros(width * width, dtype=np.int64)
 
         def rows(word, cell, n):
@@ -451,13 +539,12 @@ def _pairs(
             )
 
         for batch in chunks(batches, "numbers", _COUNT_BYTES):
-            numbers = _unpacked(batch.column("numbers"), np.int32)
-            cell = _beside(kinds[numbers])[0] * width + kinds[numbers]
-            far = (numbers >= known) & (numbers < len(kinds) - 1)
-            total += np.bincount(cell[~far], minlength=width * width)
-            words, cells = _unpacked(batch.column("far"), np.uint64), cell[far]
-            if len(words):
-                yield rows(pa.array(signed(words)), cells, np.ones(len(words)))
+            _, far, classes = _classed(batch, vocabulary, kinds)
+            cell = _beside(classes)[0] * width + classes
+            total += np.bincount(cell[~far] if apart else cell, minlength=width * width)
+            if apart and far.any():
+                words, cells, n = _counted(_unpacked(batch.column("far"), np.uint64), cell[far])
+                yield rows(pa.array(signed(words)), cells, n)
         some = np.flatnonzero(total)
         yield rows(pa.nulls(len(some), pa.int64()), some, total[some])
 
@@ -480,30 +567,41 @@ def _pairs(
 
 def train(
     training: DataFrame, *, sweeps: int = SWEEPS, word_sweeps: int = WORD_SWEEPS,
-    in_tasks: int = IN_TASKS, least_count: int = LEAST_COUNT,
+    in_tasks: int | None = None, least_count: int = LEAST_COUNT,
 ) -> tuple[ClassModel, DataFrame]:
-    """The model of the texts of ``training``, and their words (hash) with n and class."""
+    """The model of the texts of ``training``, and their words (hash) with n and class.
+
+    Every word predicts what follows it by its class. ``in_tasks``, if given, makes a smaller
+    model instead: only so many words, the most frequent, do that, others by their ending.
+    """
     session = training.sparkSession
     counts = materialize(word_counts(training), "word-counts")
     texts = training.count()
-    vocabulary = _vocabulary(counts, texts, in_tasks)
+    whole = in_tasks is None
+    vocabulary = _vocabulary(counts, texts, IN_TASKS if whole else in_tasks)
     sequences = materialize(number_tokens(training, vocabulary), "token-numbers")
     classes = _exchange_units(sequences, vocabulary, texts, sweeps)
     kinds = np.append(classes, CLASSES)[vocabulary.units_of_numbers()]
     assigned, best = None, None
     pairs = _pairs(sequences, vocabulary, kinds, assigned)
-    for _ in range(word_sweeps):
+    for sweep in range(word_sweeps):
         best = likelihood(pairs)
         found = materialize(
-            _exchange_words(sequences, vocabulary, kinds, pairs, least_count), "word-classes"
+            _exchange_words(sequences, vocabulary, kinds, pairs, least_count, whole), "word-classes"
         )
         near = found.where("number >= 0").select("number", "class").toArrow()
         new = kinds.copy()
         new[near["number"].to_numpy()] = near["class"].to_numpy()
-        new_pairs = _pairs(sequences, vocabulary, new, found)
+        if whole:
+            moved = _with_classes(sequences, vocabulary, new, found)
+            if sweep + 1 < word_sweeps:  # the next one reads it again
+                moved = materialize(moved, "token-classes")
+            new_pairs = _pairs(moved, vocabulary, new, None)
+        else:
+            moved, new_pairs = sequences, _pairs(sequences, vocabulary, new, found)
         value = likelihood(new_pairs)
         if value > best:
-            assigned, kinds, pairs = found, new, new_pairs
+            assigned, kinds, pairs, sequences = found, new, new_pairs, moved
         if value <= best + LEAST_GAIN * vocabulary.tokens:
             break
     transition = pairs + SMOOTHING
@@ -537,72 +635,80 @@ def train(
     for row in sizes:
         tokens[row["class"]], types[row["class"]] = row["n"], row["types"]
         exchanged += row["exchanged"]
-    return ClassModel(vocabulary, kinds, transition, tokens, types, exchanged), words
+    return ClassModel(vocabulary, kinds, transition, tokens, types, exchanged, whole), words
 
 
 _PARTS = (
-    "_doc bigint, _text bigint, word bigint, step int, n bigint, texts bigint, "
-    "n_tokens bigint, n_known bigint, base double, score double"
+    "doc_id bigint, block bigint, n_tokens bigint, n_known bigint, base double, score double, "
+    "classes binary, far binary"
+)
+SCORED = (
+    "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, "
+    "base_score double, score double"
 )
+#: Added to a class that is that of a word's ending, until the word has met its own.
+_FAR = 64
 
 
-def _score_parts(model_of, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text a row with the sums over words that the task knows, and a row for each
-    other word, with the class before it and that of its ending (``step``), and how often it
-    occurs so."""
-    model: ClassModel = model_of()
-    vocabulary = model.vocabulary
+def _score_parts(model: ClassModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text the sums over words that the task knows, the classes of its tokens, and the
+    hashes of the other words."""
+    vocabulary, block = model.vocabulary, TaskContext.get().partitionId() << 32
     for batch in chunks(batches, "text"):
         texts = batch.num_rows
         words = _tokens(batch)
         counts, numbers = vocabulary.look_up(words)
-        classes = model.kinds[numbers]
-        sequence, at = _sequence(words, classes, CLASSES)
-        before, _ = _beside(sequence)
-        owner = np.repeat(np.arange(texts), words.counts() + 1)
-        steps = model.transition[before, sequence]
-        steps[at[counts < 0]] = 0  # with the word's class, below
-        score = np.bincount(owner, steps, texts)
+        kinds = model.kinds[numbers]
         here = counts >= 0
         doc = words.doc[here]
-        score = score + np.bincount(doc, model.emission(counts[here], classes[here]), texts)
+        score = np.bincount(doc, model.emission(counts[here], kinds[here]), texts)
         base = np.bincount(doc, vocabulary.base(counts[here]), texts)
         base = base + vocabulary.base(np.array([vocabulary.ends]))[0]
         known = np.bincount(doc, minlength=texts) + bool(vocabulary.ends)
-        rest = np.flatnonzero(~here)
-        step = before[at] * (CLASSES + 1) + classes
-        order = rest[np.lexsort((step[rest], words.hash[rest], words.doc[rest]))]
-        row, word, step = words.doc[order], words.hash[order], step[order]
-        first = np.ones(len(order), dtype=bool)
-        for column in (row, word, step):
-            first[1:] &= column[1:] == column[:-1]
-        first[1:] = ~first[1:]
-        begin = np.flatnonzero(first)
-        times = np.diff(np.append(begin, len(order)))
-        text = pa.array(np.concatenate([np.arange(texts), row[begin]]))
-        blank = np.zeros(len(begin), dtype=np.int64)
-
-        def join(of_texts: np.ndarray, of_words: np.ndarray, kind: pa.DataType) -> pa.Array:
-            return pa.array(np.concatenate([of_texts, of_words]), kind)
-
-        zero = np.zeros(texts, dtype=np.int64)
-        is_text = np.concatenate([np.ones(texts, bool), np.zeros(len(begin), bool)])
-        hashes = np.concatenate([zero, signed(word[begin])])
+        classes, _ = _sequence(words, kinds + _FAR * ~here, CLASSES)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("_doc").take(text), batch.column("_text").take(text),
-                pa.array(hashes, pa.int64(), mask=is_text),
-                join(zero, step[begin], pa.int32()), join(zero, times, pa.int64()),
-                join(zero + 1, blank, pa.int64()), join(words.counts() + 1, blank, pa.int64()),
-                join(known, blank, pa.int64()), join(base, blank, pa.float64()),
-                join(score, blank, pa.float64()),
+                batch.column("doc_id"), pa.array(np.full(texts, block)),
+                pa.array((words.counts() + 1).astype(np.int64)), pa.array(known.astype(np.int64)),
+                pa.array(base), pa.array(score.astype(np.float64)),
+                _packed(classes.astype(np.int8), words.counts() + 1),
+                _packed(words.hash[~here], np.bincount(words.doc[~here], minlength=texts)),
             ],
-            ["_doc", "_text", "word", "step", "n", "texts", "n_tokens", "n_known", "base", "score"],
+            ["doc_id", "block", "n_tokens", "n_known", "base", "score", "classes", "far"],
         )
-
-
-def _by_class(values: np.ndarray) -> Column:
-    return F.get(F.array(*(F.lit(float(v)) for v in values)), F.col("class"))
+        block += 1
+
+
+def _score_block(model: ClassModel, texts: pa.Table, met: pa.Table) -> pa.Table:
+    """Scores of texts from these parts, and word, n and class of those words in them that
+    have been met in training and that no task knows."""
+    vocabulary, batch = model.vocabulary, _as_batch(texts)
+    classes = _unpacked(batch.column("classes"), np.int8).astype(np.int64)
+    far = np.flatnonzero(classes >= _FAR)
+    classes[far] -= _FAR
+    context = classes if model.whole else classes.copy()
+    counts = np.zeros(len(far), dtype=np.int64)
+    found, at = _met(_unpacked(batch.column("far"), np.uint64), met)
+    counts[found] = met["n"].to_numpy()[at]
+    classes[far[found]] = met["class"].to_numpy()[at]
+    owner = np.repeat(np.arange(batch.num_rows), batch.column("n_tokens").to_numpy())
+    steps = model.transition[_beside(context)[0], classes]
+    steps[far] += model.emission(counts, classes[far])
+
+    def total(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, values, batch.num_rows)
+
+    return pa.table(
+        {
+            "doc_id": batch.column("doc_id"), "n_tokens": batch.column("n_tokens"),
+            "n_known": batch.column("n_known").to_numpy()
+            + total(owner[far], counts > 0).astype(np.int64),
+            "train_tokens": np.full(batch.num_rows, vocabulary.tokens, dtype=np.int64),
+            "base_score": batch.column("base").to_numpy()
+            + total(owner[far], vocabulary.base(counts)),
+            "score": batch.column("score").to_numpy() + total(owner, steps),
+        }
+    )
 
 
 def score_texts(docs: DataFrame, model: ClassModel, words: DataFrame) -> DataFrame:
@@ -615,50 +721,18 @@ def score_texts(docs: DataFrame, model: ClassModel, words: DataFrame) -> DataFra
     """
     vocabulary = model.vocabulary
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _score_parts(lambda: shared.value, batches)
+    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _score_parts(shared.value, batches)
 
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64("text").alias("_text"), "text")
-    parts = keyed.mapInArrow(score, _PARTS)
-    sums = ["texts", "n_tokens", "n_known", "base", "score"]
-    texts = parts.where("word IS NULL").select("_doc", "_text", *sums)
+    # Stored, as blocks go by tasks.
+    parts = materialize(texts.mapInArrow(take_apart, _PARTS), "text-parts")
     # Words that no task knows have a count below ``least``, or none.
-    rare = words.where(F.col("n") < vocabulary.least).select(
-        F.col("word").alias("_word"), F.col("n").alias("_count"), F.col("class").alias("_class")
-    )
-    width = CLASSES + 1
-    steps = docs.sparkSession.createDataFrame(
-        [
-            (b * width + c, float(model.transition[b, c]))
-            for b in range(width) for c in range(CLASSES)
-        ],
-        "_step int, _transition double",
-    )
-    other = parts.where("word IS NOT NULL")
-    other = other.join(rare, other["word"] == rare["_word"], "left")
-    other = other.withColumn("class", F.coalesce("_class", F.expr(f"step % {width}")))
-    other = other.withColumn("_step", F.expr(f"step - step % {width} + class"))
-    other = other.join(F.broadcast(steps), "_step")
-    count = F.coalesce("_count", F.lit(0))
-    whole = vocabulary.tokens + BASE_SMOOTHING * (vocabulary.types + 1)
-    in_class = _by_class(model.class_tokens + SMOOTHING * (model.class_types + 1))
-    met = other.select(
-        "_doc", "_text", F.lit(0).cast("bigint").alias("texts"),
-        F.lit(0).cast("bigint").alias("n_tokens"),
-        F.when(count > 0, F.col("n")).otherwise(0).cast("bigint").alias("n_known"),
-        (F.col("n") * F.log10((count + BASE_SMOOTHING) / F.lit(float(whole)))).alias("base"),
-        (F.col("n") * (F.log10((count + SMOOTHING) / in_class) + F.col("_transition"))).alias("score"),
-    )
-    total = texts.unionByName(met).groupBy("_doc", "_text").agg(
-        *(F.sum(name).alias(name) for name in sums)
-    )
-    # Rows with the same doc_id and text have been summed up together; they are alike.
-    each = total.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("texts"))))
-    return each.select(
-        F.col("_doc").alias("doc_id"), F.expr("n_tokens div texts").alias("n_tokens"),
-        F.expr("n_known div texts").alias("n_known"),
-        F.lit(vocabulary.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") / F.col("texts")).alias("base_score"),
-        (F.col("score") / F.col("texts")).alias("score"),
-    )
+    rare = words.where(F.col("n") < vocabulary.least).select("word", "n", "class")
+    met = far_words(parts).join(rare, "word").select("block", "word", "n", "class")
+
+    def score(texts: pa.Table, met: pa.Table) -> pa.Table:
+        return _score_block(shared.value, texts, met)
+
+    return parts.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(score, SCORED)

@@ -278,3 +278,24 @@ def test_empty_tables(spark):
     (row,) = score_texts(texts(spark, [(1, "a b")]), model, counts).collect()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (3, 0, 0)
     assert row["base_score"] == pytest.approx(0.0) and math.isfinite(row["score"])
+
+
+def test_the_bound_of_words_in_tasks_changes_no_score(spark, monkeypatch):
+    """Words beyond the bound predict what follows them by their own class, too."""
+    monkeypatch.setattr(class_lm, "OWN_UNITS", 60)
+    rng = random.Random(9)
+    rows = [
+        (k, " ".join(f"{'ab'[i % 2]}{int(400 * rng.random() ** 3):03d}" for i in range(20)))
+        for k in range(400)
+    ]
+    docs = texts(spark, rows).repartition(3)
+    held, scores = docs.where("doc_id % 4 = 0"), {}
+    for bound in (0, 200, 1 << 18):
+        monkeypatch.setattr(class_lm, "IN_TASKS", bound)
+        model, found = train(docs.where("doc_id % 4 <> 0"))
+        assert (len(model.vocabulary.hashes) < 250) == (bound < 1000)
+        scores[bound] = {r["doc_id"]: tuple(r) for r in score_texts(held, model, found).collect()}
+    assert len(scores[0]) == 100
+    for bound in (0, 200):
+        for doc, row in scores[1 << 18].items():
+            assert scores[bound][doc] == pytest.approx(row)
