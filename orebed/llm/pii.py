@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orebed.llm.boosting import Boosted, fit
+from orebed.llm.boosting import Boosted, fit_table, unpacked
 from orebed.llm.words import chunks
+from orebed.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # first character, end, number of the kind
@@ -55,9 +56,9 @@ _CUES = (
     re.compile(r"phone|tel|call|mobile|fax|anruf|llam", re.IGNORECASE),
 )
 CONTEXT = 32
-#: At most so many labelled candidates are learned from, by a hash of text and place.
-SAMPLE = 20_000
 PRECISION = 0.99
+#: Thresholds lie on a grid of so many steps to each unit of log odds, within these limits.
+GRID, LIMIT = 256, 20
 #: A kind's precision is that of its own candidates and of as many as this of all kinds.
 POOLED = 20
 #: Text on either side of a span that labelling looks at.
@@ -268,14 +269,16 @@ class PiiModel:
 
 
 def _calibrated(
-    chances: np.ndarray, labels: np.ndarray, own: np.ndarray, precision: float
+    chances: np.ndarray, labels: np.ndarray, own: np.ndarray, precision: float,
+    times: np.ndarray | None = None,
 ) -> float:
     """The lowest threshold from which on candidates of a kind, marked by ``own``, are right
-    often enough. To these are added ``POOLED`` that are right as often as those of all kinds
+    often enough; each occurs as many ``times``, or once. To these are added ``POOLED`` that are right as often as those of all kinds
     are from there on, which settles a kind with few candidates and hardly moves others."""
     order = np.argsort(-chances, kind="stable")
-    right, count = np.cumsum(labels[order]), np.arange(1, len(order) + 1)
-    its_right, its = np.cumsum((labels * own)[order]), np.cumsum(own[order])
+    n = np.ones(len(order), dtype=np.int64) if times is None else times
+    right, count = np.cumsum((labels * n)[order]), np.cumsum(n[order])
+    its_right, its = np.cumsum((labels * own * n)[order]), np.cumsum((own * n)[order])
     share = (its_right + POOLED * right / count) / (its + POOLED)
     # Only where the next candidate has a lower chance can a threshold be put.
     edge = np.append(chances[order][1:] < chances[order][:-1], True)
@@ -283,41 +286,79 @@ def _calibrated(
     return float(chances[order][good[-1]]) if len(good) else 2.0
 
 
-def train(docs: DataFrame, *, sample: int = SAMPLE, precision: float = PRECISION) -> PiiModel:
-    """Trees from at most ``sample`` labelled candidates of ``docs``, half for learning and
-    half, of other texts, for the thresholds. Without both labels no candidate counts."""
+def candidates(docs: DataFrame) -> DataFrame:
+    """part (0 or 1, by text), label, values (features, a byte each) and n: how many labelled
+    candidates of different texts are alike in these."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            keys, labels, values = [], [], []
-            for text in batch.column("text").to_pylist():
-                for number, (is_pii, row) in enumerate(labelled_candidates(text or "")):
-                    key = zlib.crc32(text.encode()) * 2**20 + number % 2**20
-                    keys.append(key * 0x9E3779B97F4A7C15 % 2**63)
-                    labels.append(is_pii + 2 * (zlib.crc32(text.encode()) % 2))
-                    values.append(row)
+            keys, numbers, parts, labels, values = [], [], [], [], []
+            texts = zip(batch.column("key").to_pylist(), batch.column("text").to_pylist())
+            for key, text in texts:
+                rows = labelled_candidates(text or "")
+                part = zlib.crc32((text or "").encode()) % 2
+                keys += [key] * len(rows)
+                numbers += range(len(rows))
+                parts += [part] * len(rows)
+                labels += [is_pii for is_pii, _ in rows]
+                values += [bytes(row) for _, row in rows]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys, pa.int64()), pa.array(labels, pa.int32()),
-                    pa.array(values, pa.list_(pa.int32())),
+                    pa.array(keys, pa.int64()), pa.array(numbers, pa.int64()),
+                    pa.array(parts, pa.int32()), pa.array(labels, pa.int32()),
+                    pa.array(values, pa.binary()),
                 ],
-                ["key", "label", "values"],
+                ["key", "number", "part", "label", "values"],
             )
 
-    # Copies of a text would fill the sample with one case.
-    rows = docs.select("text").mapInArrow(label, "key bigint, label int, values array<int>")
-    found = rows.distinct().orderBy("key").limit(sample).toArrow()
-    label = found["label"].to_numpy()
-    y, part = label % 2, label // 2
-    if not (len(set(y[part == 0])) == len(set(y[part == 1])) == 2):
+    rows = docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(
+        label, "key bigint, number bigint, part int, label int, values binary"
+    )
+    # A text that has copies counts once.
+    return rows.distinct().groupBy("part", "label", "values").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _levels(rows: DataFrame, trees: Boosted) -> pa.Table:
+    """kind, label, level (log odds on the grid) and n: the candidates of each."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = unpacked(batch)
+                level = np.floor(np.clip(trees.margin(x), -LIMIT, LIMIT) * GRID)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(x[:, 0].astype(np.int32)), batch.column("label"),
+                        pa.array(level.astype(np.int32)), batch.column("n"),
+                    ],
+                    ["kind", "label", "level", "n"],
+                )
+
+    placed = rows.mapInArrow(place, "kind int, label int, level int, n bigint")
+    return placed.groupBy("kind", "label", "level").agg(F.sum("n").alias("n")).toArrow()
+
+
+def train(docs: DataFrame, *, precision: float = PRECISION) -> PiiModel:
+    """Trees from all labelled candidates of half the texts of ``docs``; those of the other half
+    settle the thresholds. Without both labels in both no candidate counts."""
+    rows = materialize(candidates(docs), "pii-candidates")
+    counts = {
+        (r["part"], r["label"]): r["n"]
+        for r in rows.groupBy("part", "label").agg(F.sum("n").alias("n")).collect()
+    }
+    if len(counts) < 4:
         return PiiModel(None, [2.0] * len(KINDS))
-    x = np.array(found["values"].to_pylist())
-    trees = fit(x[part == 0], y[part == 0])
-    chances = trees.probability(x[part == 1])
-    kinds = x[part == 1][:, 0]
+    features = len(rows.first()["values"])
+    share = counts[0, 1] / (counts[0, 0] + counts[0, 1])
+    trees = fit_table(rows.where("part = 0"), features, share)
+    found = _levels(rows.where("part = 1").select("label", "values", "n"), trees)
+    kinds, labels, levels, times = (
+        found[name].to_numpy() for name in ("kind", "label", "level", "n")
+    )
+    chances = 1 / (1 + np.exp(-levels / GRID))
     return PiiModel(
         trees,
-        [_calibrated(chances, y[part == 1], kinds == k, precision) for k in range(len(KINDS))],
+        [_calibrated(chances, labels, kinds == k, precision, times) for k in range(len(KINDS))],
     )
 
 

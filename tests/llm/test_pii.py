@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from cases import documents, empty, odd, prose, texts
 
-from orebed.llm.boosting import fit
+from orebed.llm.boosting import fit, fit_table
 from orebed.llm.pii import (
-    KINDS, PiiModel, _calibrated, _Covered, base_spans, find_pii, labelled_candidates, luhn,
+    KINDS, PiiModel, _calibrated, _Covered, base_spans, candidates, find_pii, labelled_candidates, luhn,
     proposed_spans, redact, train,
 )
 from orebed.llm.queries import op8_pii
@@ -174,3 +174,26 @@ def test_kinds_with_few_candidates_go_by_those_of_all():
     wrong[few] = 0
     assert _calibrated(chances, wrong, few, 0.99) > 0.98
     assert _calibrated(chances, np.zeros(1000, dtype=int), few, 0.99) == 2.0
+
+
+def test_every_labelled_candidate_is_learned_from(spark):
+    """Beyond 20,000 candidates, too, in any order; a copy of a text counts once."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"{x} and" for _ in range(12) for x in personal(rng))) for k in range(250)]
+    docs = texts(spark, rows)
+    total = sum(len(labelled_candidates(text)) for _, text in rows)
+    assert total > 20_000
+    counted = candidates(docs.union(docs.limit(50))).agg({"n": "sum"}).first()[0]
+    assert counted == total
+
+
+def test_trees_of_a_table_are_those_of_its_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 10, (600, 3))
+    y = (x[:, 0] + x[:, 1] > 9).astype(int)
+    rows = [(bytes(v), int(label), 1) for v, label in zip(x.tolist(), y)]
+    table = spark.createDataFrame(rows, "values binary, label int, n bigint")
+    table = table.groupBy("values", "label").sum("n").withColumnRenamed("sum(n)", "n").cache()
+    one, two = fit_table(table, 3, float(y.mean())), fit(x, y)
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(one.trees, two.trees))
+    assert len(one.trees) == len(two.trees) == 60
