@@ -55,3 +55,20 @@ def test_a_distinct_team_has_all_its_lines_of_its_season(spark):
     found = {(r.season, r.line_sha256) for r in rows}
     assert found == {("2022", digest(texts[0])), *(("2026", digest(t)) for t in texts)}
     assert {r.league for r in rows} == {"4429"}
+
+
+def test_different_rows_and_their_lines_meet_by_one_shuffle(spark):
+    """Only the key of a gold row moves, and what the caller takes of it."""
+    one = json.dumps({"events": [{"idEvent": "1", "strHomeTeam": "a"}, {"idEvent": "1", "strHomeTeam": "a"}]})
+    path = landed(spark, [one])
+    gold = gold_matches(flatten(read_bronze(spark, MATCHES, path), MATCHES))
+    rows = trace(gold, lineage(spark, MATCHES, path), MATCHES)
+    assert rows.count() == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = trace(gold, lineage(spark, MATCHES, path), MATCHES).select("match_id", "line_sha256")
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") == 2
+    assert "Exchange hashpartitioning(_key" in text
