@@ -7,8 +7,8 @@ Classes are found by exchange, in two steps. The most frequent words, and groups
 others by ending, move one after another to the class that raises the likelihood most, given
 how often each class stands before and after them; sweeps go on until the likelihood stops
 rising. Then every other word of ``LEAST_COUNT`` or more tokens chooses its class by the
-classes that stand around it: its contexts are gathered by a shuffle on the word, and the
-choice is made in tasks, against the small table of class pairs. So the words that are
+classes that stand around it: its contexts are gathered by a shuffle on parts of the words,
+packed, and the choice is made in tasks, against the small table of class pairs. So the words that are
 classed, and what is gathered for them, grow with the corpus. Words met more rarely, or
 never, have the class of their ending.
 
@@ -46,8 +46,19 @@ LEAST_GAIN = 1e-3
 IN_TASKS = 1 << 18
 SMOOTHING = 0.1
 BASE_SMOOTHING = 0.1
+#: At most so many words that tasks know have their contexts added up together, with about so
+#: many tokens; and so many tokens of other words, which are held at once.
+PART_WORDS, PART_TOKENS, FAR_TOKENS = 1 << 12, 1 << 22, 1 << 18
 _COUNT_BYTES = 1 << 22
+#: Numbers of tokens are stored in three bytes, and read so many bytes of their first two at once.
+_MOST_IN_TASKS, _LOW_BYTES = 1 << 23, 1 << 20
+#: Tokens in a row of what is shuffled, so that a batch of rows is small.
+_ROW_TOKENS = 256
+#: Counts of units and classes are added up in so many groups.
+_SUM_PARTS = 64
 _END_SALT = seeds(3, 71)
+#: Added to a class that is that of a word's ending, until the word has met its own.
+_FAR = 64
 
 
 def _tokens(batch: pa.RecordBatch) -> Words:
@@ -68,18 +79,25 @@ def _endings(words: Words, which: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Words that every task knows: hash (sorted), training count, unit (of their own, or of
-    their ending). A known word's number is its place here; another's is that of its ending,
-    counted on from there."""
+    """Words that every task knows, most frequent first: hash, training count, unit (of their
+    own, or of their ending). A known word's number is its place here; another's is that of its
+    ending, counted on from there."""
 
     hashes: np.ndarray
     counts: np.ndarray
     units: np.ndarray
+    ordered: np.ndarray  # the hashes, sorted, and the numbers of their words
+    numbers: np.ndarray
     least: int  # words with this count or more are all here
     tokens: int  # training tokens, ends included
     types: int  # distinct ones
     ends: int
 
+    @property
+    def far(self) -> int:
+        """Training tokens of words that are not here."""
+        return int(self.tokens - self.ends - self.counts.sum())
+
     @property
     def end(self) -> int:
         """Number of the end of a text."""
@@ -93,8 +111,8 @@ class Vocabulary:
         """Numbers of words, -1 if one is not here."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        at = np.minimum(np.searchsorted(self.ordered, hashes), len(self.ordered) - 1)
+        return np.where(self.ordered[at] == hashes, self.numbers[at], -1)
 
     def look_up(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Count of each token, -1 if its word is not here, and its number."""
@@ -148,6 +166,8 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def _vocabulary(counts: DataFrame, ends: int, in_tasks: int) -> Vocabulary:
+    if in_tasks > _MOST_IN_TASKS:
+        raise ValueError(f"at most {_MOST_IN_TASKS} words can be in tasks, not {in_tasks}")
     tokens, types = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     # Eight steps to each doubling: a few hundred rows however large the corpus.
     step = F.floor(F.log2("n") * 8).cast("int")
@@ -169,8 +189,12 @@ def _vocabulary(counts: DataFrame, ends: int, in_tasks: int) -> Vocabulary:
     hashes, first = np.unique(found["word"].to_numpy().view(np.uint64), return_index=True)
     endings = found["ending"].to_numpy()[first].astype(np.int64)
     units = np.where(first < len(top), first, OWN_UNITS + endings)
+    n = found["n"].to_numpy()[first]
+    order = np.argsort(-n, kind="stable")
+    numbers = np.empty_like(order)
+    numbers[order] = np.arange(len(order))
     return Vocabulary(
-        hashes, found["n"].to_numpy()[first], units, least, (tokens or 0) + ends,
+        hashes[order], n[order], units[order], hashes, numbers, least, (tokens or 0) + ends,
         types + bool(ends), ends,
     )
 
@@ -218,14 +242,23 @@ def number_tokens(training: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(batch.num_rows, block)),
-                    _packed(sequence.astype(np.int32), words.counts() + 1),
+                    _packed((sequence & 0xFFFF).astype(np.uint16), words.counts() + 1),
+                    _packed((sequence >> 16).astype(np.uint8), words.counts() + 1),
                     _packed(words.hash[far], np.bincount(words.doc[far], minlength=batch.num_rows)),
                 ],
-                ["block", "numbers", "far"],
+                ["block", "low", "high", "far"],
             )
             block += 1
 
-    return training.select("text").mapInArrow(number, "block bigint, numbers binary, far binary")
+    schema = "block bigint, low binary, high binary, far binary"
+    return training.select("text").mapInArrow(number, schema)
+
+
+def _numbers(batch: pa.RecordBatch) -> np.ndarray:
+    """Of all tokens of these texts. Frequent words have small ones, so that the high byte,
+    kept apart, takes little space."""
+    high = _unpacked(batch.column("high"), np.uint8).astype(np.int64)
+    return high << 16 | _unpacked(batch.column("low"), np.uint16)
 
 
 def _counted(
@@ -269,6 +302,12 @@ def _as_batch(table: pa.Table) -> pa.RecordBatch:
     return table.combine_chunks().to_batches()[0]
 
 
+def _met_far(assigned: DataFrame) -> DataFrame:
+    """block, word and class of the words that no task knows, for each block that has them."""
+    far = assigned.where("number < 0")
+    return far.select(F.explode("blocks").alias("block"), "word", "class")
+
+
 def _with_classes(
     sequences: DataFrame, vocabulary: Vocabulary, kinds: np.ndarray, assigned: DataFrame
 ) -> DataFrame:
@@ -276,28 +315,63 @@ def _with_classes(
     their ending's."""
     known, end = len(vocabulary.hashes), vocabulary.end
     by_ending = kinds[known:end].astype(np.int8)
-    own = assigned.where("number < 0").select("word", "class")
-    met = far_words(sequences).join(own, "word").select("block", "word", "class")
 
     def classify(texts: pa.Table, met: pa.Table) -> pa.Table:
         batch = _as_batch(texts)
-        numbers = _unpacked(batch.column("numbers"), np.int32)
+        numbers = _numbers(batch)
         classes = by_ending[numbers[(numbers >= known) & (numbers < end)] - known]
         found, at = _met(_unpacked(batch.column("far"), np.uint64), met)
         classes[found] = met["class"].to_numpy()[at]
         each = pc.binary_length(batch.column("far")).to_numpy() // 8
         return texts.append_column("classes", _packed(classes, each))
 
-    texts = sequences.select("block", "numbers", "far")
-    schema = "block bigint, numbers binary, far binary, classes binary"
+    texts = sequences.select("block", "low", "high", "far")
+    schema = "block bigint, low binary, high binary, far binary, classes binary"
+    met = _met_far(assigned)
     return texts.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(classify, schema)
 
 
+def _pairs_with(
+    sequences: DataFrame, vocabulary: Vocabulary, kinds: np.ndarray, assigned: DataFrame
+) -> np.ndarray:
+    """Counts of pairs of classes as in ``_with_classes``, for which a token's class will do."""
+    width = CLASSES + 1
+    shared = sequences.sparkSession.sparkContext.broadcast((vocabulary, kinds))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, kinds = shared.value
+        for batch in chunks(batches, "low", _LOW_BYTES):
+            numbers = _numbers(batch)
+            far = (numbers >= len(vocabulary.hashes)) & (numbers < vocabulary.end)
+            classes = (kinds[numbers] + _FAR * far).astype(np.int8)
+            each = pc.binary_length(batch.column("high")).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block"), _packed(classes, each), batch.column("far")],
+                ["block", "classes", "far"],
+            )
+
+    def count(texts: pa.Table, met: pa.Table) -> pa.Table:
+        batch = _as_batch(texts)
+        classes = _unpacked(batch.column("classes"), np.int8).astype(np.int64)
+        far = np.flatnonzero(classes >= _FAR)
+        classes[far] -= _FAR
+        found, at = _met(_unpacked(batch.column("far"), np.uint64), met)
+        classes[far[found]] = met["class"].to_numpy()[at]
+        cell = _beside(classes)[0] * width + classes
+        total = np.bincount(cell, minlength=width * width).reshape(width, width)
+        return pa.Table.from_batches(_count_rows(total))
+
+    texts = sequences.mapInArrow(take, "block bigint, classes binary, far binary")
+    met = _met_far(assigned)
+    rows = texts.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(count, _COUNTS)
+    return _summed(rows, width, width)
+
+
 def _classed(
     batch: pa.RecordBatch, vocabulary: Vocabulary, kinds: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the tokens, which of them no task knows, and the class of each."""
-    numbers = _unpacked(batch.column("numbers"), np.int32).astype(np.int64)
+    numbers = _numbers(batch)
     far = (numbers >= len(vocabulary.hashes)) & (numbers < vocabulary.end)
     classes = kinds[numbers]
     if "classes" in batch.schema.names:
@@ -310,6 +384,43 @@ def _beside(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[CLASSES], sequence[:-1]]), np.concatenate([sequence[1:], [CLASSES]])
 
 
+_COUNTS = "part int, item int, counts binary"
+
+
+def _count_rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each item, a line of ``counts``, that was met."""
+    item = np.flatnonzero(counts.any(axis=1))
+    packed = _packed(counts[item], np.full(len(item), counts.shape[1]))
+    item = item.astype(np.int32)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(item % _SUM_PARTS), pa.array(item), packed], ["part", "item", "counts"]
+    )
+
+
+def _summed(rows: DataFrame, items: int, width: int) -> np.ndarray:
+    """The lines of all tasks, added up in tasks."""
+
+    def add(
+        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((items // _SUM_PARTS + 1, width), dtype=np.int64)
+        for batch in batches:
+            lines = _unpacked(batch.column("counts"), np.int64).reshape(-1, width)
+            np.add.at(total, batch.column("item").to_numpy() // _SUM_PARTS, lines)
+        item = np.flatnonzero(total.any(axis=1))
+        packed = _packed(total[item], np.full(len(item), width))
+        item = (item * _SUM_PARTS + key[0].as_py()).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(item), packed], ["item", "counts"])
+
+    parts = rows.repartition(_SUM_PARTS // 4, "part").groupBy("part")
+    found = parts.applyInArrow(add, "item int, counts binary").toArrow()
+    counts = np.zeros((items, width))
+    for batch in found.to_batches():
+        lines = _unpacked(batch.column("counts"), np.int64).reshape(-1, width)
+        counts[batch.column("item").to_numpy()] = lines
+    return counts
+
+
 def _contexts(
     sequences: DataFrame, vocabulary: Vocabulary, classes: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -323,8 +434,8 @@ def _contexts(
         unit_of, classes = shared.value
         total = np.zeros((2, units * kinds), dtype=np.int64)
         twice = np.zeros(units, dtype=np.int64)
-        for batch in chunks(batches, "numbers", _COUNT_BYTES):
-            unit = unit_of[_unpacked(batch.column("numbers"), np.int32)]
+        for batch in chunks(batches, "low", _LOW_BYTES):
+            unit = unit_of[_numbers(batch)]
             inner = unit < units
             for side, other in enumerate(_beside(classes[unit])):
                 total[side] += np.bincount(
@@ -332,19 +443,12 @@ def _contexts(
                 )
             same = (unit[1:] == unit[:-1]) & inner[1:]
             twice += np.bincount(unit[1:][same], minlength=units)
-        flat = np.concatenate([total.ravel(), twice])
-        some = np.flatnonzero(flat)
-        for low in range(0, len(some), 100_000):
-            part = some[low : low + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(flat[part])], ["cell", "n"]
-            )
+        before, after = total.reshape(2, units, kinds)
+        yield from _count_rows(np.hstack([before, after, twice[:, None]]))
 
-    rows = sequences.select("numbers").mapInArrow(count, "cell int, n bigint")
-    found = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(2 * units * kinds + units)
-    flat[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return flat[: 2 * units * kinds].reshape(2, units, kinds), flat[2 * units * kinds :]
+    rows = sequences.select("low", "high").mapInArrow(count, _COUNTS)
+    found = _summed(rows, units, 2 * kinds + 1)
+    return np.stack([found[:, :kinds], found[:, kinds : 2 * kinds]]), found[:, 2 * kinds]
 
 
 def _class_pairs(contexts: np.ndarray, classes: np.ndarray, texts: int) -> np.ndarray:
@@ -433,91 +537,165 @@ def _exchange_units(
     return best_classes
 
 
+def _row_starts(keys: np.ndarray) -> np.ndarray:
+    """Where rows begin, if each has equal ones of the sorted keys, and not too many."""
+    begin = np.flatnonzero(np.append(len(keys) > 0, keys[1:] != keys[:-1]))
+    place = np.arange(len(keys)) - np.repeat(begin, np.diff(np.append(begin, len(keys))))
+    return np.flatnonzero(place % _ROW_TOKENS == 0)
+
+
 def _word_contexts(
-    sequences: DataFrame, vocabulary: Vocabulary, kinds: np.ndarray, least: int
+    sequences: DataFrame, vocabulary: Vocabulary, kinds: np.ndarray, least: int, near_parts: int,
+    far_parts: int,
 ) -> DataFrame:
-    """word, cell (class before and after it) and n, for words without a unit of their own."""
+    """Words without a unit of their own and the cells (class before and after) of their
+    tokens, by part. Parts below zero have places of words that tasks know, the others hashes
+    of words, from one block of texts a row."""
     shared = sequences.sparkSession.sparkContext.broadcast((vocabulary, kinds))
     width = CLASSES + 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(part, block, begin, words, cells):
+        lengths = np.diff(np.append(begin, len(words)))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(part[begin].astype(np.int32)), pa.array(block[begin]),
+                _packed(words, lengths), _packed(cells.astype(np.uint16), lengths),
+            ],
+            ["part", "block", "words", "cells"],
+        )
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, kinds = shared.value
         wanted = (vocabulary.units >= OWN_UNITS) & (vocabulary.counts >= least)
         wanted = np.append(wanted, np.zeros(ENDINGS + 1, dtype=bool))
-        for batch in chunks(batches, "numbers", _COUNT_BYTES):
+        for batch in chunks(batches, "low", _LOW_BYTES):
             numbers, far, classes = _classed(batch, vocabulary, kinds)
             before, after = _beside(classes)
-            cell = before * width + after
-            near = wanted[numbers]
-            keys, n = np.unique(numbers[near] * width**2 + cell[near], return_counts=True)
-            number = keys // width**2
-            words, cells, times = _counted(_unpacked(batch.column("far"), np.uint64), cell[far])
-            word = np.concatenate([vocabulary.hashes[number], words])
-            all_cells = np.concatenate([keys % width**2, cells])
-            all_n = np.concatenate([n, times])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(signed(word)), pa.array(all_cells.astype(np.int32)),
-                    pa.array(all_n.astype(np.int64)),
-                ],
-                ["word", "cell", "n"],
+            cells = before * width + after
+            near = np.flatnonzero(wanted[numbers])
+            # Each part has frequent and rare words.
+            place, part = np.divmod(numbers[near], near_parts)
+            order = np.argsort(part * PART_WORDS + place, kind="stable")
+            near, part, place = near[order], part[order], place[order]
+            yield rows(
+                -1 - part, np.zeros(len(part), np.int64), _row_starts(part),
+                place.astype(np.uint16), cells[near],
             )
+            words = _unpacked(batch.column("far"), np.uint64)
+            each = pc.binary_length(batch.column("far")).to_numpy() // 8
+            block = np.repeat(batch.column("block").to_numpy(), each)
+            part = (words % np.uint64(far_parts)).astype(np.int64)
+            order = np.lexsort((block, part))
+            part, block = part[order], block[order]
+            new = np.append(True, (part[1:] != part[:-1]) | (block[1:] != block[:-1]))
+            begin = _row_starts(np.cumsum(new[: len(part)]))
+            yield rows(part, block, begin, words[order], cells[far][order])
 
-    return sequences.mapInArrow(count, "word bigint, cell int, n bigint")
+    return sequences.mapInArrow(take, "part int, block bigint, words binary, cells binary")
 
 
 def choose_classes(
-    near: np.ndarray, row: np.ndarray, cell: np.ndarray, n: np.ndarray, pairs: np.ndarray
+    near: bool, before: np.ndarray, after: np.ndarray, pairs: np.ndarray
 ) -> np.ndarray:
-    """The class of the highest likelihood for each word. ``row``, ``cell`` and ``n`` are the
-    words' contexts; ``near`` says whether what follows a word is predicted from its class."""
-    width, words = CLASSES + 1, len(near)
+    """The class of the highest likelihood for each word, by how often each class stands before
+    and after it. ``near`` says whether what follows a word is predicted from its class."""
     smoothed = np.log(pairs + SMOOTHING)
     total = np.log(pairs.sum(axis=0)[:CLASSES] + SMOOTHING)
-    sides = (
-        np.bincount(row * width + part, n, words * width).reshape(words, width)
-        for part in (cell // width, cell % width)
-    )
-    before, after = sides
     score = before @ smoothed[:, :CLASSES] - before.sum(axis=1)[:, None] * total
-    follows = after @ smoothed[:CLASSES].T - after.sum(axis=1)[:, None] * total
-    return (score + near[:, None] * follows).argmax(axis=1)
+    if near:
+        score += after @ smoothed[:CLASSES].T - after.sum(axis=1)[:, None] * total
+    return score.argmax(axis=1)
+
+
+def _sides(row: np.ndarray, cells: np.ndarray, rows: int) -> np.ndarray:
+    """How often each class stands before (0) and after (1) the word of each row."""
+    width = CLASSES + 1
+    return np.stack(
+        [
+            np.bincount(row * width + part, minlength=rows * width).reshape(rows, width)
+            for part in np.divmod(cells.astype(np.int64), width)
+        ]
+    )
 
 
 def _exchange_words(
     sequences: DataFrame, vocabulary: Vocabulary, kinds: np.ndarray, pairs: np.ndarray, least: int,
     whole: bool = False,
 ) -> DataFrame:
-    """word, number and class of all words of ``least`` tokens without a unit of their own.
-    With ``whole`` every word predicts what follows it, else those do that tasks know."""
-
+    """word, number and class of all words of ``least`` tokens without a unit of their own, and
+    the blocks that have them, if no task knows them. With ``whole`` every word predicts what
+    follows it, else those do that tasks know."""
     shared = sequences.sparkSession.sparkContext.broadcast(vocabulary)
+    near = int(vocabulary.counts[vocabulary.units >= OWN_UNITS].sum())
+    near_parts = len(vocabulary.hashes) // PART_WORDS + near // PART_TOKENS + 1
+    far_parts = vocabulary.far // FAR_TOKENS + 1
+
+    def found(words, number, kind, blocks=None, ends=None):
+        ends = np.zeros(len(words)) if ends is None else ends
+        blocks = np.zeros(0, np.int64) if blocks is None else blocks
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.append(0, ends).astype(np.int32)), pa.array(blocks)
+        )
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(signed(words)), pa.array(number.astype(np.int32)),
+                pa.array(kind.astype(np.int32)), lists,
+            ],
+            ["word", "number", "class", "blocks"],
+        )
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        for rows in batches:
-            for low in range(0, rows.num_rows, 4096):
-                batch = rows.slice(low, 4096)
-                at = batch.column("at")
-                number = vocabulary.places(batch.column("word").to_numpy().view(np.uint64))
-                row = np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy())
-                cell, n = at.flatten().flatten()
-                found = choose_classes((number >= 0) | whole, row, cell.to_numpy(), n.to_numpy(), pairs)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("word"), pa.array(number.astype(np.int32)),
-                        pa.array(found.astype(np.int32)),
-                    ],
-                    ["word", "number", "class"],
-                )
+    def choose_near(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = np.zeros((2, PART_WORDS, CLASSES + 1), dtype=np.int64)
+        for batch in batches:
+            place = _unpacked(batch.column("words"), np.uint16).astype(np.int64)
+            sides += _sides(place, _unpacked(batch.column("cells"), np.uint16), PART_WORDS)
+        met = np.flatnonzero(sides[0].any(axis=1))
+        number = met * near_parts + part
+        kind = choose_classes(True, *sides[:, met].astype(float), pairs)
+        yield found(shared.value.hashes[number], number, kind)
+
+    def choose_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [
+            (
+                _unpacked(b.column("words"), np.uint64), _unpacked(b.column("cells"), np.uint16),
+                np.repeat(
+                    b.column("block").to_numpy(), pc.binary_length(b.column("cells")).to_numpy() // 2
+                ),
+            )
+            for b in batches
+        ]
+        words, cells, blocks = (np.concatenate(column) for column in zip(*parts))
+        order = np.lexsort((blocks, words))
+        words, cells, blocks = words[order], cells[order], blocks[order]
+        new = np.append(True, words[1:] != words[:-1])
+        times = np.diff(np.append(np.flatnonzero(new), len(words)))
+        often = np.repeat(times >= least, times)
+        words, cells, blocks, new = words[often], cells[often], blocks[often], new[often]
+        begin = np.append(np.flatnonzero(new), len(words))
+        for low in range(0, len(begin) - 1, PART_WORDS):
+            ends = begin[low : low + PART_WORDS + 1]
+            here = slice(ends[0], ends[-1])
+            row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            sides = _sides(row, cells[here], len(ends) - 1)
+            kind = choose_classes(whole, *sides.astype(float), pairs)
+            first = new[here].copy()
+            first[1:] |= blocks[here][1:] != blocks[here][:-1]
+            different = np.bincount(row[first], minlength=len(ends) - 1)
+            yield found(
+                words[ends[:-1]], np.full(len(kind), -1), kind, blocks[here][first],
+                np.cumsum(different),
+            )
 
-    # One shuffle serves both aggregates; a word has at most as many cells as pairs of classes.
-    contexts = _word_contexts(sequences, vocabulary, kinds, least).repartition("word")
-    cells = contexts.groupBy("word", "cell").agg(F.sum("n").alias("n"))
-    words = cells.groupBy("word").agg(
-        F.sum("n").alias("_n"), F.collect_list(F.struct("cell", "n")).alias("at")
-    ).where(F.col("_n") >= least).select("word", "at")
-    return words.mapInArrow(choose, "word bigint, number int, class int")
+    def choose(
+        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        part = key[0].as_py()
+        return choose_near(-1 - part, batches) if part < 0 else choose_far(batches)
+
+    contexts = _word_contexts(sequences, vocabulary, kinds, least, near_parts, far_parts)
+    contexts = contexts.repartition((near_parts + far_parts) // 4 + 1, "part")
+    schema = "word bigint, number int, class int, blocks array<bigint>"
+    return contexts.groupBy("part").applyInArrow(choose, schema)
 
 
 def _pairs(
@@ -528,41 +706,40 @@ def _pairs(
     width, apart = CLASSES + 1, assigned is not None
     shared = sequences.sparkSession.sparkContext.broadcast((vocabulary, kinds))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         vocabulary, kinds = shared.value
+        for batch in chunks(batches, "low", _LOW_BYTES):
+            _, far, classes = _classed(batch, vocabulary, kinds)
+            yield batch, far, _beside(classes)[0] * width + classes
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width * width, dtype=np.int64)
+        for _, far, cell in cells(batches):
+            total += np.bincount(cell[~far] if apart else cell, minlength=width * width)
+        yield from _count_rows(total.reshape(width, width))
 
-        def rows(word, cell, n):
-            return pa.RecordBatch.from_arrays(
-                [word, pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))],
+    def count_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, far, cell in cells(batches):
+            words, cell, n = _counted(_unpacked(batch.column("far"), np.uint64), cell[far])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(signed(words)), pa.array(cell.astype(np.int32)),
+                    pa.array(n.astype(np.int64)),
+                ],
                 ["word", "cell", "n"],
             )
 
-        for batch in chunks(batches, "numbers", _COUNT_BYTES):
-            _, far, classes = _classed(batch, vocabulary, kinds)
-            cell = _beside(classes)[0] * width + classes
-            total += np.bincount(cell[~far] if apart else cell, minlength=width * width)
-            if apart and far.any():
-                words, cells, n = _counted(_unpacked(batch.column("far"), np.uint64), cell[far])
-                yield rows(pa.array(signed(words)), cells, n)
-        some = np.flatnonzero(total)
-        yield rows(pa.nulls(len(some), pa.int64()), some, total[some])
-
-    rows = sequences.mapInArrow(count, "word bigint, cell int, n bigint")
-    if assigned is None:
-        cells = rows.groupBy("cell").agg(F.sum("n").alias("n"))
-    else:
+    pairs = _summed(sequences.mapInArrow(count, _COUNTS), width, width)
+    if apart:
         own = assigned.where("number < 0").select(F.col("word").alias("_word"), "class")
-        far = rows.where("word IS NOT NULL").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+        far = sequences.mapInArrow(count_far, "word bigint, cell int, n bigint")
+        far = far.groupBy("word", "cell").agg(F.sum("n").alias("n"))
         far = far.join(own, far["word"] == own["_word"], "left").select(
             F.expr(f"coalesce(cell - cell % {width} + class, cell)").alias("cell"), "n"
         )
-        cells = rows.where("word IS NULL").select("cell", "n").union(far)
-        cells = cells.groupBy("cell").agg(F.sum("n").alias("n"))
-    found = cells.toArrow()
-    pairs = np.zeros(width * width)
-    pairs[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return pairs.reshape(width, width)
+        found = far.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        pairs.reshape(-1)[found["cell"].to_numpy()] += found["n"].to_numpy()
+    return pairs
 
 
 def train(
@@ -592,13 +769,16 @@ def train(
         near = found.where("number >= 0").select("number", "class").toArrow()
         new = kinds.copy()
         new[near["number"].to_numpy()] = near["class"].to_numpy()
-        if whole:
-            moved = _with_classes(sequences, vocabulary, new, found)
-            if sweep + 1 < word_sweeps:  # the next one reads it again
-                moved = materialize(moved, "token-classes")
+        moved = sequences
+        if not whole:
+            new_pairs = _pairs(sequences, vocabulary, new, found)
+        elif sweep + 1 < word_sweeps:  # the next one reads it again
+            moved = materialize(
+                _with_classes(sequences, vocabulary, new, found), "token-classes"
+            )
             new_pairs = _pairs(moved, vocabulary, new, None)
         else:
-            moved, new_pairs = sequences, _pairs(sequences, vocabulary, new, found)
+            new_pairs = _pairs_with(sequences, vocabulary, new, found)
         value = likelihood(new_pairs)
         if value > best:
             assigned, kinds, pairs, sequences = found, new, new_pairs, moved
@@ -646,8 +826,6 @@ SCORED = (
     "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, "
     "base_score double, score double"
 )
-#: Added to a class that is that of a word's ending, until the word has met its own.
-_FAR = 64
 
 
 def _score_parts(model: ClassModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _CHUNK_BYTES = 1 << 21
+#: Bytes whose running sums are made at once, if no word is longer.
+_WINDOW_BYTES = 1 << 17
 _U64 = np.uint64
 
 
@@ -62,13 +64,35 @@ _powers: dict[int, np.ndarray] = {}
 def _power_table(base: int, length: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < length:
-        size = max(length, _CHUNK_BYTES + 1)
+        size = max(length, _WINDOW_BYTES + 1)
         steps = np.full(size, base, dtype=_U64)
         steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        if size == _WINDOW_BYTES + 1:
+            _powers[base] = have
     return have[:length]
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """By windows of whole words, so that running sums, eight bytes for each of the text's,
+    take little memory."""
+    hashes = np.empty(len(start), dtype=_U64)
+    low = 0
+    while low < len(start):
+        at = int(start[low])
+        high = max(low + 1, int(np.searchsorted(end, at + _WINDOW_BYTES, "right")))
+        size = int(end[high - 1]) - at
+        values = _BYTE_VALUES[data[at : at + size]]
+        values *= _power_table(_BASE, size)
+        sums = np.zeros(size + 1, dtype=_U64)
+        np.cumsum(values, out=sums[1:])
+        first = start[low:high] - at
+        hashes[low:high] = sums[end[low:high] - at] - sums[first]
+        hashes[low:high] *= _power_table(_INVERSE, size)[first]
+        low = high
+    return mix(hashes + (end - start).astype(_U64))
+
+
 @dataclass
 class Words:
     """``doc``: row of each word; ``hash``; ``start`` and ``end`` in ``bytes``;
@@ -125,12 +149,7 @@ def find_words(texts: pa.Array, letters: np.ndarray, *, lower: str = "unicode")
     after[:-1] = inside[1:]
     start = np.flatnonzero(inside & (~before | edge[:-1]))
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    values = _BYTE_VALUES[data]
-    values *= _power_table(_BASE, len(data))
-    sums = np.zeros(len(data) + 1, dtype=_U64)
-    np.cumsum(values, out=sums[1:])
-    hashes = (sums[end] - sums[start]) * _power_table(_INVERSE, len(data) + 1)[start]
-    hashes = mix(hashes + (end - start).astype(_U64))
+    hashes = _word_hashes(data, start, end)
     first = np.searchsorted(start, at)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
     return Words(doc, hashes, start, end, data, first)

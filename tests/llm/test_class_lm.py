@@ -299,3 +299,24 @@ def test_the_bound_of_words_in_tasks_changes_no_score(spark, monkeypatch):
     for bound in (0, 200):
         for doc, row in scores[1 << 18].items():
             assert scores[bound][doc] == pytest.approx(row)
+
+
+def test_parts_of_words_change_no_score_and_rows_are_few(spark, monkeypatch):
+    """Contexts of words meet in parts, packed: many tokens a row, not a row for each."""
+    monkeypatch.setattr(class_lm, "OWN_UNITS", 20)
+    monkeypatch.setattr(class_lm, "IN_TASKS", 200)
+    docs, _ = grammar(spark, 600)
+    docs, scores = docs.repartition(2), {}
+    for sizes in ((1 << 12, 1 << 22, 1 << 18), (16, 300, 64)):
+        for name, size in zip(("PART_WORDS", "PART_TOKENS", "FAR_TOKENS"), sizes):
+            monkeypatch.setattr(class_lm, name, size)
+        model, found = train(docs, sweeps=1)
+        assert model.vocabulary.far > 300
+        rows = score_texts(docs, model, found).collect()
+        scores[sizes] = {r["doc_id"]: pytest.approx(tuple(r)) for r in rows}
+    first, second = scores.values()
+    assert len(first) == 600 and all(first[doc] == second[doc].expected for doc in first)
+    sequences = class_lm.number_tokens(docs, model.vocabulary)
+    contexts = class_lm._word_contexts(sequences, model.vocabulary, model.kinds, 2, 1, 1)
+    tokens = model.vocabulary.tokens - model.vocabulary.ends
+    assert 0 < contexts.count() < tokens / 50

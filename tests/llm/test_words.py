@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from orebed.llm import words as words_module
 from orebed.llm.words import LETTERS, NOT_SPACE, chunks, distinct, find_words, shingles
 
 TEXTS = ["Hello wörld foo", "", None, "foo, hello!", "a b c d e f g a b c d e", "\t ", "x" * 3000]
@@ -69,3 +71,27 @@ def test_a_slice_of_a_batch_is_read_from_its_own_start():
     words = find_words(whole.slice(1, 2), LETTERS)
     assert [words.text(i) for i in range(3)] == ["cc", "dd", "ee"]
     assert np.array_equal(words.doc, [0, 0, 1])
+
+
+def test_hashes_do_not_depend_on_windows(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join("ab" * rng.randrange(1, 30) for _ in range(rng.randrange(40))) for _ in range(20)]
+    whole = find_words(pa.array([*texts, None, "c" * 500]), NOT_SPACE)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(words_module, "_WINDOW_BYTES", size)
+        parts = find_words(pa.array([*texts, None, "c" * 500]), NOT_SPACE)
+        assert (parts.hash == whole.hash).all() and (parts.first == whole.first).all()
+
+
+def test_a_large_chunk_of_text_takes_little_memory():
+    """Three tasks of an executor take texts apart at the same time."""
+    text = pa.array([" ".join(f"word{i % 9999}" for i in range(450_000))])
+    size = len(text[0].as_py())
+    find_words(text.slice(0, 0), NOT_SPACE, lower="ascii")
+    tracemalloc.start()
+    try:
+        find_words(text, NOT_SPACE, lower="ascii")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert size > 3_500_000 and peak < 20 * size
